@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import mixing, quality, url_filter
+from clauseworks.llm import bpe, mixing, quality, token_files, url_filter
 from clauseworks.llm.common import table
 
 
+def vocabulary_file(name: str) -> str:
+    """The vocabulary files are a parameter of the operators; the queries take the installed ones."""
+    import public_tokenizers
+
+    return os.environ.get("CLAUSEWORKS_VOCABULARY") or public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
+
+
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -20,5 +37,5 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op6_host_quality, op8_url_filter, op9_fair_mix)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op6_host_quality, op7_bpe_round_trip, op8_url_filter, op9_fair_mix)}
 ORACLES = {"op6_host_quality": quality.SQL, "op8_url_filter": url_filter.SQL, "op9_fair_mix": mixing.SQL}
