@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import bpe, mixing, quality, token_files, url_filter
+from clauseworks.llm import bpe, html_text, language, mixing, quality, token_files, url_filter
 from clauseworks.llm.common import table
 
 
@@ -17,6 +17,14 @@ def vocabulary_file(name: str) -> str:
     return os.environ.get("CLAUSEWORKS_VOCABULARY") or public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
 
@@ -37,5 +45,8 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_host_quality, op7_bpe_round_trip, op8_url_filter, op9_fair_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_html_text, op3_token_files, op6_host_quality, op7_bpe_round_trip, op8_url_filter, op9_fair_mix)
+}
 ORACLES = {"op6_host_quality": quality.SQL, "op8_url_filter": url_filter.SQL, "op9_fair_mix": mixing.SQL}
