@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import bpe, html_text, language, mixing, near_duplicates, quality, token_files, url_filter
+from clauseworks.llm import bpe, html_text, language, licenses, mixing, near_duplicates, nearest, quality, token_files, url_filter
 from clauseworks.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.documents_with_components(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -50,8 +54,23 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_html_text, op3_token_files, op5_ngram_jaccard, op6_host_quality, op7_bpe_round_trip, op8_url_filter, op9_fair_mix)
+    for f in (
+        op1_language_id,
+        op2_html_text,
+        op3_token_files,
+        op4_nearest,
+        op5_ngram_jaccard,
+        op6_host_quality,
+        op7_bpe_round_trip,
+        op8_url_filter,
+        op9_fair_mix,
+        op10_license_scan,
+    )
 }
 ORACLES = {"op6_host_quality": quality.SQL, "op8_url_filter": url_filter.SQL, "op9_fair_mix": mixing.SQL}
