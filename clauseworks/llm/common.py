@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -60,6 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def vocabulary_file(name: str) -> str:
+    """The vocabulary file is a parameter of the operators; the queries take the installed one."""
+    import public_tokenizers
+
+    return os.environ.get("CLAUSEWORKS_VOCABULARY") or public_tokenizers.path(name)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

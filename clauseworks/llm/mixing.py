@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int = MA
     base = written(base, "mix-sizes")
     assert own <= {*base.columns, "source_size", "target"}
     narrow = base.select("row_id", "doc_id", "source", "size", "key")
-    goal = targets(narrow, weights, max_times, share)
+    goal = written(targets(narrow, weights, max_times, share), "mix-targets")  # so that its size is known when joins are planned
     rows, words = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     budget = float(words) * float(share)
     n = bucket_count(rows)

@@ -104,6 +104,7 @@ def rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = (), max
     hosts = base.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     a, b = prior(hosts)
     rates = hosts.select(F.col("host").alias("of_host"), ((F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))).alias("rate"))
+    rates = written(rates, "host-rates")  # so that its size is known when the join is planned
     judged = base.join(rates, F.col("host").eqNullSafe(F.col("of_host")))
     return judged.select(
         "doc_id", *MEASURES, "base_failed", F.round("rate", 6).alias("host_rate"),

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseworks.llm import bpe, html_text, language, licenses, mixing, near_duplicates, nearest, quality, token_files, url_filter
-from clauseworks.llm.common import table
-
-
-def vocabulary_file(name: str) -> str:
-    """The vocabulary files are a parameter of the operators; the queries take the installed ones."""
-    import public_tokenizers
-
-    return os.environ.get("CLAUSEWORKS_VOCABULARY") or public_tokenizers.path(name)
+from clauseworks.llm.common import table, vocabulary_file
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +64,7 @@ QUERIES = {
         op9_fair_mix,
         op10_license_scan,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op6_host_quality": quality.SQL, "op8_url_filter": url_filter.SQL, "op9_fair_mix": mixing.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
