@@ -63,10 +63,14 @@ def search_index(index: LexicalIndex, terms: list[str], model: Bm25 = Bm25(), am
     return scored.groupBy("id").agg(F.sum(part).alias("score"))
 
 
+def _is(term: str) -> Callable[[Column], Column]:
+    return lambda t: t == term
+
+
 def search_texts(rows: DataFrame, terms: list[str], keep: Column | None = None, model: Bm25 = Bm25(), id_col: str = "id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
     """(id, score) without an index: one pass for the statistics of the terms, one to score; no shuffle of texts."""
     cut = rows.withColumn("_ts", tokenizer(F.coalesce(F.col(text), F.lit(""))))
-    tf = [F.size(F.filter("_ts", lambda t, q=q: t == q)) for q in terms]
+    tf = [F.size(F.filter("_ts", _is(q))) for q in terms]
     narrow = cut.select(F.col(id_col).alias("id"), F.size("_ts").alias("dl"), F.array(*tf).alias("tf"), (F.lit(True) if keep is None else keep).alias("_keep"))
     stats = narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avgdl = F.lit(float(stats["n"])), F.lit(float(stats["avgdl"] or 0))
