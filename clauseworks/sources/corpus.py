@@ -51,10 +51,11 @@ def read_provisions(spark: SparkSession, corpus_dir: str, index: DataFrame, chos
     paths = [r["xml_path"] for r in chosen.select("xml_path").distinct().collect()]
     if not paths:
         return with_refs(markup.parse(spark.createDataFrame([], "act_ord int, act_name string, content binary")), resolver(index), list(ORDER)).withColumn("terms", F.array().cast("array<string>"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(corpus_dir)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     files = spark.read.format("binaryFile").load([f"{corpus_dir}/{p}" for p in paths])
-    files = files.select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path"), "content")
-    at = chosen.select("act_ord", F.col("name").alias("act_name"), F.col("xml_path"))
-    joined = files.join(F.broadcast(at), F.endswith(F.col("path"), F.concat(F.lit("/"), F.col("xml_path"))))
+    files = files.select(F.substring("path", len(root) + 2, 1_000_000).alias("xml_path"), "content")
+    joined = files.join(chosen.select("act_ord", F.col("name").alias("act_name"), "xml_path"), "xml_path")
     rows = with_refs(markup.parse(joined), resolver(index), list(ORDER))
     return rows.withColumn("terms", F.array().cast("array<string>"))
 
