@@ -8,13 +8,16 @@ are kept, up to a set number of them, from batch to batch in a Python worker.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import filterfalse, islice
+from itertools import islice
 
 #: Pieces kept in a worker, characters cut into pieces at a time, and rows in an Arrow batch: bounds of memory.
-MAX_KEPT = 400_000
+MAX_KEPT = 300_000
 SLICE = 1_000_000
 ROWS = 1_000
 
+#: Marks at a piece's end that a byte-level BPE takes apart from the letter or digit before.
+_MARKS = ".,;:!?"
+
 Encode = Callable[[list[str]], list[bytes]]
 
 
@@ -41,21 +44,29 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
 
 
 class Pieces:
-    """Ids, as little-endian unsigned 32-bit integers, of texts: ``encode`` gives those of whole strings."""
+    """Ids, as little-endian unsigned 32-bit integers, of texts.
+
+    ``encode`` gives those of whole strings; ``encode_pieces`` those of pieces, each of which begins with its one
+    space and does not end with white space.
+    """
 
-    def __init__(self, encode: Encode, max_kept: int = MAX_KEPT):
-        self._encode, self._max = encode, max_kept
-        self._kept: dict[str, bytes | None] = {}
+    def __init__(self, encode: Encode, encode_pieces: Encode | None = None, max_kept: int = MAX_KEPT):
+        self._encode, self._encode_pieces, self._max = encode, encode_pieces or encode, max_kept
+        self._kept: dict[str, bytes | str] = {}
 
     def _learn(self, new: list[str]) -> None:
+        # A word and the marks after it are cut once more, as more texts share the word alone.
+        words = [p.rstrip(_MARKS) for p in new]
+        cut = [len(w) if len(w) < len(p) and w and w[-1].isalnum() else 0 for p, w in zip(new, words, strict=True)]
+        todo = list(dict.fromkeys(w if e else p for p, w, e in zip(new, words, cut, strict=True)))
+        todo = [p for p in todo if p not in self._kept]
         # A piece that is empty or ends with white space may not be cut from the next: its text goes another way.
-        good = [p for p in new if p and not p[-1].isspace()]
-        self._kept.update(dict.fromkeys(new))
-        self._kept.update(zip(good, self._encode([" " + p for p in good]), strict=True))
-
-    def _forget(self) -> None:
-        """Keeps the half that came first, which has the common pieces."""
-        self._kept = dict(islice(self._kept.items(), self._max // 2))
+        good = [p for p in todo if p and not p[-1].isspace()]
+        self._kept.update(dict.fromkeys(todo, ""))
+        self._kept.update(zip(good, self._encode_pieces([" " + p for p in good]), strict=True))
+        marks = list({p[e:] for p, e in zip(new, cut, strict=True) if e})
+        ids = dict(zip(marks, self._encode(marks), strict=True))
+        self._kept.update((p, self._kept[p[:e]] + ids[p[e:]]) for p, e in zip(new, cut, strict=True) if e)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
@@ -72,33 +83,39 @@ class Pieces:
         return [b"".join(x) for x in out]
 
     def _some(self, todo: list[tuple[int, str]], out: list[list[bytes]]) -> None:
-        whole: list[tuple[list[bytes], int, str]] = []
+        parts: list[str] = []
         cut = []
-        new: set[str] = set()
         for i, s in todo:
-            parts = s.split(" ")
-            first = parts[0]  # without a space before it, or empty where the slice begins with that space
-            if len(parts) > 1:
-                del parts[0]
-                if first and first[-1].isspace():
-                    first, parts = s, []
-            else:
-                parts = []
-            cut.append((i, s, first, parts))
-            new.update(filterfalse(self._kept.__contains__, parts))
-        self._learn(sorted(new))
-        get = self._kept.__getitem__
-        for i, s, first, parts in cut:
+            now = s.split(" ")
+            first = now[0]  # without a space before it, or empty where the slice begins with that space
+            if first and first[-1].isspace():
+                first, now = s, now[:1]
+            cut.append((i, s, first, len(parts), len(parts) + len(now) - 1))
+            parts += now[1:]
+        ids = list(map(self._kept.get, parts))
+        missing = []
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            missing.append(at)
+        if missing:
+            new = [parts[k] for k in missing]
+            self._learn(list(dict.fromkeys(new)))
+            for k, p in zip(missing, new, strict=True):
+                ids[k] = self._kept[p]
+        whole: list[tuple[list[bytes], int, str]] = []
+        for i, s, first, a, b in cut:
             try:
-                rest = b"".join(map(get, parts))
+                rest = b"".join(ids[a:b])
                 if first:
                     whole.append((out[i], len(out[i]), first))
                     out[i].append(b"")
                 out[i].append(rest)
-            except TypeError:
+            except TypeError:  # a piece that may not be cut off
                 whole.append((out[i], len(out[i]), s))
                 out[i].append(b"")
-        for (to, at, _), ids in zip(whole, self._encode([s for *_, s in whole]), strict=True):
-            to[at] = ids
+        for (to, at, _), x in zip(whole, self._encode([s for *_, s in whole]), strict=True):
+            to[at] = x
         if len(self._kept) > self._max:
-            self._forget()
+            # the half that came first has the common pieces
+            self._kept = dict(islice(self._kept.items(), self._max // 2))
