@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseworks.llm.chunks import small_batches
-from clauseworks.llm.common import bucket_count, written
+from clauseworks.llm.common import bucket_count, drop_written, written
 from clauseworks.llm.components import components
 from clauseworks.llm.shingles import set_id, shingle_sets
 
@@ -39,8 +39,15 @@ SHARED = 80
 BUCKET_BITS = 22
 PARTS = 64
 LIST = 20_000
+#: Orders in which a list's first group is chosen.
+LEADERS = 16
+#: Entries before each in a list that it is paired with at once.
+BEFORE = 3
 #: Bits of the filter that says which nodes are in a candidate pair, at most.
 FILTER_BITS = 1 << 23
+#: Bits of a set's parity map, at most; entries of a list up to which lists of one length are paired together.
+PARITY_BITS = 1 << 16
+SHORT_LIST = 64
 _U = np.uint64
 
 
@@ -54,6 +61,27 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SHARED * (len(a) + len(b) - both)
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Of each residue of the hashes, whether an odd number of them has it: a bit map about as long as twice the set."""
+    bits = min(max(256, 1 << int(2 * len(s) - 1).bit_length()), PARITY_BITS)
+    return np.packbits(np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """At most the size of the symmetric difference of the sets with these parities."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
+def _most_different(n):
+    """The greatest symmetric difference of sets that link and have ``n`` members between them."""
+    return n - 2 * -(-SHARED * n // (100 + SHARED))
+
+
 def _possible(n1, p1, n2, p2):
     """Whether sets of these sizes, which share the shingle at these places, can still link."""
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
@@ -151,13 +179,13 @@ def _ranks(sketch: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(node, n, gid, prefix) of each node; one that several tasks meet comes several times."""
+    """(node, n, gid, parity, prefix) of each node; one that several tasks meet comes several times."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**BUCKET_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = shared.value, _Seen()
         for batch in batches:
-            nodes, sizes, gids, prefixes = [], [], [], []
+            nodes, sizes, gids, parities, prefixes = [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 if not len(s) or not seen.first(node := set_id(s)):
                     continue
@@ -168,31 +196,39 @@ def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 nodes.append(node)
                 sizes.append(n)
                 gids.append(set_id(np.r_[_U(n), prefix]))
+                parities.append(_parity(s))
                 prefixes.append(prefix.astype(np.int64, casting="unsafe"))
             offsets = np.cumsum([0, *map(len, prefixes)])
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gids, pa.int64()), lists], names=["node", "n", "gid", "prefix"]
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gids, pa.int64()), pa.array(parities, pa.binary()), lists], names=["node", "n", "gid", "parity", "prefix"]
             )
 
-    return docs.select("text").mapInArrow(run, "node long, n long, gid long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "node long, n long, gid long, parity binary, prefix array<long>")
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """Entries (key, gid, n, place) of lists of two groups or more, each with ``first``: a group of like size to be paired with.
+    """Entries (key, gid, n, place) of lists of two groups or more, each with the groups to be paired with.
+
+    These are the first of like size in the list, the first of those a step smaller, and the BEFORE before it: a
+    number of pairs in proportion to the entries.
 
     Rows come to a task sorted by key, and are read as a stream.
     """
     entries = prefixes.select("gid", "n", F.posexplode("prefix").alias("place", "key"))
     # sizes in steps of the similarity: groups more than a step apart can't link
     entries = entries.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / SHARED))).cast("int"))
-    spread = entries.repartition("key").sortWithinPartitions("key", "step", "gid")
+    # Which group comes first differs from list to list, in LEADERS ways: near copies of one text are often closer
+    # to that text than to each other, and so each is compared with several before all pairs are looked at.
+    entries = entries.withColumn("turn", F.xxhash64("gid", F.pmod("key", F.lit(LEADERS))))
+    spread = entries.repartition("key").sortWithinPartitions("key", "step", "turn", "gid").drop("turn")
     kinds = {"key": pa.int64(), "gid": pa.int64(), "n": pa.int64(), "place": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None  # the last entry: it may go with the next batch
-        key_before = first_gid = first_n = first_place = first_step = None
+        many_before = False  # whether entries of its list came before it
+        firsts: list[np.ndarray] = []  # of its run, and of the run a step below: [gid, n, place, whether there is one]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -201,39 +237,63 @@ def _lists(prefixes: DataFrame) -> DataFrame:
                 x = {c: np.r_[held[c], v] for c, v in x.items()}
             new = np.r_[True, (x["key"][1:] != x["key"][:-1]) | (x["gid"][1:] != x["gid"][:-1])]
             x = {c: v[new] for c, v in x.items()}  # a group that came several times
-            n = len(x["key"])
-            starts = np.r_[True, (x["key"][1:] != x["key"][:-1]) | (x["step"][1:] != x["step"][:-1])]
-            lead = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-            out = {c: x[c] for c in kinds}
-            for c in ("gid", "n", "place"):
-                out["first_" + c] = x[c][lead]
-            if first_gid is not None and x["key"][0] == key_before and x["step"][0] == first_step:
-                go = lead == 0  # the run began in an earlier batch
-                out["first_gid"], out["first_n"], out["first_place"] = (np.where(go, v, out[c]) for c, v in (("first_gid", first_gid), ("first_n", first_n), ("first_place", first_place)))
-            many = np.zeros(n, dtype=bool)
             same = x["key"][1:] == x["key"][:-1]
+            run_begins = np.flatnonzero(np.r_[True, ~same | (x["step"][1:] != x["step"][:-1])])
+            of_run = np.searchsorted(run_begins, np.arange(len(x["key"])), side="right") - 1
+            own = np.stack([x["gid"][run_begins], x["n"][run_begins], x["place"][run_begins], np.ones(len(run_begins), np.int64)])
+            if firsts:
+                own[:, 0] = firsts[0]  # the held entry's run began before
+            below = np.zeros_like(own)
+            k, step = x["key"][run_begins], x["step"][run_begins]
+            near = (k[1:] == k[:-1]) & (step[1:] == step[:-1] + 1)
+            below[:, 1:] = own[:, :-1] * near
+            if firsts:
+                below[:, 0] = firsts[1]
+            many = np.zeros(len(x["key"]), dtype=bool)
             many[1:] |= same
             many[:-1] |= same
-            if key_before is not None and held is not None and x["key"][0] == key_before and held["many"]:
-                many[0] = True
-            first_gid, first_n, first_place, first_step, key_before = (out["first_gid"][-1], out["first_n"][-1], out["first_place"][-1], x["step"][-1], x["key"][-1])
-            held = {c: v[-1:] for c, v in x.items()} | {"many": bool(many[-1])}
+            many[0] |= many_before
+            many_before, firsts = bool(many[-1]), [own[:, -1].copy(), below[:, -1].copy()]
+            held = {c: v[-1:] for c, v in x.items()}
             keep = np.flatnonzero(many[:-1])
             if len(keep):
-                yield _entries({c: v[keep] for c, v in out.items()})
-        if held is not None and held["many"]:
-            yield _entries({"key": held["key"], "gid": held["gid"], "n": held["n"], "place": held["place"], "first_gid": [first_gid], "first_n": [first_n], "first_place": [first_place]})
+                earlier = []
+                for back in range(1, BEFORE + 1):
+                    at = np.maximum(keep - back, 0)
+                    there = (keep >= back) & (x["key"][at] == x["key"][keep])
+                    earlier.append(np.stack([x["gid"][at], x["n"][at], x["place"][at], there.astype(np.int64)]))
+                yield _entries({c: v[keep] for c, v in x.items()}, own[:, of_run[keep]], below[:, of_run[keep]], *earlier)
+        if held is not None and many_before:
+            yield _entries(held, firsts[0][:, None], firsts[1][:, None])
+
+    def _entries(x: dict[str, np.ndarray], *others: np.ndarray) -> pa.RecordBatch:
+        gid, n, place, there = np.stack(others, axis=2)
+        ok = (there > 0) & (gid != x["gid"][:, None]) & _possible(x["n"][:, None], x["place"][:, None], n, place)
+        offsets = np.r_[0, np.cumsum(ok.sum(axis=1))]
+        others_of = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(gid[ok], pa.int64()))
+        return pa.RecordBatch.from_arrays([*[pa.array(x[c]) for c in kinds], others_of], names=[*kinds, "others"])
 
-    def _entries(out) -> pa.RecordBatch:
-        ok = _possible(np.asarray(out["n"]), np.asarray(out["place"]), np.asarray(out["first_n"]), np.asarray(out["first_place"])) & (np.asarray(out["gid"]) != np.asarray(out["first_gid"]))
-        first = pa.array(np.asarray(out["first_gid"], dtype=np.int64), pa.int64(), mask=~ok)
-        return pa.RecordBatch.from_arrays([*[pa.array(np.asarray(out[c], dtype=np.int64)) for c in kinds], first], names=[*kinds, "first"])
+    return spread.mapInArrow(run, "key long, gid long, n long, place long, others array<long>")
+
+
+
+def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes whose parities still allow a link, as a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = _most_different(batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
+            x, y = batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist()
+            ok = pa.array([_differ(i, j) <= m for i, j, m in zip(x, y, most.tolist(), strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(ok)
 
-    return spread.mapInArrow(run, "key long, gid long, n long, place long, first long")
+    of = [members.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "ab"]
+    both = pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+    return written(both.mapInArrow(run, "a long, b long"), "pairs")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) of nodes whose whole sets link."""
+    """Those of ``pairs`` (a, b) of nodes whose whole sets link, as a written table."""
     spark = docs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # which nodes are wanted, as a bit map of fixed size at most: it spares sending the sets of all others
@@ -270,58 +330,111 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = pa.array([_linked(i, j) for i, j in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(ok)
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+    links = written(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long"), "links")
+    drop_written(whole)
+    return links
 
 
-def _between(lists: DataFrame) -> DataFrame:
-    """Pairs of units (gid and root) of different roots that share a key and can link: (gid_a, root_a, gid_b, root_b)."""
-    # only lists with more than one component are of interest
-    many = lists.groupBy("key").agg(F.count("*").alias("entries"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    many = many.select("key", F.ceil(F.col("entries") / LIST).cast("int").alias("blocks"))
-    dealt = lists.join(many, "key").withColumn("block", F.pmod(F.xxhash64("gid", "root"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "gid", "root", "n", "place")
-    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "root")
-    columns = ("key", "lo", "hi", "block", "gid", "root", "n", "place")
-
-    def pair(x: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        """All pairs of one list, or of two blocks of it: at most 2 * LIST entries or so."""
-        roots, counts = np.unique(x["root"], return_counts=True)
-        if len(roots) < 2:
-            return None
-        most = roots[np.argmax(counts)]
-        mine, theirs = [], []
-        for i in np.flatnonzero(x["root"] != most):
-            ok = (x["root"] != x["root"][i]) & _possible(x["n"][i], x["place"][i], x["n"], x["place"])
-            ok &= (x["root"] == most) | (np.arange(len(ok)) > i)
-            if x["lo"][0] != x["hi"][0]:
-                ok &= x["block"] != x["block"][i]
-            found = np.flatnonzero(ok)
-            mine.append(np.full(len(found), i))
-            theirs.append(found)
-        i, j = np.concatenate(mine), np.concatenate(theirs)
-        turn = x["root"][i] > x["root"][j]
-        i, j = np.where(turn, j, i), np.where(turn, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(x[c][k]) for k in (i, j) for c in ("gid", "root")], names=["gid_a", "root_a", "gid_b", "root_b"]) if len(i) else None
+def _streamed(rows: DataFrame, keys: list[str], columns: list[str], pairs_of, schema: str, binary: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs_of`` (columns, edges) of all lists of ``rows``, each list whole: a stream sorted by ``keys`` first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns}
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            x = {c: v if c in binary else v.astype(np.int64) for c, v in x.items()}
             if held is not None:
-                x = {c: np.r_[held[c], v] for c, v in x.items()}
-            cut = np.flatnonzero((x["key"][1:] != x["key"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])) + 1
-            edges = [0, *cut.tolist()]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if (out := pair({c: v[a:b] for c, v in x.items()})) is not None:
-                    yield out
-            held = {c: v[edges[-1] :] for c, v in x.items()}
-        if held is not None and (out := pair(held)) is not None:
-            yield out
+                x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
+            differs = np.logical_or.reduce([x[k][1:] != x[k][:-1] for k in keys])
+            cut = np.flatnonzero(differs) + 1
+            if len(cut):
+                yield from pairs_of(x, np.r_[0, cut])
+            held = {c: v[cut[-1] if len(cut) else 0 :] for c, v in x.items()}
+        if held is not None:
+            yield from pairs_of(held, np.array([0, len(held[keys[0]])]))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").select(*columns).mapInArrow(run, schema)
+
+
+def _short(x: dict[str, np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of units (gid, root) of different roots in short lists: lists of one length together."""
+    begins, sizes = edges[:-1], np.diff(edges)
+    for m in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(m, 1)
+        at = begins[sizes == m]
+        step = max(1, 2_000_000 // len(i))
+        for k in range(0, len(at), step):
+            a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+            ok = (x["root"][a] != x["root"][b]) & _possible(x["n"][a], x["place"][a], x["n"][b], x["place"][b])
+            a, b = a[ok], b[ok]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(x[c][k]) for k in (a, b) for c in ("gid", "root")], names=["gid_a", "root_a", "gid_b", "root_b"])
+
+
+def _fold(maps: np.ndarray, words: int) -> np.ndarray:
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _long(x: dict[str, np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different roots in long lists, or two blocks of one, whose parities allow a link."""
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        root, n, place, node, block = (x[c][begin:end] for c in ("root", "n", "place", "node", "block"))
+        apart = x["lo"][begin] != x["hi"][begin]
+        words = np.array([len(p) // 8 for p in x["parity"][begin:end]])
+        maps = {w: np.frombuffer(b"".join(x["parity"][begin:end][words == w]), dtype=np.uint64).reshape(-1, w) for w in np.unique(words).tolist()}
+        row = np.zeros(end - begin, dtype=np.int64)
+        for w in maps:
+            row[words == w] = np.arange(len(maps[w]))
+        after = np.searchsorted(root, root, side="right")  # a root's entries stand together
+        mine, theirs = [], []
+        for i in range(end - begin):
+            ok = _possible(n[i], place[i], n[after[i] :], place[after[i] :])
+            if apart:
+                ok &= block[after[i] :] != block[i]
+            found = np.flatnonzero(ok) + after[i]
+            for w in np.unique(words[found]).tolist():
+                some = found[words[found] == w]
+                least = min(w, int(words[i]))
+                far = np.bitwise_count(_fold(maps[w][row[some]], least) ^ _fold(maps[int(words[i])][row[i] : row[i] + 1], least)).sum(axis=1)
+                some = some[far <= _most_different(n[some] + n[i])]
+                mine.append(np.full(len(some), node[i]))
+                theirs.append(node[some])
+        if mine and len(a := np.concatenate(mine)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate(theirs))], names=["a", "b"])
+
+
+def _between(lists: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a key and can still link.
+
+    ``lists`` (key, gid, n, place); ``rooted`` (gid, node, root, parity). Short lists are paired by unit (gid and
+    root), and then expanded; long ones by node, with the parities beside them.
+    """
+    units = rooted.select("gid", "root").distinct()
+    lists = lists.join(units, "gid")
+    # only lists with more than one component are of interest
+    many = lists.groupBy("key").agg(F.count("*").alias("entries"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    many = many.select("key", "entries", F.ceil(F.col("entries") / LIST).cast("int").alias("blocks"))
+    dealt = written(lists.join(many, "key"), "dealt")
+
+    short = _streamed(dealt.where(F.col("entries") <= SHORT_LIST), ["key"], ["key", "gid", "root", "n", "place"], _short, "gid_a long, root_a long, gid_b long, root_b long").distinct()
+    # members of one group in different components are pairs as well
+    split = units.join(rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid"), "gid", "left_semi")
+    own = split.select("gid", F.col("root").alias("root_a")).join(split.select("gid", F.col("root").alias("root_b")), "gid").where("root_a < root_b")
+    short = short.union(own.select(F.col("gid").alias("gid_a"), "root_a", F.col("gid").alias("gid_b"), "root_b"))
+    a, b = (rooted.select(F.col("gid").alias(f"gid_{c}"), F.col("root").alias(f"root_{c}"), F.col("node").alias(c)) for c in "ab")
+    short = short.join(a, ["gid_a", "root_a"]).join(b, ["gid_b", "root_b"]).select("a", "b")
 
-    return spread.mapInArrow(run, "gid_a long, root_a long, gid_b long, root_b long").distinct()
+    long = dealt.where(F.col("entries") > SHORT_LIST).join(rooted, ["gid", "root"])
+    long = long.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long = long.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    long = _streamed(long, ["key", "lo", "hi"], ["key", "lo", "hi", "block", "root", "node", "n", "place", "parity"], _long, "a long, b long", ("parity",))
+    both = short.union(long).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.distinct()
 
 
 def documents_with_components(docs: DataFrame) -> DataFrame:
@@ -331,33 +444,23 @@ def documents_with_components(docs: DataFrame) -> DataFrame:
     first = written(_sketch_and_nodes(docs), "nodes")
     rows = first.where("part is null").select("doc_id", "text_key", "n", "node")
     prefixes = written(_prefixes(docs, _ranks(first.where("part is not null"))), "prefixes")
-    members = prefixes.select("gid", "node").distinct()
+    members = written(prefixes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("gid", "n", "parity")]), "members")
     lists = written(_lists(prefixes), "lists")
 
-    # each group with the first of its lists, and each member of a group with the group's first
+    # each group with the first few of its lists, and each member of a group with the group's first
     first_of = members.groupBy("gid").agg(F.min("node").alias("head"))
-    heads = lists.where("first is not null").select("gid", "first").distinct()
+    heads = lists.select("gid", F.explode("others").alias("first")).distinct()
     across = heads.join(first_of.select("gid", F.col("head").alias("a")), "gid").join(first_of.select(F.col("gid").alias("first"), F.col("head").alias("b")), "first").select("a", "b")
-    inside = members.join(first_of, "gid").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    pairs = written(across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    links = written(_verified(docs, pairs), "links")
+    inside = members.select("gid", "node").join(first_of, "gid").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    links = _verified(docs, _likely(pairs, members))
     roots = written(components(links), "roots")
 
-    # what is left: pairs of groups in different components
-    rooted = members.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"))
-    units = rooted.select("gid", "root").distinct()
-    left = _between(lists.select("key", "gid", "n", "place").join(units, "gid"))
-    # lists have two groups at least; members of one group in different components are pairs as well
-    apart = rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
-    split = units.join(apart, "gid", "left_semi")
-    own = split.select("gid", F.col("root").alias("root_a")).join(split.select("gid", F.col("root").alias("root_b")), "gid").where("root_a < root_b")
-    left = left.union(own.select(F.col("gid").alias("gid_a"), "root_a", F.col("gid").alias("gid_b"), "root_b"))
-    a = rooted.select(F.col("gid").alias("gid_a"), F.col("root").alias("root_a"), F.col("node").alias("a"))
-    b = rooted.select(F.col("gid").alias("gid_b"), F.col("root").alias("root_b"), F.col("node").alias("b"))
-    rest = left.join(a, ["gid_a", "root_a"]).join(b, ["gid_b", "root_b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verified(docs, rest)) if not rest.isEmpty() else links
-    roots = written(components(links), "roots")
+    # what is left: pairs of nodes in different components
+    rooted = members.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"), "parity")
+    rest = _likely(_between(lists.select("key", "gid", "n", "place"), rooted), members)
+    if not rest.isEmpty():
+        roots = written(components(links.union(_verified(docs, rest))), "roots")
 
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
