@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from clauseworks.llm.common import ascii_lower
 
 
+#: Rules, of some hundred bytes each, that may be broadcast.
+MAX_BROADCAST = 50_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rule``: its name; ``regex``: over host and path; ``tokens``: whole tokens of every URL that it fits."""
@@ -67,6 +71,9 @@ def path_of(url: Column) -> Column:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern): one row a page."""
     spark = pages.sparkSession
+    # so many rules, which the driver holds already, go to every executor; more are joined by shuffling
+    few = len(rules) <= MAX_BROADCAST
+    sent = F.broadcast if few else lambda df: df
     schema = "rule string, verdict string, regex string, tokens array<string>, by_host boolean"
     book = spark.createDataFrame([(r.rule, r.verdict, r.regex, list(r.tokens), r.by_host) for r in rules], schema)
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -74,17 +81,19 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("place"), F.lit("[a-z0-9]+"), 0))
     # how many URLs hold each token that a rule has: one row a token of the rules
     wanted = book.select(F.explode("tokens").alias("token")).distinct()
-    held = urls.select(F.explode(tokens).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    held = urls.select(F.explode(tokens).alias("token")).join(sent(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     filed = book.select("*", F.explode_outer("tokens").alias("token")).join(held, "token", "left")
     filed = filed.groupBy("rule", "verdict", "regex", "by_host").agg(
         F.min(F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), "token")).alias("rarest")
     )
     # a rule without tokens is filed under the empty token, which every URL asks for
     index = filed.select("rule", "verdict", "regex", "by_host", F.coalesce(F.col("rarest.token"), F.lit("")).alias("token"))
+    if few:
+        index = spark.createDataFrame(index.collect(), index.schema)
     asked = urls.withColumn("row_id", F.monotonically_increasing_id()).withColumn(
         "token", F.explode(F.concat(F.array(F.lit("")), tokens))
     )
-    tried = asked.join(index, "token", "left")
+    tried = asked.join(sent(index), "token", "left")
     fits = F.rlike("place", "regex")
     found = tried.groupBy("row_id", "page_id", "host", "path").agg(
         F.max(F.when(F.col("by_host") & fits, F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("own"),
