@@ -173,8 +173,12 @@ def coder(path: str) -> Pieces:
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, and n_tokens, ids (binary: little-endian unsigned 32-bit) and decoded."""
+    """``docs`` without ``text``, and n_tokens, ids (binary: little-endian unsigned 32-bit) and decoded.
+
+    The new columns take the place of columns of these names.
+    """
     small_batches(docs.sparkSession)
+    docs = docs.drop("n_tokens", "ids", "decoded")
     out = T.StructType([f for f in docs.schema if f.name != text])
     out = out.add("n_tokens", T.LongType()).add("ids", T.BinaryType()).add("decoded", T.StringType())
 

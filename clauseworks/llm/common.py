@@ -68,6 +68,13 @@ def vocabulary_file(name: str) -> str:
     return os.environ.get("CLAUSEWORKS_VOCABULARY") or public_tokenizers.path(name)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or one like it that no column has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -53,9 +53,11 @@ _NAME = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _HIDDEN = re.compile(r"\shidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def _unwanted(tag: str, rest: str, in_main: bool) -> bool:
+def _unwanted(tag: str, rest: str, in_main: bool, by_name: bool) -> bool:
     if tag in NEVER or tag in NEVER_OUTSIDE and not in_main:
         return True
+    if not by_name:
+        return False
     if not rest or tag in MAIN or tag in ("html", "body"):
         return bool(rest) and tag == "article" and any(set(re.split(r"[\s_-]+", "".join(m[1:]).lower())) & {"comment", "comments"} for m in _NAME.findall(rest))
     if _HIDDEN.search(rest):
@@ -70,8 +72,11 @@ def _unwanted(tag: str, rest: str, in_main: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether in article or main) of each block of the page, in order; unwanted ones weigh nothing."""
+def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
+    """(text, weight, whether in article or main) of each block of the page, in order; unwanted ones weigh nothing.
+
+    ``by_name``: whether classes and ids count, and not only elements.
+    """
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
@@ -127,7 +132,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if tag in VOID or (m["rest"] or "").endswith("/"):
             continue
         good = tag in MAIN
-        bad = _unwanted(tag, m["rest"] or "", main > 0)
+        bad = _unwanted(tag, m["rest"] or "", main > 0, by_name)
         if good and not bad and unwanted and not main:
             while unwanted:  # an article does not begin in a menu: that was never closed
                 pop()
@@ -145,6 +150,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
 
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
+    if not any(w for _, w, _ in lines):  # a name may stand on what holds the whole page
+        lines = lines_of(html or "", False)
     weights = [w + SURGE * m if w or m else 0 for _, w, m in lines]
     n = len(lines)
     stretches: list[tuple[int, list[int]]] = []

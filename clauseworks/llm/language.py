@@ -206,7 +206,7 @@ def learn(docs: DataFrame) -> dict[str, str]:
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """``docs`` and lang_pred, score."""
+    """``docs`` and lang_pred, score, which take the place of columns of these names."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(samples)  # SAMPLE_CHARS a language at most
@@ -233,4 +233,6 @@ def predictions(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in a language that could be told, with its columns."""
     samples = learn(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("text", "lang"))
-    return identify(docs, samples).where(F.col("lang_pred") != UND).select(*docs.columns)
+    # columns of any name pass through
+    held = docs.select("text", *[F.col(c).alias(f"keep_{c}") for c in docs.columns])
+    return identify(held, samples).where(F.col("lang_pred") != UND).select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])

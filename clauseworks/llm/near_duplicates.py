@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseworks.llm.chunks import small_batches
-from clauseworks.llm.common import bucket_count, drop_written, written
+from clauseworks.llm.common import bucket_count, drop_written, fresh, written
 from clauseworks.llm.components import components
 from clauseworks.llm.shingles import set_id, shingle_sets
 
@@ -471,15 +471,20 @@ def documents_with_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the least id, and of equal rows any one."""
     found = documents_with_components(docs)
-    keys = ["doc_id", "text_key"]
-    verdict = found.groupBy(*keys).agg(F.count("*").alias("rows"), F.first("component_id").alias("c"))
-    verdict = written(verdict.select(*[F.col(k).alias(f"_{k}") for k in keys], "rows", F.col("c").eqNullSafe(F.col("doc_id")).alias("stays")), "verdict")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    on = [keyed[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
-    gone = keyed.join(verdict.where("not stays"), on, "left_anti")
-    if verdict.where("stays and rows > 1").isEmpty():
-        return gone.drop("text_key")
-    again = verdict.where("stays and rows > 1")
-    single = gone.join(again, [gone[k].eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
-    several = gone.join(again, [gone[k].eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi").dropDuplicates(keys)
-    return single.unionByName(several).drop("text_key")
+    verdict = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("component_id").alias("c"))
+    verdict = written(verdict.withColumn("stays", F.col("c").eqNullSafe(F.col("doc_id"))), "verdict")
+    # names that no column of docs has
+    key = fresh(docs.columns, "text_key")
+    same = {c: fresh([*docs.columns, key], f"of_{c}") for c in ("doc_id", "text_key")}
+
+    def those(which: str) -> DataFrame:
+        return verdict.where(which).select(*[F.col(c).alias(n) for c, n in same.items()])
+
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    on = F.col("doc_id").eqNullSafe(F.col(same["doc_id"])) & F.col(key).eqNullSafe(F.col(same["text_key"]))
+    stay = keyed.join(those("not stays"), on, "left_anti")
+    again = those("stays and rows > 1")
+    if again.isEmpty():
+        return stay.drop(key)
+    several = stay.join(again, on, "left_semi").dropDuplicates(["doc_id", key])
+    return stay.join(again, on, "left_anti").unionByName(several).drop(key)

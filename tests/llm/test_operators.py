@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseworks.llm import bpe, html_text, language, licenses, mixing, near_duplicates, nearest, quality, shingles, token_files, url_filter
+from clauseworks.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = "the a of and river stone house winter bright over under quick slow green tall small water fire earth wind".split()
@@ -104,7 +105,7 @@ def test_html():
     "page, text",
     [
         (None, ""), ("", ""), ("<p></p>", ""), ("plain", "plain"), ("<p>Hello", "Hello"), ("<div><p>a<p>b</div>", "a b"), ("a < b", "a < b"),
-        ("<nav>menu<article><p>Body text</p></article>", "Body text"), ("<!-- x --><p>y", "y"), ("<p>&#228;&nbsp;&lt;b&gt;</p>", "ä <b>"), ("<", "<"), ("<a href='x>y", "<a href='x>y"),
+        ("<nav>menu<article><p>Body text</p></article>", "Body text"), ("<!-- x --><p>y", "y"), ("<p>&#228;&nbsp;&lt;b&gt;</p>", "ä <b>"), ("<", "<"), ("<a href='x>y", "<a href='x>y"), ("<div class=no-sidebar><p>All of it</p></div>", "All of it"),
     ],
 )
 def test_html_edges(page, text):
@@ -263,6 +264,24 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
     test_near_duplicates_equal_brute_force(spark)
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components(spark, small):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 140)] + [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(70)] + [(-5, 7)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {x: find(x) for x in linked}
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, none):
     out = near_duplicates.documents_with_components(odd).collect()
     assert len(out) == odd.count()

@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 
 from clauseworks.llm import queries
 
@@ -46,6 +47,18 @@ def test_an_empty_table_goes_through(spark, folder, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark, folder, tmp_path):
+    names = ["score", "lang_pred", "text_key", "of_doc_id", "row_id", "size", "copies", "keep_text", "part", "root", "rows", "stays", "host", "n_tokens", "ids"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))]
+    assert P.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
 def test_registered():
     import __spark_entry__ as e
 
