@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseworks.llm.chunks import small_batches
-from clauseworks.llm.common import bucket_count, drop_written, fresh, written
+from clauseworks.llm.common import bucket_count, drop_tables, drop_written, fresh, noting_tables, written
 from clauseworks.llm.components import components
 from clauseworks.llm.shingles import set_id, shingle_sets
 
@@ -470,9 +470,11 @@ def documents_with_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the least id, and of equal rows any one."""
-    found = documents_with_components(docs)
+    with noting_tables() as tables:
+        found = documents_with_components(docs)
     verdict = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("component_id").alias("c"))
     verdict = written(verdict.withColumn("stays", F.col("c").eqNullSafe(F.col("doc_id"))), "verdict")
+    drop_tables(docs.sparkSession, tables)  # the verdict is all that is needed of them
     # names that no column of docs has
     key = fresh(docs.columns, "text_key")
     same = {c: fresh([*docs.columns, key], f"of_{c}") for c in ("doc_id", "text_key")}
