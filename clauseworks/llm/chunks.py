@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 #: Pieces kept in a worker, characters cut into pieces at a time, and rows in an Arrow batch: bounds of memory.
-MAX_KEPT = 100_000
+MAX_KEPT = 300_000
 SLICE = 1_000_000
 ROWS = 1_000
 

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauseworks.llm.chunks import small_batches
-from clauseworks.llm.common import written
 
 #: Characters learned from for each language, texts that they may come from, and characters of one text at most.
 SAMPLE_CHARS = 50_000
@@ -197,7 +196,6 @@ def learn(docs: DataFrame) -> dict[str, str]:
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
     least = known.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("place")).agg(F.min("h").alias("h")).select("lang", "h")
-    least = written(least, "sample")  # SAMPLE_TEXTS rows a language: its size is known when the join is planned
     taken = known.join(least, ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, SAMPLE_TEXT_CHARS).alias("part"))
     samples: dict[str, str] = {}
     for row in taken.distinct().orderBy("lang", "h", "part").toLocalIterator():

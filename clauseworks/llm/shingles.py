@@ -9,7 +9,7 @@ import numpy as np
 #: Words in a shingle.
 WORDS = 5
 #: Bytes of text hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 22
 
 # Odd multipliers of the hashes.
 _BASE = 0x9E3779B97F4A7C15
