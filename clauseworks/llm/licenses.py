@@ -3,7 +3,9 @@
 Lines that may belong to a license notice are joined to blocks. A block is compressed by zstandard alone, and with
 each template as raw dictionary; the template that saves most, as a part of the block, comes first. A winner is
 confirmed by the exact differences in wording: almost all of the template's words must stand in the block, in
-order and close together, and every word with a digit (a version) without change.
+order and close together, and every word with a digit (a version) without change. Where a sentence is no notice as a
+whole, and where it is too long for one, every place in it is tried that has enough of a template's words; the notice
+found there is judged as a block of its own, and so is what stands before and after it.
 
 Defined cases: a null or empty text has no finding; repeated rows are scanned each; a notice is found wherever it
 stands, in texts of any length; other columns are left out.
@@ -12,10 +14,13 @@ stands, in texts of any length; other columns are left out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -76,6 +81,11 @@ class Finding:
     extra: tuple[str, ...]
 
 
+def _others(want: list[str]) -> float:
+    """Other words that may stand between those of a template."""
+    return max(4, EXTRA * len(want))
+
+
 def words_of(text: str) -> list[str]:
     return [m[0].lower() for m in _WORD.finditer(text)]
 
@@ -84,6 +94,10 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self._names = [n for n, _ in templates]
         self._words = [words_of(t) for _, t in templates]
+        self._of: dict[str, list[int]] = {}
+        for i, ws in enumerate(self._words):
+            for w in set(ws):
+                self._of.setdefault(w, []).append(i)
         self._known = {w for ws in self._words for w in ws}
         self._alone = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
         self._with = []
@@ -99,6 +113,79 @@ class Scanner:
         own = len(self._alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / own, -i) for i, c in enumerate(self._with)), reverse=True)
 
+    def _confirmed(self, i: int, have: list[str]) -> tuple[int, int, tuple[str, ...], tuple[str, ...]] | None:
+        """(first word, word after the last, missing, extra) of template ``i`` in ``have``, if all but a few stand there.
+
+        Where words like the template's stand far before or after it, the matches nearest to its wording count.
+        """
+        want = self._words[i]
+        pairs = [m for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
+        sizes = [0, *accumulate(m.size for m in pairs)]
+        spans = [(x, y) for x in range(len(pairs)) for y in range(x + 1, len(pairs) + 1) if sizes[y] - sizes[x] >= COVER * len(want)]
+        best = None
+        for x, y in sorted(spans, key=lambda s: s[0] - s[1]):
+            some, n = pairs[x:y], sizes[y] - sizes[x]
+            first, last = some[0].b, some[-1].b + some[-1].size
+            if last - first - n > _others(want):
+                continue
+            met = {m.a + k for m in some for k in range(m.size)}
+            used = {m.b + k for m in some for k in range(m.size)}
+            missing = tuple(w for k, w in enumerate(want) if k not in met)
+            if not any(c.isdigit() for w in missing for c in w):
+                found = (len(missing) + last - first - n, first, last, missing, tuple(have[k] for k in range(first, last) if k not in used))
+                best = min(best, found) if best else found
+            if best and y - x == len(pairs):
+                break
+        return best[1:] if best else None
+
+    def _places(self, have: list[str]) -> list[tuple[int, int]]:
+        """(first word, word after the last) of notices that stand anywhere in ``have``, the longest templates' first.
+
+        A template can only be confirmed where its words are: each start is tried from which enough of them follow.
+        """
+        spots: dict[int, list[int]] = {}
+        for k, w in enumerate(have):
+            for i in self._of.get(w, ()):
+                spots.setdefault(i, []).append(k)
+        out: list[tuple[int, int]] = []
+        free = [(0, len(have))]
+        for i in sorted(spots, key=lambda i: (-len(self._words[i]), i)):
+            rest = []
+            for a, b in free:
+                for first, last in self._places_of(i, have, spots[i], a, b):
+                    out.append((first, last))
+                    rest.append((a, first))
+                    a = last
+                rest.append((a, b))
+            free = rest
+        return sorted(out)
+
+    def _places_of(self, i: int, have: list[str], spots: list[int], start: int, end: int) -> Iterator[tuple[int, int]]:
+        """Places of template ``i`` from word ``start`` to before ``end``, in order; its words stand at ``spots``."""
+        want = self._words[i]
+        at = spots[bisect_left(spots, start) : bisect_left(spots, end)]
+        least, reach = COVER * len(want), len(want) + int(_others(want))
+        if len(at) < least:
+            return
+        left = Counter(want)  # what is still wanted in the words from at[x] to before at[y]
+        n = y = 0
+        done = start
+        for k in at:
+            while y < len(at) and at[y] < k + reach:
+                n += left[have[at[y]]] > 0
+                left[have[at[y]]] -= 1
+                y += 1
+            if k >= done and n >= least and (met := self._confirmed(i, have[k : min(end, k + reach)])):
+                first, last = k + met[0], k + met[1]
+                # a start before the notice may have cut its end
+                if more := self._confirmed(i, have[first : min(end, first + reach)]):
+                    first, last = first + more[0], first + more[1]
+                if self._judged(" ".join(have[first:last])):
+                    yield first, last
+                    done = last
+            left[have[k]] += 1
+            n -= left[have[k]] > 0
+
     def _judge(self, block: str) -> tuple[int, float, int, int, tuple[str, ...], tuple[str, ...]] | None:
         """(template, saved, first word, word after the last, missing, extra) of the words of ``block``, if confirmed."""
         have = block.split(" ")
@@ -107,16 +194,8 @@ class Scanner:
             if saved < SAVED:
                 break
             want = self._words[-i]
-            pairs = [m for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
-            if not pairs:
-                continue
-            met = {m.a + k for m in pairs for k in range(m.size)}
-            used = {m.b + k for m in pairs for k in range(m.size)}
-            first, last = min(used), max(used) + 1
-            missing = tuple(w for k, w in enumerate(want) if k not in met)
-            extra = tuple(have[k] for k in range(first, last) if k not in used)
-            close = len(extra) <= max(4, EXTRA * len(want))
-            if len(met) >= COVER * len(want) and close and not any(c.isdigit() for w in missing for c in w):
+            if (met := self._confirmed(-i, have)) is not None:
+                first, last, missing, extra = met
                 found = (len(missing) + len(extra), -len(want), -i, saved, first, last, missing, extra)
                 best = min(best, found) if best else found
         return best[2:] if best else None
@@ -147,7 +226,7 @@ class Scanner:
             yield run
 
     def _in(self, text: str, start: int, end: int) -> list[Finding]:
-        """Findings in a span: the block is confirmed, then what stands before and after it."""
+        """Findings in a span: a notice is confirmed, in the whole or in a part of it, then what stands before and after it."""
         out = []
         todo = [(start, end)]
         while todo:
@@ -155,20 +234,21 @@ class Scanner:
             at = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text, a, b)]
             if not at or not _ANCHOR.search(text, a, b):
                 continue
-            if len(at) > BLOCK_WORDS or len(at) > 3 * max(map(len, self._words)):
-                # only sentences around an anchor
+            have = [w for *_, w in at]
+            found = self._judged(" ".join(have)) if len(have) <= min(BLOCK_WORDS, 3 * max(map(len, self._words))) else None
+            if found is None:  # the notice may be a part of the span
                 parts = [(m.start() + a, m.end() + a) for m in _SENTENCE.finditer(text[a:b])]
                 if len(parts) > 1:
                     todo += [p for p in parts if _ANCHOR.search(text, *p)]
                     continue
-                middle = [m.start() for m in _ANCHOR.finditer(text, a, b)]
-                spots = [next((k for k, (s, e, _) in enumerate(at) if e > x), 0) for x in middle]
-                todo += [(at[max(0, k - 60)][0], at[min(len(at), k + 120) - 1][1]) for k in spots[:1]]
-                continue
-            found = self._judged(" ".join(w for *_, w in at))
-            if found is None:  # the notice may be one sentence of several
-                parts = [(m.start() + a, m.end() + a) for m in _SENTENCE.finditer(text[a:b])]
-                todo += [p for p in parts if _ANCHOR.search(text, *p)] if len(parts) > 1 else []
+                places = self._places(have)
+                for first, last in places:
+                    i, saved, f, n, missing, extra = self._judged(" ".join(have[first:last]))
+                    s, e = at[first + f][0], at[first + n - 1][1]
+                    out.append(Finding(self._names[i], s, e, saved, missing, extra))
+                    todo.append((a, s))
+                    a = e
+                todo += [(a, b)] if places else []
                 continue
             i, saved, first, last, missing, extra = found
             out.append(Finding(self._names[i], at[first][0], at[last - 1][1], saved, missing, extra))

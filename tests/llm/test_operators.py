@@ -471,6 +471,23 @@ def test_one_word_more_is_told():
     assert f.license == "GPL-3.0" and f.extra == ("terms", "of", "the") or f.extra == ("the", "terms", "of")
 
 
+def flat(notice):
+    return " ".join(licenses.words_of(notice))
+
+
+@pytest.mark.parametrize("before, after", [(20, 60), (400, 400)])
+@pytest.mark.parametrize("name, notice", licenses.TEMPLATES)
+def test_a_notice_in_a_line_without_sentence_ends(before, after, name, notice):
+    text = f"by permission of the copyright owner {flat(prose(before, 1))} {flat(notice)} {flat(prose(after, 2))}"
+    [f] = licenses.scanner().scan(text)
+    assert f.license == name and text[f.start : f.end] == flat(notice) and not f.missing + f.extra
+
+
+def test_every_notice_of_a_line_without_sentence_ends():
+    text = " ".join(f"{flat(prose(150, i))} {flat(n)}" for i, (_, n) in enumerate(licenses.TEMPLATES))
+    assert [f.license for f in licenses.scanner().scan(text)] == [n for n, _ in licenses.TEMPLATES]
+
+
 def test_license_rows(odd, none):
     out = licenses.scan(odd).collect()
     assert len(out) == odd.count() and {r["n_found"] for r in out} == {0}
