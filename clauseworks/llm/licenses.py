@@ -3,7 +3,7 @@
 Lines that may belong to a license notice are joined to blocks. A block is compressed by zstandard alone, and with
 each template as raw dictionary; the template that saves most, as a part of the block, comes first. A winner is
 confirmed by the exact differences in wording: almost all of the template's words must stand in the block, in
-order and close together, and every word with a digit (a version) without change. Where a sentence is no notice as a
+order and close together, and every word with a digit (a version) without change. Where a block is no notice as a
 whole, and where it is too long for one, every place in it is tried that has enough of a template's words; the notice
 found there is judged as a block of its own, and so is what stands before and after it.
 
@@ -35,8 +35,6 @@ COVER = 0.85
 EXTRA = 0.25
 #: Templates that are confirmed word by word, in the order of savings.
 TRIED = 3
-#: Lines longer than this are cut at sentence ends before they are compressed; words in a block at most.
-BLOCK_WORDS = 2_000
 
 # License names and the wordings of their notices.
 TEMPLATES = (
@@ -67,7 +65,6 @@ TEMPLATES = (
 )
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_SENTENCE = re.compile(r"[^.!?\n]+(?:\.(?=\S)[^.!?\n]+)*[.!?]?")
 _ANCHOR = re.compile(r"licen[sc]|copyright|all rights|rights reserved|permission|redistribut|warrant|public domain|free software|\bCC0?[ -]", re.I)
 
 
@@ -235,12 +232,8 @@ class Scanner:
             if not at or not _ANCHOR.search(text, a, b):
                 continue
             have = [w for *_, w in at]
-            found = self._judged(" ".join(have)) if len(have) <= min(BLOCK_WORDS, 3 * max(map(len, self._words))) else None
+            found = self._judged(" ".join(have)) if len(have) <= 3 * max(map(len, self._words)) else None
             if found is None:  # the notice may be a part of the span
-                parts = [(m.start() + a, m.end() + a) for m in _SENTENCE.finditer(text[a:b])]
-                if len(parts) > 1:
-                    todo += [p for p in parts if _ANCHOR.search(text, *p)]
-                    continue
                 places = self._places(have)
                 for first, last in places:
                     i, saved, f, n, missing, extra = self._judged(" ".join(have[first:last]))

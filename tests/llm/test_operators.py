@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -488,6 +489,15 @@ def test_every_notice_of_a_line_without_sentence_ends():
     assert [f.license for f in licenses.scanner().scan(text)] == [n for n, _ in licenses.TEMPLATES]
 
 
+@pytest.mark.parametrize("width", [40, 72, 10_000])
+def test_every_notice_of_a_long_run_of_lines(width):
+    several = [(n, t) for n, t in licenses.TEMPLATES if len(licenses.words_of(t)) > 12] * 3
+    text = "\n\n".join(textwrap.fill(t, width, break_long_words=False, break_on_hyphens=False) for _, t in several)
+    found = licenses.scanner().scan(text)
+    assert [f.license for f in found] == [n for n, _ in several]
+    assert not any(f.missing + f.extra for f in found)
+
+
 def test_license_rows(odd, none):
     out = licenses.scan(odd).collect()
     assert len(out) == odd.count() and {r["n_found"] for r in out} == {0}
