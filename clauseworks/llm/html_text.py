@@ -28,7 +28,7 @@ SURGE = 80
 SMALL = 0.2
 
 # Elements by what they do, and the words by which a class or id names what is not the main text.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select|head"
+RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select"
 NEVER = frozenset("nav footer aside form button dialog menu fieldset label".split())
 NEVER_OUTSIDE = frozenset(["header"])
 MAIN = frozenset("article main".split())
@@ -58,7 +58,7 @@ def _unwanted(tag: str, rest: str, in_main: bool, by_name: bool) -> bool:
         return True
     if not by_name:
         return False
-    if not rest or tag in MAIN or tag in ("html", "body"):
+    if not rest or tag in MAIN or tag in ("html", "head", "body"):
         return bool(rest) and tag == "article" and any(set(re.split(r"[\s_-]+", "".join(m[1:]).lower())) & {"comment", "comments"} for m in _NAME.findall(rest))
     if _HIDDEN.search(rest):
         return True

@@ -119,6 +119,13 @@ def test_html_without_an_article_keeps_the_dense_part():
     assert html_text.main_text(page) == " ".join(prose(30, i) for i in range(5))
 
 
+@pytest.mark.parametrize("end", ["", "</head>"])
+def test_html_head_may_stay_open(end):
+    page = f"<html><head class=ad><meta charset=utf-8><title>x</title><style>p{{}}</style><script>s</script>{end}<body><article><p>Body text</article>"
+    assert html_text.main_text(page) == "Body text"
+    assert html_text.main_text(page.replace("article", "div")) == "Body text"
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", "<p>" + "word " * 100_000)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
