@@ -5,7 +5,9 @@ what the markup itself names as menu, header, footer, sidebar, notice, advert or
 and neither do words in links. The weights are summed over a sliding window of lines: where the sum rises above
 ``SURGE`` text begins, where a whole window is empty it ends. Text between such a surge and dive is kept; of
 several stretches, those that are not small beside the largest. The lines of an ``article`` or ``main`` carry a
-surge each, so that an article is kept to its shortest line.
+surge each, so that an article is kept to its shortest line; where they hold at least half of the weight they are the
+main text, and else the stretches outside them count as well. An article in a sidebar, menu, footer or comments
+section that is closed later on is none of the page's.
 
 Defined cases: null, empty or textless html gives an empty text; markup cut off or badly nested is read as far as
 it goes; html without tags is one line; repeated rows are read each.
@@ -32,6 +34,9 @@ RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textar
 NEVER = frozenset("nav footer aside form button dialog menu fieldset label".split())
 NEVER_OUTSIDE = frozenset(["header"])
 MAIN = frozenset("article main".split())
+BESIDE = frozenset("aside nav footer".split())
+BESIDE_ROLES = frozenset("complementary navigation contentinfo".split())
+BESIDE_NAMES = frozenset("comment comments reply replies respond disqus related recommended".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -72,6 +77,32 @@ def _unwanted(tag: str, rest: str, in_main: bool, by_name: bool) -> bool:
     return False
 
 
+def _beside(tag: str, rest: str, by_name: bool) -> bool:
+    """Whether an unwanted element may hold articles of its own, which are not the page's: teasers or comments."""
+    if tag in BESIDE or not by_name:
+        return tag in BESIDE
+    for kind, *value in _NAME.findall(rest):
+        for word in "".join(value).lower().split():
+            parts = re.split("[_-]+", word)
+            if kind.lower() == "role" and word in BESIDE_ROLES or parts[0] in BESIDE_NAMES or parts[-1] in BESIDE_NAMES and parts[0] not in ("has", "no", "with"):
+                return True
+    return False
+
+
+def _closed(html: str) -> set[int]:
+    """Places of the start tags that have an end tag."""
+    found: set[int] = set()
+    opened: dict[str, list[int]] = {}
+    for m in _TOKEN.finditer(html):
+        tag = (m["tag"] or "").lower()
+        if tag and not m["end"]:
+            if tag not in VOID and not (m["rest"] or "").endswith("/"):
+                opened.setdefault(tag, []).append(m.start())
+        elif tag and opened.get(tag):
+            found.add(opened[tag].pop())
+    return found
+
+
 def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     """(text, weight, whether in article or main) of each block of the page, in order; unwanted ones weigh nothing.
 
@@ -80,7 +111,8 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether unwanted, whether main
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, whether unwanted, main, beside the main text; place
+    closed: set[int] | None = None
     unwanted = main = links = 0
 
     def close_line() -> None:
@@ -93,7 +125,7 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
 
     def pop() -> None:
         nonlocal unwanted, main, links
-        tag, bad, good = stack.pop()
+        tag, bad, good, *_ = stack.pop()
         unwanted -= bad
         main -= good
         links -= tag == "a"
@@ -134,13 +166,19 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
         good = tag in MAIN
         bad = _unwanted(tag, m["rest"] or "", main > 0, by_name)
         if good and not bad and unwanted and not main:
-            while unwanted:  # an article does not begin in a menu: that was never closed
+            if closed is None:
+                closed = _closed(html)
+            ends = within = False  # an element whose end tag is optional ends with the one around it
+            for t, _, _, beside, at in stack:
+                ends = at in closed or t in SHORT and ends
+                within |= beside and ends
+            while unwanted and not within:  # an article does not begin in a menu: that was never closed
                 pop()
         if tag not in INLINE:
             # a paragraph ends where the next block begins, and takes its open inline elements with it
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in SHORT):
                 pop()
-        stack.append((tag, bad, good and not bad))
+        stack.append((tag, bad, good and not bad, bad and _beside(tag, m["rest"] or "", by_name), m.start()))
         unwanted += bad
         main += good and not bad
         links += tag == "a"
@@ -168,7 +206,8 @@ def main_text(html: str | None) -> str:
         i = end
     if not stretches:
         return " ".join(t for t, w, _ in lines if w)
-    if any(m for _, _, m in lines):
+    held = sum(lines[k][1] for _, kept in stretches for k in kept if lines[k][2])
+    if any(m for _, _, m in lines) and 2 * held >= sum(lines[k][1] for _, kept in stretches for k in kept):
         wanted = [k for _, kept in stretches for k in kept if lines[k][2]]
     else:
         most = max(size for size, _ in stretches)

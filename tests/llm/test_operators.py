@@ -126,6 +126,31 @@ def test_html_head_may_stay_open(end):
     assert html_text.main_text(page.replace("article", "div")) == "Body text"
 
 
+LONG = "".join(f"<p>{prose(30, i)}</p>" for i in range(5))
+WHOLE = " ".join(prose(30, i) for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div id=content>{LONG}</div><aside><article>teaser</article></aside>", WHOLE),
+        (f"<article>{LONG}</article><div class='post-comments'><ul><li><article>I like it</article><li class=comment><article>So do I</article></ul></div>", WHOLE),
+        (f"<nav>menu<article>{LONG}</article><aside>x</aside><nav>end</nav>", WHOLE),
+        (f"<aside>side<article>{LONG}</article>", WHOLE),
+        (f"<form id=page><article>{LONG}</article></form>", WHOLE),
+        (f"<div class=has-sidebar><article>{LONG}</article></div><p>Skip it</p>", WHOLE),
+        (f"<article>{LONG}</article><div><p>{prose(30, 9)}</div>", WHOLE),
+    ],
+)
+def test_html_articles_beside_the_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_html_text_outside_a_small_article_is_kept():
+    page = f"<div id=content>{LONG}</div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><article>teaser</article>"
+    assert html_text.main_text(page).startswith(WHOLE)
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", "<p>" + "word " * 100_000)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
