@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each block of the page; what is no text at all (scripts, comments, forms) and
 what the markup itself names as menu, header, footer, sidebar, notice, advert or reader comments weighs nothing,
 and neither do words in links. The weights are summed over a sliding window of lines: where the sum rises above
-``SURGE`` text begins, where a whole window is empty it ends. Text between such a surge and dive is kept; of
-several stretches, those that are not small beside the largest. The lines of an ``article`` or ``main`` carry a
+``SURGE`` text begins, where a whole window is empty it ends. Text between such a surge and dive is kept,
+however small beside other stretches. The lines of an ``article`` or ``main`` carry a
 surge each, so that an article is kept to its shortest line; where they hold at least half of the weight they are the
 main text, and else the stretches outside them count as well. An article in a sidebar, menu, footer or comments
 section that is closed later on is none of the page's.
@@ -26,8 +26,6 @@ from clauseworks.llm.chunks import small_batches
 
 WINDOW = 3
 SURGE = 80
-#: A stretch of text with less than this part of the largest one's characters is dropped.
-SMALL = 0.2
 
 # Elements by what they do, and the words by which a class or id names what is not the main text.
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select"
@@ -192,7 +190,7 @@ def main_text(html: str | None) -> str:
         lines = lines_of(html or "", False)
     weights = [w + SURGE * m if w or m else 0 for _, w, m in lines]
     n = len(lines)
-    stretches: list[tuple[int, list[int]]] = []
+    wanted: list[int] = []
     i = 0
     while i < n:
         if not weights[i] or sum(weights[i : i + WINDOW]) < SURGE:
@@ -201,17 +199,13 @@ def main_text(html: str | None) -> str:
         end = i  # the surge; the dive is where a whole window weighs nothing
         while end < n and any(weights[end : end + WINDOW]):
             end += 1
-        kept = [k for k in range(i, end) if weights[k]]
-        stretches.append((sum(weights[k] for k in kept), kept))
+        wanted += [k for k in range(i, end) if weights[k]]
         i = end
-    if not stretches:
+    if not wanted:
         return " ".join(t for t, w, _ in lines if w)
-    held = sum(lines[k][1] for _, kept in stretches for k in kept if lines[k][2])
-    if any(m for _, _, m in lines) and 2 * held >= sum(lines[k][1] for _, kept in stretches for k in kept):
-        wanted = [k for _, kept in stretches for k in kept if lines[k][2]]
-    else:
-        most = max(size for size, _ in stretches)
-        wanted = [k for size, kept in stretches if size >= SMALL * most for k in kept]
+    inside = [k for k in wanted if lines[k][2]]
+    if inside and 2 * sum(lines[k][1] for k in inside) >= sum(lines[k][1] for k in wanted):
+        wanted = inside
     return " ".join(lines[k][0] for k in wanted)
 
 

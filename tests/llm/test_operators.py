@@ -151,6 +151,13 @@ def test_html_text_outside_a_small_article_is_kept():
     assert html_text.main_text(page).startswith(WHOLE)
 
 
+def test_html_small_stretches_are_kept():
+    page = f"<div>{LONG}</div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>{prose(15, 9)}</p>"
+    assert html_text.main_text(page) == f"{WHOLE} {prose(15, 9)}"
+    page = page.replace(prose(15, 9), f"<article>{prose(3, 9)}</article>")
+    assert html_text.main_text(page) == f"{WHOLE} {prose(3, 9)}"
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", "<p>" + "word " * 100_000)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
