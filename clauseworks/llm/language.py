@@ -231,8 +231,13 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a language that could be told, with its columns."""
+    """The rows of ``docs`` in a language that could be told, with its columns.
+
+    Where no sample is there to judge by, those with letters.
+    """
     samples = learn(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("text", "lang"))
+    if not samples:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
     # columns of any name pass through
     held = docs.select("text", *[F.col(c).alias(f"keep_{c}") for c in docs.columns])
     return identify(held, samples).where(F.col("lang_pred") != UND).select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])

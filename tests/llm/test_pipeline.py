@@ -47,6 +47,16 @@ def test_an_empty_table_goes_through(spark, folder, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_documents_without_any_label_stay(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    out = P.language_id(spark, docs, folder)
+    assert out.columns == docs.columns
+    assert {r["doc_id"] for r in out.collect()} == set(range(60)) | {100, 101, 102}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} <= set(range(60))
+    assert P.run(spark, str(tmp_path)).count() > 30
+
+
 def test_columns_of_any_name_pass_through(spark, folder, tmp_path):
     names = ["score", "lang_pred", "text_key", "of_doc_id", "row_id", "size", "copies", "keep_text", "part", "root", "rows", "stays", "host", "n_tokens", "ids"]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
