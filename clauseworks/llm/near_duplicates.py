@@ -439,6 +439,11 @@ def _between(lists: DataFrame, rooted: DataFrame) -> DataFrame:
 
 def documents_with_components(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id): one row a row of ``docs`` (doc_id, text)."""
+    return _with_firsts(docs).drop("stays")
+
+
+def _with_firsts(docs: DataFrame) -> DataFrame:
+    """The columns of documents_with_components(), and stays: whether (doc_id, text_key) is its component's least, a null id coming last."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     first = written(_sketch_and_nodes(docs), "nodes")
@@ -463,16 +468,17 @@ def documents_with_components(docs: DataFrame) -> DataFrame:
         roots = written(components(links.union(_verified(docs, rest))), "roots")
 
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(key).alias("least"))
     done = placed.join(least.withColumnRenamed("root", "of_root"), F.col("root") == F.col("of_root"), "left")
-    return done.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    stays = F.col("root").isNull() | F.col("least").eqNullSafe(key)
+    return done.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the least id, and of equal rows any one."""
-    found = documents_with_components(docs)
-    verdict = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("component_id").alias("c"))
-    verdict = written(verdict.withColumn("stays", F.col("c").eqNullSafe(F.col("doc_id"))), "verdict")
+    """``docs`` with one row of each component: that of the least id and text key, and of equal rows any one."""
+    found = _with_firsts(docs)
+    verdict = written(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("stays").alias("stays")), "verdict")
     # names that no column of docs has
     key = fresh(docs.columns, "text_key")
     same = {c: fresh([*docs.columns, key], f"of_{c}") for c in ("doc_id", "text_key")}

@@ -332,6 +332,14 @@ def test_near_duplicates_on_odd_rows(spark, odd, none):
     assert near_duplicates.documents_with_components(none).count() == 0 and near_duplicates.one_of_each(none).count() == 0
 
 
+def test_one_row_of_each_component_whatever_its_ids(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a), (1, a + " more"), (2, a), (None, b), (None, b + " more"), (None, b), (7, c), (None, c + " more"), (8, None), (None, None)]
+    out = near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [(r["doc_id"], (r["text"] or "").removesuffix(" more")) for r in out]
+    assert Counter(kept) == Counter([(1, a), (None, b), (7, c), (8, ""), (None, "")])
+
+
 def test_shingles_of_a_text_beyond_a_slice(monkeypatch):
     text = prose(3000, 8)
     whole = shingles.shingle_sets([text, "a b", None])
