@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,8 @@ GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\f\r"
 
 _own_dirs: dict[str, str] = {}
+#: Folders of the tables that were written and not dropped, oldest first.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="clauseworks-")
+        folder = tempfile.mkdtemp(prefix="clauseworks-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dirs[app] = "file://" + folder
     return _own_dirs[app]
 
 
@@ -44,16 +50,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made, when nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"{shared_dir(spark).split('://')[-1]}/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` returned, when nothing reads them any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
+
+
+def written_so_far() -> int:
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Deletes what was written after ``mark`` of ``written_so_far``, but for the table ``keep``."""
+    for path in [p for p in _written[mark:] if p != keep._written_at]:
+        _delete(spark, path)
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(columns: list[str], prefix: str = "keep") -> list[str]:
+    """Names under which columns of any name pass through an operator without a clash."""
+    return [f"{prefix}_{i}" for i in range(len(columns))]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -84,10 +117,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
-    """A power of two, so many that a bucket of an evenly spread key has about ``per_bucket`` rows."""
+def bucket_count(rows: int) -> int:
+    """A power of two, about as many buckets as an evenly spread key has rows in each: the root of ``rows``."""
     n = 1
-    while n * per_bucket < rows:
+    while n * n < rows:
         n *= 2
     return n
 
@@ -114,3 +147,24 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
     return joined.withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop(
         "_before", "_within", *[f"_k_{k}" for k in keys]
     )
+
+
+#: A key is hot where it has more than one in HOT of a table's rows: there are fewer than HOT such keys.
+HOT = 200
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``left`` joined to ``right`` (one row a key at most) on ``key``, rows without a match kept.
+
+    The rows of hot keys, and those whose key is null, are dealt out by the columns ``by``, and the few rows of
+    ``right`` that belong to hot keys are repeated, so that no task gets a whole hot key.
+    """
+    rows = left.count()
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = [r[0] for r in counts.where(F.col("_n") * HOT > rows).select(key).collect()] if rows > HOT * HOT else []
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    spot = F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")
+    dealt = left.withColumn("_part", F.when(is_hot | F.col(key).isNull(), spot).otherwise(0))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_part", F.explode(every)), [key, "_part"], "left").drop("_part")

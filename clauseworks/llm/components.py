@@ -60,13 +60,15 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): the root is the least node reachable.
 
     So few edges as one task surely holds are joined there. More go through rounds of two stars, each of which at
-    least halves the depth, until the edges no longer change; the edges of each round are a table in the shared
-    folder, so that a lost executor costs one round at most.
+    least halves the depth, until the edges no longer change; the edges of each round, and the result, are tables in
+    the shared folder, so that a lost executor costs one round at most.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = _print(now)
     if seen[0] <= small:
-        return _in_one_task(now)
+        roots = written(_in_one_task(now), "roots")
+        drop_written(now)
+        return roots
     while True:
         new = written(_star(_star(now, True), False), "edges")
         drop_written(now)
@@ -74,4 +76,6 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         if seen == before:
             break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = written(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    drop_written(now)
+    return roots

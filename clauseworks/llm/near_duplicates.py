@@ -11,7 +11,9 @@
    groups in different components are filtered, expanded and verified, and then nothing is missing. Lists above
    ``LIST`` entries are dealt out in pairs of blocks.
 
-Every pair is verified on its whole sets of 64-bit hashes.
+Every pair is verified on its whole sets of 64-bit hashes: two different shingles of a pair of sets share one with a
+chance of 1 in 10**12 for sets of 4,000, which then moves the count of shared ones by one. Sets are told apart by 128
+bits: a node's id has 64 of them, and where the others differ (some three times among 10**10 texts) both go in.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; repeated rows are
 documents of one node; documents of one id are told apart by their text; a null id counts as greater than any other
@@ -29,22 +31,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseworks.llm.chunks import small_batches
-from clauseworks.llm.common import bucket_count, drop_written, fresh, written
+from clauseworks.llm.common import drop_written, fresh, spread_join, written
 from clauseworks.llm.components import components
-from clauseworks.llm.shingles import set_id, shingle_sets
+from clauseworks.llm.shingles import set_ids, shingle_sets
 
 #: Similarity of a link, as the fraction SHARED / 100.
 SHARED = 80
 #: Buckets of the sketch, by the hash's first bits, and its parts; entries of a list that one task pairs at most.
 BUCKET_BITS = 22
 PARTS = 64
-LIST = 20_000
+LIST = 5_000
 #: Orders in which a list's first group is chosen.
 LEADERS = 16
 #: Entries before each in a list that it is paired with at once.
 BEFORE = 3
-#: Bits of the filter that says which nodes are in a candidate pair, at most.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that says which nodes are in a candidate pair, at most: eight megabytes.
+FILTER_BITS = 1 << 26
 #: Bits of a set's parity map, at most; entries of a list up to which lists of one length are paired together.
 PARITY_BITS = 1 << 16
 SHORT_LIST = 64
@@ -93,10 +95,10 @@ class _Seen:
     """Nodes that a task has met, up to a bound: what is met again is only work saved."""
 
     def __init__(self, most: int = 200_000):
-        self._met: set[int] = set()
+        self._met: set[tuple[int, int]] = set()
         self._most = most
 
-    def first(self, x: int) -> bool:
+    def first(self, x: tuple[int, int]) -> bool:
         if x in self._met:
             return False
         if len(self._met) >= self._most:
@@ -110,7 +112,7 @@ def _batch(names: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 
 
 def _sketch_and_nodes(docs: DataFrame) -> DataFrame:
-    """doc rows (doc_id, text_key, n, node), and rows of the sketch (part, counts): which is which by ``part``."""
+    """doc rows (doc_id, text_key, n, node, check), and rows of the sketch (part, counts): which is which by ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
@@ -124,9 +126,9 @@ def _sketch_and_nodes(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist())
-            nodes = [set_id(s) if len(s) else None for s in sets]
-            for s, node in zip(sets, nodes, strict=True):
-                if node is not None and seen.first(node):
+            ids = [set_ids(s) if len(s) else (None, None) for s in sets]
+            for s, x in zip(sets, ids, strict=True):
+                if len(s) and seen.first(x):
                     held.append(s)
                     size += len(s)
             if size > 4_000_000:
@@ -136,7 +138,8 @@ def _sketch_and_nodes(docs: DataFrame) -> DataFrame:
             yield _batch(
                 {
                     "doc_id": (batch.column("doc_id"), pa.int64()), "text_key": (batch.column("text_key"), pa.int64()),
-                    "n": ([len(s) for s in sets], pa.int64()), "node": (nodes, pa.int64()), "part": ([None] * k, pa.int32()), "counts": ([None] * k, pa.binary()),
+                    "n": ([len(s) for s in sets], pa.int64()), "node": ([x for x, _ in ids], pa.int64()), "check": ([y for _, y in ids], pa.int64()),
+                    "part": ([None] * k, pa.int32()), "counts": ([None] * k, pa.binary()),
                 }
             )
         count()
@@ -145,12 +148,12 @@ def _sketch_and_nodes(docs: DataFrame) -> DataFrame:
             none = [None] * PARTS
             yield _batch(
                 {
-                    "doc_id": (none, pa.int64()), "text_key": (none, pa.int64()), "n": (none, pa.int64()), "node": (none, pa.int64()),
+                    "doc_id": (none, pa.int64()), "text_key": (none, pa.int64()), "n": (none, pa.int64()), "node": (none, pa.int64()), "check": (none, pa.int64()),
                     "part": (range(PARTS), pa.int32()), "counts": ([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()),
                 }
             )
 
-    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, n long, node long, part int, counts binary")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, n long, node long, check long, part int, counts binary")
 
 
 def _ranks(sketch: DataFrame) -> np.ndarray:
@@ -179,33 +182,44 @@ def _ranks(sketch: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(node, n, gid, parity, prefix) of each node; one that several tasks meet comes several times."""
+    """(node, check, n, gid, parity, prefix) of each node; one that several tasks meet comes several times.
+
+    ``gid`` has 64 bits of size and prefix: groups that share one are expanded and verified together, which loses nothing.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**BUCKET_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = shared.value, _Seen()
         for batch in batches:
-            nodes, sizes, gids, parities, prefixes = [], [], [], [], []
+            nodes, checks, sizes, gids, parities, prefixes = [], [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
-                if not len(s) or not seen.first(node := set_id(s)):
+                if not len(s) or not seen.first(ids := set_ids(s)):
                     continue
                 n = len(s)
                 keys = (rank[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)].astype(_U) << _U(56)) | (s >> _U(8))
                 most = n - _least_overlap(n) + 1
                 prefix = np.sort(np.partition(keys, most - 1)[:most] if most < n else keys)
-                nodes.append(node)
+                nodes.append(ids[0])
+                checks.append(ids[1])
                 sizes.append(n)
-                gids.append(set_id(np.r_[_U(n), prefix]))
+                gids.append(set_ids(np.r_[_U(n), prefix])[0])
                 parities.append(_parity(s))
                 prefixes.append(prefix.astype(np.int64, casting="unsafe"))
             offsets = np.cumsum([0, *map(len, prefixes)])
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gids, pa.int64()), pa.array(parities, pa.binary()), lists], names=["node", "n", "gid", "parity", "prefix"]
+                [*[pa.array(x, pa.int64()) for x in (nodes, checks, sizes, gids)], pa.array(parities, pa.binary()), lists], names=["node", "check", "n", "gid", "parity", "prefix"]
             )
 
-    return docs.select("text").mapInArrow(run, "node long, n long, gid long, parity binary, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "node long, check long, n long, gid long, parity binary, prefix array<long>")
+
+
+def _told_apart(rows: DataFrame, clashes: list[int]) -> DataFrame:
+    """``rows`` with a node for each of two sets whose first 64 bits are equal."""
+    if not clashes:
+        return rows
+    return rows.withColumn("node", F.when(F.col("node").isin(clashes), F.col("node").bitwiseXOR("check")).otherwise(F.col("node")))
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
@@ -292,29 +306,30 @@ def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return written(both.mapInArrow(run, "a long, b long"), "pairs")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, clashes: list[int]) -> DataFrame:
     """Those of ``pairs`` (a, b) of nodes whose whole sets link, as a written table."""
     spark = docs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # which nodes are wanted, as a bit map of fixed size at most: it spares sending the sets of all others
-    bits = min(FILTER_BITS, max(1 << 16, bucket_count(16 * pairs.count(), 1)))
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * pairs.count()).bit_length()))
     spots = nodes.select(F.pmod("node", F.lit(bits)).alias("spot"))
     words = spots.groupBy((F.col("spot") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(spot, 64) as int)))").alias("bits"))
     wanted = np.zeros(bits // 64, dtype=np.int64)
     for row in words.toLocalIterator():
         wanted[row["w"]] = row["bits"]
-    shared = spark.sparkContext.broadcast(wanted)
+    shared = spark.sparkContext.broadcast((wanted, frozenset(clashes)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, seen = shared.value, _Seen()
+        (want, same), seen = shared.value, _Seen()
         for batch in batches:
             nodes, found = [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 if not len(s):
                     continue
-                node = set_id(s)
+                ids = set_ids(s)
+                node = ids[0] ^ ids[1] if ids[0] in same else ids[0]
                 spot = node % bits
-                if int(want[spot // 64]) >> (spot % 64) & 1 and seen.first(node):
+                if int(want[spot // 64]) >> (spot % 64) & 1 and seen.first(ids):
                     nodes.append(node)
                     found.append(s.astype("<u8").tobytes())
             yield _batch({"node": (nodes, pa.int64()), "shingles": (found, pa.binary())})
@@ -408,8 +423,8 @@ def _long(x: dict[str, np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate(theirs))], names=["a", "b"])
 
 
-def _between(lists: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share a key and can still link.
+def _between(lists: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A written table, and what reads it: pairs (a, b) of nodes in different components that share a key and can still link.
 
     ``lists`` (key, gid, n, place); ``rooted`` (gid, node, root, parity). Short lists are paired by unit (gid and
     root), and then expanded; long ones by node, with the parities beside them.
@@ -434,7 +449,7 @@ def _between(lists: DataFrame, rooted: DataFrame) -> DataFrame:
     long = long.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     long = _streamed(long, ["key", "lo", "hi"], ["key", "lo", "hi", "block", "root", "node", "n", "place", "parity"], _long, "a long, b long", ("parity",))
     both = short.union(long).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return both.distinct()
+    return dealt, both.distinct()
 
 
 def documents_with_components(docs: DataFrame) -> DataFrame:
@@ -447,10 +462,12 @@ def _with_firsts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     first = written(_sketch_and_nodes(docs), "nodes")
-    rows = first.where("part is null").select("doc_id", "text_key", "n", "node")
     prefixes = written(_prefixes(docs, _ranks(first.where("part is not null"))), "prefixes")
-    members = written(prefixes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("gid", "n", "parity")]), "members")
-    lists = written(_lists(prefixes), "lists")
+    clashes = _clashes(prefixes)
+    apart = _told_apart(prefixes, clashes)
+    members = written(apart.groupBy("node").agg(*[F.first(c).alias(c) for c in ("gid", "n", "parity")]), "members")
+    lists = written(_lists(apart), "lists")
+    drop_written(prefixes)
 
     # each group with the first few of its lists, and each member of a group with the group's first
     first_of = members.groupBy("gid").agg(F.min("node").alias("head"))
@@ -458,21 +475,38 @@ def _with_firsts(docs: DataFrame) -> DataFrame:
     across = heads.join(first_of.select("gid", F.col("head").alias("a")), "gid").join(first_of.select(F.col("gid").alias("first"), F.col("head").alias("b")), "first").select("a", "b")
     inside = members.select("gid", "node").join(first_of, "gid").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     pairs = across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    links = _verified(docs, _likely(pairs, members))
-    roots = written(components(links), "roots")
+    likely = _likely(pairs, members)
+    links = _verified(docs, likely, clashes)
+    drop_written(likely)
+    roots = components(links)
 
     # what is left: pairs of nodes in different components
     rooted = members.join(roots, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"), "parity")
-    rest = _likely(_between(lists.select("key", "gid", "n", "place"), rooted), members)
+    dealt, between = _between(lists.select("key", "gid", "n", "place"), rooted)
+    rest = _likely(between, members)
+    drop_written(lists, dealt)
     if not rest.isEmpty():
-        roots = written(components(links.union(_verified(docs, rest))), "roots")
-
-    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+        more = _verified(docs, rest, clashes)
+        drop_written(roots)
+        roots = components(links.union(more))
+        drop_written(more)
+    drop_written(rest, links, members)
+
+    rows = _told_apart(first.where("part is null"), clashes).select("doc_id", "text_key", "n", "node")
+    own = ["doc_id", "text_key"]
+    placed = written(spread_join(rows, roots, "node", own).withColumn("root", F.coalesce("root", "node")), "placed")
+    drop_written(first, roots)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), *own)
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(key).alias("least"))
-    done = placed.join(least.withColumnRenamed("root", "of_root"), F.col("root") == F.col("of_root"), "left")
+    done = spread_join(placed, written(least, "least"), "root", own)
     stays = F.col("root").isNull() | F.col("least").eqNullSafe(key)
-    return done.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), stays.alias("stays"))
+    return done.select(*own, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def _clashes(prefixes: DataFrame) -> list[int]:
+    """Nodes that stand for two sets or more: some N**2 / 2**65 of N texts, three at 10**10."""
+    found = prefixes.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
+    return [r["node"] for r in found.select("node").collect()]
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 
 #: Words in a shingle.
 WORDS = 5
-#: Bytes of text hashed at a time.
-SLICE = 1 << 22
+#: Bytes of text hashed at a time, and of a word up to which it is hashed by eight bytes.
+SLICE = 1 << 21
+LONG = 256
 
 # Odd multipliers of the hashes.
 _BASE = 0x9E3779B97F4A7C15
@@ -23,44 +24,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, ``n`` at least."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE + 4096)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
+def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and where it ends."""
+    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edges = np.flatnonzero(np.diff(np.r_[True, gap, True].view(np.int8)))
+    return edges[::2], edges[1::2]
+
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``data`` begins, and its hash: words lie between ASCII white space.
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word of ``data``, in order: words lie between ASCII white space."""
+    A word's hash takes in eight bytes at a time and is mixed after each, so that words of up to eight bytes never
+    share one and no rule makes longer words do so; words above LONG bytes get a cryptographic one.
+    """
     if not data:
-        return np.empty(0, np.uint64)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edges = np.flatnonzero(np.diff(np.r_[True, gap, True].view(np.int8)))
-    begin, end = edges[::2], edges[1::2]
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    raw = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    begin, end = _edges(raw[:-8])
+    size = end - begin
+    eights = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    out = _mixed(size.astype(np.uint64) * np.uint64(_BASE))
+    at = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        eight = np.ascontiguousarray(eights[begin[at] + done]).view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+        out[at] = _mixed(out[at] ^ eight) + np.uint64(_BASE)
+        at = at[left > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]], digest_size=8).digest(), "little")
+    return begin, out
 
 
 def _long(data: bytes) -> np.ndarray:
-    """``word_hashes`` of a text longer than a slice, cut at white space."""
+    """The hashes of the words of a text longer than a slice, cut at white space."""
     parts, at = [], 0
     while at < len(data):
         end = min(at + SLICE, len(data))
         while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
             end += 1
-        parts.append(word_hashes(data[at:end]))
+        parts.append(word_hashes(data[at:end])[1])
         at = end
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
@@ -95,11 +102,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
             j += 1
         j = max(j, i + 1)
         joined = b"\n".join(data[i:j])
-        hashes = word_hashes(joined)
+        begins, hashes = word_hashes(joined)
         # words of each text: those that begin before its end
-        raw = np.frombuffer(joined, dtype=np.uint8)
-        gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        begins = np.flatnonzero(~gap & np.r_[True, gap[:-1]]) if len(raw) else np.empty(0, np.int64)
         ends = np.searchsorted(begins, np.cumsum([len(d) + 1 for d in data[i:j]]))
         at = 0
         for k, end in zip(range(i, j), ends.tolist(), strict=True):
@@ -111,6 +115,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A signed 64-bit id of a set: equal sets have equal ids."""
-    return int.from_bytes(hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(shingles: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit ids of a set: equal sets have equal ids."""
+    raw = hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
