@@ -6,7 +6,8 @@ that at the cut each source has been served in proportion to its target, within
 
 Defined cases: a null or empty text has size 0 and is never repeated beyond its one zero-word row; a null source
 is a source of its own, last in order; repeated rows are rows of their own; a table without words gets targets 0
-and takes nothing; rows are told apart by ``row_id`` and not by ``doc_id``, so that equal ids do no harm.
+and takes nothing; rows of one id are told apart by their text and then by their source, and what is still equal is
+interchangeable, so that reruns agree in whatever order and files the rows come.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseworks.llm.common import bucket_count, running_total, word_count, written
+from clauseworks.llm.common import bucket_count, column, numbered, running_total, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_TIMES = 3
@@ -57,17 +58,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int = MAX_TIMES, share: float = SHARE, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) and the columns in ``keep``: one row a row of ``docs``.
 
-    ``seed`` sets the order within a source: that of md5 of id and seed, the same in every run.
+    ``seed`` sets the order within a source: that of md5 of id, text and seed, the same in every run. The columns
+    in ``keep`` come back numbered, as ``keep_0`` and so on.
     """
-    own = {"row_id", "size", "source", "key", "source_size", "target"}
-    kept = [c for c in keep if c in docs.columns]
+    kept = numbered(keep)
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
     base = docs.select(
         "doc_id", F.col("source"), word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")).alias("key"),
-        *[F.col(c).alias(f"keep_{c}") for c in kept],
+        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text, F.lit(seed)).cast("binary")).alias("key"),
+        *[column(c).alias(k) for c, k in zip(keep, kept, strict=True)],
     ).withColumn("row_id", F.monotonically_increasing_id())
     base = written(base, "mix-sizes")
-    assert own <= {*base.columns, "source_size", "target"}
     narrow = base.select("row_id", "doc_id", "source", "size", "key")
     goal = written(targets(narrow, weights, max_times, share), "mix-targets")  # so that its size is known when joins are planned
     rows, words = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int = MA
     hex_bits = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     placed = running_total(
         narrow.where("size > 0").withColumn("bucket", (hex_bits * n / F.lit(2**32)).cast("long")),
-        ["source"], "bucket", ["key", "doc_id", "row_id"], "size", "upto",
+        ["source"], "bucket", ["key", "row_id"], "size", "upto",
     )
     placed = placed.alias("p").join(
         goal.withColumnRenamed("source", "g_source").alias("g"), F.col("p.source").eqNullSafe(F.col("g_source"))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int = MA
     # ranged by finish time over equal spans of it, then cut where the budget is full
     items = items.withColumn("bucket", F.floor(F.col("finish") * n).cast("long"))
     served = running_total(
-        items, [], "bucket", ["finish", F.col("source").asc_nulls_last(), "round", "key", "doc_id", "row_id"], "size", "served"
+        items, [], "bucket", ["finish", F.col("source").asc_nulls_last(), "round", "key", "row_id"], "size", "served"
     ).where(F.col("served") <= F.lit(budget))
     taken = served.groupBy("row_id").agg(F.count("*").cast("int").alias("copies"))
     goal = goal.select(F.col("source").alias("g_source"), "source_size", "target")
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int = MA
     copies = F.coalesce(F.col("copies"), F.lit(0))
     return out.select(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"),
-        *[F.col(f"keep_{c}").alias(f"keep_{c}") for c in kept],
+        *kept,
     )
 
 
@@ -108,12 +109,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     keep = tuple(docs.columns)
     out = mix(docs, keep=keep, **options)
     out = out.where("copies > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep])
+    return out.select(*[F.col(k).alias(c) for k, c in zip(numbered(keep), keep, strict=True)])
 
 
 SQL = r"""
-WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS key FROM documents),
+WITH s AS (SELECT row_number() OVER () AS row_id, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') || ':mix') AS key FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, source_size * 3 AS cap FROM p),
 l AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS budget,
@@ -124,11 +125,11 @@ r AS (SELECT arg_min(budget - cap_before, cap / weight) AS left_over, arg_min(we
 t AS (SELECT source, source_size, budget, CASE WHEN turn IS NULL OR cap / weight < turn THEN CAST(cap AS DOUBLE)
              ELSE least(left_over * weight / w, CAST(cap AS DOUBLE)) END AS target FROM f, r),
 u AS (SELECT s.*, t.source_size, t.target, t.budget,
-             sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+             sum(size) OVER (PARTITION BY s.source ORDER BY key, row_id ROWS UNBOUNDED PRECEDING) AS upto
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source WHERE size > 0),
 i AS (SELECT *, CAST(upto + e * source_size AS DOUBLE) / target AS finish FROM u, range(3) AS x(e) WHERE target > 0 AND e <= floor(target / source_size)),
-c AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, e, key, doc_id ROWS UNBOUNDED PRECEDING) AS served, budget FROM i),
-k AS (SELECT doc_id, count(*) AS copies FROM c WHERE served <= budget GROUP BY doc_id)
+c AS (SELECT row_id, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, e, key, row_id ROWS UNBOUNDED PRECEDING) AS served, budget FROM i),
+k AS (SELECT row_id, count(*) AS copies FROM c WHERE served <= budget GROUP BY row_id)
 SELECT s.doc_id, s.size, t.source_size, t.target, CAST(coalesce(k.copies, 0) * s.size AS BIGINT) AS taken, CAST(coalesce(k.copies, 0) AS INT) AS copies
-FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON s.doc_id = k.doc_id
+FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON s.row_id = k.row_id
 """
