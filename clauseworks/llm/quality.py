@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseworks.llm.common import GAP, GAP_CHARS, WORD, written
+from clauseworks.llm.common import GAP, GAP_CHARS, WORD, column, numbered, written
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -96,9 +96,10 @@ def prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = (), max_rate: float = MAX_RATE) -> DataFrame:
-    """(doc_id, the measures, base_failed, host_rate, kept) and ``keep_`` columns: one row a row of ``docs``."""
-    base = docs.select("doc_id", F.col(host).alias("host"), measures(F.col("text")).alias("m"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    base = base.select("doc_id", "host", *[F.col(f"m.{m}").alias(m) for m in MEASURES], *[f"keep_{c}" for c in keep])
+    """(doc_id, the measures, base_failed, host_rate, kept) and the columns in ``keep``, numbered: one row a row of ``docs``."""
+    held = numbered(keep)
+    base = docs.select("doc_id", column(host).alias("host"), measures(F.col("text")).alias("m"), *[column(c).alias(k) for c, k in zip(keep, held, strict=True)])
+    base = base.select("doc_id", "host", *[F.col(f"m.{m}").alias(m) for m in MEASURES], *held)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     base = written(base.withColumn("base_failed", failed), "quality")
     hosts = base.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
@@ -108,14 +109,14 @@ def rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = (), max
     judged = base.join(rates, F.col("host").eqNullSafe(F.col("of_host")))
     return judged.select(
         "doc_id", *MEASURES, "base_failed", F.round("rate", 6).alias("host_rate"),
-        (~F.col("base_failed") & (F.col("rate") <= max_rate)).alias("kept"), *[f"keep_{c}" for c in keep],
+        (~F.col("base_failed") & (F.col("rate") <= max_rate)).alias("kept"), *held,
     )
 
 
 def kept(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with its columns."""
     columns = tuple(docs.columns)
-    return rules(docs, host, columns).where("kept").select(*[F.col(f"keep_{c}").alias(c) for c in columns])
+    return rules(docs, host, columns).where("kept").select(*[F.col(k).alias(c) for k, c in zip(numbered(columns), columns, strict=True)])
 
 
 SQL = r"""
