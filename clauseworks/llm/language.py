@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauseworks.llm.chunks import small_batches
+from clauseworks.llm.common import column, drop_written, numbered, written
 
-#: Characters learned from for each language, texts that they may come from, and characters of one text at most.
+#: Characters learned from for each language, and for all together; texts that a language's may come from, and
+#: characters of one text, at most. The automata, which every worker holds, grow with the second only.
 SAMPLE_CHARS = 50_000
+ALL_CHARS = 400_000
 SAMPLE_TEXTS = 256
 SAMPLE_TEXT_CHARS = 2_000
 BLOCK = 1_024
@@ -192,16 +195,21 @@ def learn(docs: DataFrame) -> dict[str, str]:
     """A folded sample of each language in ``docs`` (text, lang).
 
     Texts are dealt out by hash to SAMPLE_TEXTS places a language; the least hash of each place is taken, so that
-    copies count once and no language's rows meet in one task.
+    copies count once and no language's rows meet in one task. The second pass looks its rows up in the table of
+    those hashes, which is written so that its size decides how it is joined; no text is shuffled.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
-    least = known.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("place")).agg(F.min("h").alias("h")).select("lang", "h")
-    taken = known.join(least, ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, SAMPLE_TEXT_CHARS).alias("part"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_TEXT_CHARS).alias("part"))
+    least = known.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("place")).agg(F.min("h").alias("h"))
+    least = written(least.select("lang", "h"), "language-texts")
+    each = min(SAMPLE_CHARS, ALL_CHARS // max(1, least.select("lang").distinct().count()))
+    taken = known.join(least, ["lang", "h"], "left_semi").distinct()
     samples: dict[str, str] = {}
-    for row in taken.distinct().orderBy("lang", "h", "part").toLocalIterator():
+    for row in taken.orderBy("lang", "h", "part").toLocalIterator():
         now = samples.get(row["lang"], "")
-        if len(now) < SAMPLE_CHARS:
-            samples[row["lang"]] = (now + fold(row["part"]).tobytes().decode("utf-16-le", "ignore") + " ")[:SAMPLE_CHARS]
+        if len(now) < each:
+            samples[row["lang"]] = (now + fold(row["part"]).tobytes().decode("utf-16-le", "ignore") + " ")[:each]
+    drop_written(least)
     return {k: v for k, v in samples.items() if v.strip()}
 
 
@@ -209,7 +217,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """``docs`` and lang_pred, score, which take the place of columns of these names."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(samples)  # SAMPLE_CHARS a language at most
+    shared = spark.sparkContext.broadcast(samples)  # ALL_CHARS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = parser(shared.value).judge
@@ -239,5 +247,6 @@ def known_language(docs: DataFrame) -> DataFrame:
     if not samples:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
     # columns of any name pass through
-    held = docs.select("text", *[F.col(c).alias(f"keep_{c}") for c in docs.columns])
-    return identify(held, samples).where(F.col("lang_pred") != UND).select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
+    kept = numbered(docs.columns)
+    held = docs.select("text", *[column(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)])
+    return identify(held, samples).where(F.col("lang_pred") != UND).select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)])
