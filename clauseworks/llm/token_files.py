@@ -2,12 +2,13 @@
 
 Every id takes the fewest bits that the vocabulary needs. A file holds whole documents in order of doc_id:
 
-    magic "CWT1", bits (u32), ids in a block (u32), documents (u64), ids (u64)
-    for each document: doc_id (i64), has an id (u8 each, after all), first id in the file (u64 each), ids (u64 each)
+    the blocks of ids, each packed from a byte of its own, lowest bit first
+    for each document: doc_id (i64 each), ids (u64 each), has an id (u8 each)
     for each block: its place in the file (u64)
-    the blocks, each packed from a byte of its own, lowest bit first
+    tail: magic "CWT2", bits (u32), ids in a block (u32), documents (u64), ids (u64)
 
-so that any id is found by its block's place, and a block is unpacked by a few numpy operations.
+so that a file is written as a stream, any id is found by its block's place, and a block is unpacked by a few numpy
+operations.
 
 Defined cases: a null or empty text gives the end id alone; a null doc_id comes first and stays null; repeated
 rows stand side by side; an empty table gives no file and no row.
@@ -15,6 +16,7 @@ rows stand side by side; an empty table gives no file and no row.
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import uuid
@@ -33,12 +35,12 @@ from pyspark.sql import functions as F
 from clauseworks.llm.chunks import Pieces, small_batches
 from clauseworks.llm.common import new_path, running_total, written
 
-MAGIC = b"CWT1"
-HEAD = struct.Struct("<4sIIQQ")
+MAGIC = b"CWT2"
+TAIL = struct.Struct("<4sIIQQ")
 END_ID = 2
-#: Ids in a block, and ids after which a file is closed: bounds of memory and of a file's size.
+#: Ids in a block, which a writer holds in memory; ids after which a file is closed.
 BLOCK = 1 << 16
-FILE_IDS = 1 << 21
+FILE_IDS = 1 << 26
 MAX_KEPT = 600_000
 #: Pieces encoded in one string, and the letter that stands for the space in a byte-level vocabulary.
 TOGETHER = 2_000
@@ -67,24 +69,58 @@ def unpack(raw: bytes, count: int, bits: int, first: int = 0) -> np.ndarray:
     return ((words >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+class TokenWriter:
+    """Writes documents to an open stream; of the ids it holds one block, of the documents their ids and sizes."""
+
+    def __init__(self, f, bits: int, block: int = BLOCK):
+        self._f, self._bits, self._block = f, bits, block
+        self._held, self._n_held, self._at = [], 0, 0
+        self._doc_ids, self._sizes, self._given, self._places = array("q"), array("Q"), array("B"), array("Q")
+        self.n_ids = 0
+
+    @property
+    def n_docs(self) -> int:
+        return len(self._sizes)
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """A document, of ids that are little-endian unsigned 32-bit integers."""
+        self._doc_ids.append(doc_id or 0)
+        self._given.append(doc_id is not None)
+        self._sizes.append(len(ids) // 4)
+        self._held.append(np.frombuffer(ids, dtype="<u4"))
+        self._n_held += len(ids) // 4
+        self.n_ids += len(ids) // 4
+        if self._n_held >= self._block:
+            flat = np.concatenate(self._held)
+            whole = len(flat) - len(flat) % self._block
+            for i in range(0, whole, self._block):
+                self._put(flat[i : i + self._block])
+            self._held, self._n_held = [flat[whole:].copy()], len(flat) - whole
+
+    def _put(self, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> self._bits:
+            raise ValueError(f"an id needs more than {self._bits} bits")
+        raw = pack(ids, self._bits)
+        self._places.append(self._at)
+        self._f.write(raw)
+        self._at += len(raw)
+
+    def close(self) -> None:
+        if self._n_held:
+            self._put(np.concatenate(self._held))
+        for values, kind in ((self._doc_ids, "<i8"), (self._sizes, "<u8"), (self._given, "u1"), (self._places, "<u8")):
+            self._f.write(np.array(values, dtype=kind).tobytes())
+        self._f.write(TAIL.pack(MAGIC, self._bits, self._block, self.n_docs, self.n_ids))
+
+
 def to_file(doc_ids: list[int | None], ids: list[bytes], bits: int, block: int = BLOCK) -> bytes:
-    """The bytes of a file of documents whose ids are little-endian unsigned 32-bit integers."""
-    sizes = np.array([len(x) // 4 for x in ids], dtype="<u8")
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    if len(flat) and int(flat.max()) >> bits:
-        raise ValueError(f"an id needs more than {bits} bits")
-    blocks = [pack(flat[i : i + block], bits) for i in range(0, len(flat), block)]
-    table = b"".join(
-        [
-            np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
-            np.array([d is not None for d in doc_ids], dtype="u1").tobytes(),
-            (np.cumsum(sizes) - sizes).astype("<u8").tobytes(),
-            sizes.tobytes(),
-        ]
-    )
-    head = HEAD.pack(MAGIC, bits, block, len(ids), len(flat))
-    places = len(head) + len(table) + 8 * len(blocks) + np.cumsum([0, *map(len, blocks)], dtype=np.int64)[: len(blocks)]
-    return b"".join([head, table, places.astype("<u8").tobytes(), *blocks])
+    """The bytes of a file of documents."""
+    out = io.BytesIO()
+    w = TokenWriter(out, bits, block)
+    for d, x in zip(doc_ids, ids, strict=True):
+        w.add(d, x)
+    w.close()
+    return out.getvalue()
 
 
 class TokenFile:
@@ -92,18 +128,24 @@ class TokenFile:
 
     def __init__(self, f):
         self._f = f
-        magic, self.bits, self.block, self.n_docs, self.n_ids = HEAD.unpack(f.read(HEAD.size))
+        end = f.seek(0, os.SEEK_END) - TAIL.size
+        f.seek(end)
+        magic, self.bits, self.block, self.n_docs, self.n_ids = TAIL.unpack(f.read(TAIL.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         n, blocks = self.n_docs, -(-self.n_ids // self.block)
-        table = f.read(25 * n + 8 * blocks)
-        given = np.frombuffer(table, "u1", n, 8 * n)
-        self.doc_ids = [int(d) if g else None for d, g in zip(np.frombuffer(table, "<i8", n), given, strict=True)]
-        self.firsts = np.frombuffer(table, "<u8", n, 9 * n).astype(np.int64)
-        self.sizes = np.frombuffer(table, "<u8", n, 17 * n).astype(np.int64)
-        self.places = np.frombuffer(table, "<u8", blocks, 25 * n).astype(np.int64)
+        f.seek(end - 17 * n - 8 * blocks)
+        table = f.read(17 * n + 8 * blocks)
+        self._doc_ids = np.frombuffer(table, "<i8", n)
+        self.sizes = np.frombuffer(table, "<u8", n, 8 * n).astype(np.int64)
+        self._given = np.frombuffer(table, "u1", n, 16 * n)
+        self.places = np.frombuffer(table, "<u8", blocks, 17 * n).astype(np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
         self._at, self._raw = -1, b""
 
+    def doc_id(self, i: int) -> int | None:
+        return int(self._doc_ids[i]) if self._given[i] else None
+
     def _load(self, k: int) -> bytes:
         if k != self._at:
             self._f.seek(int(self.places[k]))
@@ -186,28 +228,28 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         part, made = TaskContext.get().partitionId(), []
-        doc_ids: list[int | None] = []
-        ids: list[bytes] = []
-        size = 0
+        now: tuple[TokenWriter, pa.NativeFile, str] | None = None
 
         def close() -> None:
+            w, f, draft = now
+            w.close()
+            f.close()
             name = f"{part:08d}-{len(made):06d}.tok"
-            draft = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(draft) as f:
-                f.write(to_file(doc_ids, ids, bits))
             fs.move(draft, f"{root}/{name}")  # a second attempt at this task writes the same bytes
-            made.append((f"{folder}/{name}", part, len(made), len(doc_ids), size // 4))
+            made.append((f"{folder}/{name}", part, len(made), w.n_docs, w.n_ids))
 
         for batch in batches:
-            new = [x + end for x in coder(path).encode_all([t or "" for t in batch.column("text").to_pylist()])]
+            new = coder(path).encode_all([t or "" for t in batch.column("text").to_pylist()])
             for d, x in zip(batch.column("doc_id").to_pylist(), new, strict=True):
-                doc_ids.append(d)
-                ids.append(x)
-                size += len(x)
-                if size >= 4 * FILE_IDS:
+                if now is None:
+                    draft = f"{root}/.{uuid.uuid4().hex}"
+                    f = fs.open_output_stream(draft)
+                    now = TokenWriter(f, bits), f, draft
+                now[0].add(d, x + end)
+                if now[0].n_ids >= FILE_IDS:
                     close()
-                    doc_ids, ids, size = [], [], 0
-        if doc_ids:
+                    now = None
+        if now is not None:
             close()
         columns = list(zip(*made, strict=True)) if made else [()] * 5
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -221,7 +263,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None =
 
 
 def read(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): ids is binary, little-endian unsigned 32-bit."""
+    """(doc_id, start, n_tokens, ids): ids is binary, little-endian unsigned 32-bit. As many tasks as files read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +275,7 @@ def read(files: DataFrame) -> DataFrame:
                         k = range(i, min(i + 200, t.n_docs))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([t.doc_ids[j] for j in k], pa.int64()),
+                                pa.array([t.doc_id(j) for j in k], pa.int64()),
                                 pa.array(start + t.firsts[k.start : k.stop], pa.int64()),
                                 pa.array(t.sizes[k.start : k.stop], pa.int64()),
                                 pa.array([t.document(j).astype("<u4").tobytes() for j in k], pa.binary()),
@@ -241,7 +283,8 @@ def read(files: DataFrame) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids"],
                         )
 
-    return files.select("file", "start").repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # a number that is given is kept, however small the table of files
+    return files.select("file", "start").repartition(max(1, files.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
