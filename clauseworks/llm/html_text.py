@@ -1,13 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page; what is no text at all (scripts, comments, forms) and
-what the markup itself names as menu, header, footer, sidebar, notice, advert or reader comments weighs nothing,
-and neither do words in links. The weights are summed over a sliding window of lines: where the sum rises above
-``SURGE`` text begins, where a whole window is empty it ends. Text between such a surge and dive is kept,
-however small beside other stretches. The lines of an ``article`` or ``main`` carry a
-surge each, so that an article is kept to its shortest line; where they hold at least half of the weight they are the
-main text, and else the stretches outside them count as well. An article in a sidebar, menu, footer or comments
-section that is closed later on is none of the page's.
+Markup is stripped to lines, one for each block of the page. A line weighs its characters outside links; a line of
+an ``article`` or ``main`` weighs ``IN_MAIN`` more; what is no text at all (scripts, forms) and what the markup itself
+names as menu, header, footer, sidebar, notice, advert or reader comments weighs nothing, as such a line may read like
+any other. The weights are summed over a sliding window of lines: where the sum rises to ``SURGE`` text begins, where
+a whole window is empty it ends. Text between such a surge and dive is kept, however small beside other stretches;
+where no window rises so far, all lines that weigh something. Where the lines of articles hold at least half of the
+weight found, stretches end where the article does. An article in a sidebar, menu, footer or comments section that is
+closed later on is none of the page's. A class or id names what its last word says (``post-comments``, ``page_footer``,
+and not ``promo-code`` or ``no-sidebar``).
+
+Time is linear in the page's length, whatever its markup.
 
 Defined cases: null, empty or textless html gives an empty text; markup cut off or badly nested is read as far as
 it goes; html without tags is one line; repeated rows are read each.
@@ -24,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from clauseworks.llm.chunks import small_batches
 
+#: Lines in a window; characters in a window where text begins; what a line in an article weighs more.
 WINDOW = 3
 SURGE = 80
+IN_MAIN = 70
 
 # Elements by what they do, and the words by which a class or id names what is not the main text.
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select"
@@ -41,66 +46,153 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SHORT = frozenset("p li dt dd tr td th option".split())
 NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side
+    """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar
     aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent notice
     notices gdpr alert popup modal overlay newsletter subscribe signup login comment comments respond reply replies
     disqus share sharing social related recommended pagination pager widget toolbar skip copyright""".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
+_REST = r"""(?:\s(?:"[^"]*"|'[^']*'|[^'"<>])*)?"""
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\s(?:"[^"]*"|'[^']*'|[^'"<>])*)?/?)>|(?P<text>[^<]+|<)""",
+    rf"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>{_REST}/?)>|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^<>]*>?", re.I) for tag in RAW.split("|")}
 _NAME = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"\shidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+def _tokens(html: str) -> Iterator[tuple[str | None, str, bool, str, int]]:
+    """(text, tag, whether it ends, attributes, place) of texts and tags in turn; raw elements are passed over."""
+    at = 0
+    while m := _TOKEN.match(html, at):
+        at = m.end()
+        tag = (m["tag"] or "").lower()
+        if tag in _RAW_END:
+            if not m["end"] and not m["rest"].endswith("/"):
+                end = _RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
+        elif tag or m["text"] is not None:
+            yield m["text"], tag, bool(m["end"]), m["rest"] or "", m.start()
+
+
+def _names(rest: str) -> Iterator[tuple[str, list[str]]]:
+    """(class, id or role; its words) of each name that is given in attributes."""
+    for kind, *value in _NAME.findall(rest):
+        for word in "".join(value).lower().split():
+            parts = [p for p in re.split("[_-]+", word) if p]
+            if parts and parts[0] not in ("has", "no", "with", "without"):
+                yield kind.lower(), parts
+
+
 def _unwanted(tag: str, rest: str, in_main: bool, by_name: bool) -> bool:
     if tag in NEVER or tag in NEVER_OUTSIDE and not in_main:
         return True
-    if not by_name:
+    if not by_name or not rest:
         return False
-    if not rest or tag in MAIN or tag in ("html", "head", "body"):
-        return bool(rest) and tag == "article" and any(set(re.split(r"[\s_-]+", "".join(m[1:]).lower())) & {"comment", "comments"} for m in _NAME.findall(rest))
+    if tag in MAIN or tag in ("html", "head", "body"):
+        return tag == "article" and any(parts[-1] in ("comment", "comments") for _, parts in _names(rest))
     if _HIDDEN.search(rest):
         return True
-    for kind, *value in _NAME.findall(rest):
-        words = "".join(value).lower()
-        if kind.lower() == "role":
-            if words.strip() in ROLES:
-                return True
-        elif not NAMES.isdisjoint(re.split(r"[\s_-]+", words)):
-            return True
-    return False
+    return any("-".join(parts) in ROLES if kind == "role" else parts[-1] in NAMES for kind, parts in _names(rest))
 
 
 def _beside(tag: str, rest: str, by_name: bool) -> bool:
     """Whether an unwanted element may hold articles of its own, which are not the page's: teasers or comments."""
     if tag in BESIDE or not by_name:
         return tag in BESIDE
-    for kind, *value in _NAME.findall(rest):
-        for word in "".join(value).lower().split():
-            parts = re.split("[_-]+", word)
-            if kind.lower() == "role" and word in BESIDE_ROLES or parts[0] in BESIDE_NAMES or parts[-1] in BESIDE_NAMES and parts[0] not in ("has", "no", "with"):
-                return True
-    return False
+    return any("-".join(parts) in BESIDE_ROLES if kind == "role" else parts[0] in BESIDE_NAMES or parts[-1] in BESIDE_NAMES for kind, parts in _names(rest))
 
 
 def _closed(html: str) -> set[int]:
     """Places of the start tags that have an end tag."""
     found: set[int] = set()
     opened: dict[str, list[int]] = {}
-    for m in _TOKEN.finditer(html):
-        tag = (m["tag"] or "").lower()
-        if tag and not m["end"]:
-            if tag not in VOID and not (m["rest"] or "").endswith("/"):
-                opened.setdefault(tag, []).append(m.start())
+    for _, tag, ends, rest, at in _tokens(html):
+        if tag and not ends:
+            if tag not in VOID and not rest.endswith("/"):
+                opened.setdefault(tag, []).append(at)
         elif tag and opened.get(tag):
             found.add(opened[tag].pop())
     return found
 
 
+class _Open:
+    """An open element: what it adds to the counts while it is open."""
+
+    __slots__ = ("at", "beside", "blocks", "ends", "good", "tag", "bad", "within", "live")
+
+    def __init__(self, tag: str, bad: bool, good: bool, beside: bool, at: int, blocks: int):
+        self.tag, self.bad, self.good, self.beside, self.at = tag, bad, good, beside, at
+        self.blocks = blocks  # blocks among the elements around it
+        self.live = True  # an inline element ends before the blocks in it do: then it stays on the stack, and counts no more
+        self.ends = self.within = False
+
+
+class _Stack:
+    """The open elements. Each is put there and taken away once, and no tag looks further than at what it closes."""
+
+    def __init__(self, html: str):
+        self._html, self._all = html, []
+        self._by_tag: dict[str, list[_Open]] = {}
+        self._blocks = self.unwanted = self.main = self.links = 0
+        self._closed: set[int] | None = None
+        self._judged = 0  # so many from the bottom know whether they end, and whether they are beside the main text
+
+    def _count(self, e: _Open, by: int) -> None:
+        self.unwanted += by * e.bad
+        self.main += by * e.good
+        self.links += by * (e.tag == "a")
+
+    def push(self, tag: str, bad: bool, good: bool, beside: bool, at: int) -> None:
+        e = _Open(tag, bad, good, beside, at, self._blocks)
+        self._all.append(e)
+        self._by_tag.setdefault(tag, []).append(e)
+        self._blocks += tag not in INLINE
+        self._count(e, 1)
+
+    def pop(self) -> None:
+        e = self._all.pop()
+        self._blocks -= e.tag not in INLINE
+        self._judged = min(self._judged, len(self._all))
+        if e.live:
+            self._by_tag[e.tag].pop()
+            self._count(e, -1)
+
+    def close(self, tag: str) -> None:
+        """An inline end tag never closes a block that was opened after it; one that closes nothing is passed over."""
+        if not self._by_tag.get(tag):
+            return
+        e = self._by_tag[tag][-1]
+        if tag in INLINE and self._blocks > e.blocks:
+            e.live = False
+            self._by_tag[tag].pop()
+            self._count(e, -1)
+            return
+        while e.live and self._all[-1] is not e:
+            self.pop()
+        self.pop()
+
+    def end_paragraph(self, tag: str) -> None:
+        """A paragraph ends where the next block begins, and takes its open inline elements with it."""
+        while self._all and ((top := self._all[-1].tag) in INLINE or top == "p" or top == tag and tag in SHORT):
+            self.pop()
+
+    def begin_article(self) -> None:
+        """An article does not begin in a menu: that was never closed. In one that is closed later on, it is not the page's."""
+        if self._closed is None:
+            self._closed = _closed(self._html)
+        for i in range(self._judged, len(self._all)):
+            e, around = self._all[i], self._all[i - 1] if i else None
+            # an element whose end tag is optional ends with the one around it
+            e.ends = e.at in self._closed or e.tag in SHORT and around is not None and around.ends
+            e.within = around is not None and around.within or e.beside and e.ends
+        self._judged = len(self._all)
+        while self._all and self.unwanted and not self._all[-1].within:
+            self.pop()
+
+
 def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     """(text, weight, whether in article or main) of each block of the page, in order; unwanted ones weigh nothing.
 
@@ -109,77 +201,36 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, whether unwanted, main, beside the main text; place
-    closed: set[int] | None = None
-    unwanted = main = links = 0
+    stack = _Stack(html)
 
     def close_line() -> None:
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
-        if text:
-            lines.append((text, 0 if unwanted else max(0, len(text) - linked), main > 0 and not unwanted))
+        if text and not (stack.main and stack.unwanted):  # what an article holds that is none of it does not part it
+            lines.append((text, 0 if stack.unwanted else max(0, len(text) - linked), stack.main > 0 and not stack.unwanted))
         parts.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal unwanted, main, links
-        tag, bad, good, *_ = stack.pop()
-        unwanted -= bad
-        main -= good
-        links -= tag == "a"
-
-    for m in _TOKEN.finditer(html):
-        text = m["text"]
+    for text, tag, ends, rest, at in _tokens(html):
         if text is not None:
             parts.append(text)
-            if links:
+            if stack.links:
                 linked += len(text.strip())
             continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
         if tag not in INLINE or tag == "br":
             close_line()
-        if m["end"]:
-            if any(t == tag for t, *_ in stack):
-                inline = tag in INLINE
-                # an inline end tag never closes a block that was opened after it
-                if inline and any(t not in INLINE for t, *_ in stack[max(i for i, s in enumerate(stack) if s[0] == tag) :]):
-                    i = max(i for i, s in enumerate(stack) if s[0] == tag)
-                    kept = stack[i + 1 :]
-                    while len(stack) > i:
-                        pop()
-                    for t in kept:
-                        stack.append(t)
-                        unwanted += t[1]
-                        main += t[2]
-                        links += t[0] == "a"
-                else:
-                    while stack[-1][0] != tag:
-                        pop()
-                    pop()
+        if ends:
+            stack.close(tag)
             continue
-        if tag in VOID or (m["rest"] or "").endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
         good = tag in MAIN
-        bad = _unwanted(tag, m["rest"] or "", main > 0, by_name)
-        if good and not bad and unwanted and not main:
-            if closed is None:
-                closed = _closed(html)
-            ends = within = False  # an element whose end tag is optional ends with the one around it
-            for t, _, _, beside, at in stack:
-                ends = at in closed or t in SHORT and ends
-                within |= beside and ends
-            while unwanted and not within:  # an article does not begin in a menu: that was never closed
-                pop()
+        bad = _unwanted(tag, rest, stack.main > 0, by_name)
+        if good and not bad and stack.unwanted and not stack.main:
+            stack.begin_article()
         if tag not in INLINE:
-            # a paragraph ends where the next block begins, and takes its open inline elements with it
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in SHORT):
-                pop()
-        stack.append((tag, bad, good and not bad, bad and _beside(tag, m["rest"] or "", by_name), m.start()))
-        unwanted += bad
-        main += good and not bad
-        links += tag == "a"
+            stack.end_paragraph(tag)
+        stack.push(tag, bad, good and not bad, bad and _beside(tag, rest, by_name), at)
     close_line()
     return lines
 
@@ -188,7 +239,7 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     if not any(w for _, w, _ in lines):  # a name may stand on what holds the whole page
         lines = lines_of(html or "", False)
-    weights = [w + SURGE * m if w or m else 0 for _, w, m in lines]
+    weights = [w + IN_MAIN * m for _, w, m in lines]
     n = len(lines)
     wanted: list[int] = []
     i = 0

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,6 +159,55 @@ def test_html_small_stretches_are_kept():
     assert html_text.main_text(page) == f"{WHOLE} {prose(3, 9)}"
 
 
+@pytest.mark.parametrize("bad", ["<a", "<div>", "<script ", "<!", "<a '", '<a "', "</p>", "<!--", "<i><div></i>", "<nav><div><article>", "<svg>", "<script></script ", "<p class='a b'>x"])
+def test_html_time_is_linear_on_bad_markup(bad):
+    began = time.process_time()
+    html_text.main_text(bad * 100_000)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a</p><svg/><p>b</p>", "a b"), ("<svg><text>s</text></svg><p>b", "b"),
+        (f"<main>{LONG}<p class='side effects'>pain<div class='promo-code'>X1</div></main>", f"{WHOLE} pain X1"),
+        (f"<article>{LONG}<div class=ad>Buy</div><div class=ad>it</div><div class='post-comments'><p>Nice</div><p>x</article>", f"{WHOLE} x"),
+        ("<b>one<div>two</b> three</div><a>four<div>five</a> six</div>", "one two three five six"),
+    ],
+)
+def test_html_more_edges(page, text):
+    assert html_text.main_text(page) == text
+
+
+def plain_main_text(html, window, surge):
+    """Surge and dive over the same lines, tried at every place."""
+    lines = html_text.lines_of(html)
+    w = [x + html_text.IN_MAIN * m for _, x, m in lines]
+    zero = lambda i: not any(w[i : i + window])
+    begins = {i for i in range(len(w)) if w[i] and sum(w[i : i + window]) >= surge}
+    kept = [k for k in range(len(w)) if w[k] and any(i in begins and not any(zero(j) for j in range(i, k + 1)) for i in range(k + 1))]
+    kept = kept or [k for k in range(len(w)) if w[k] > html_text.IN_MAIN * lines[k][2]]
+    inside = [k for k in kept if lines[k][2]]
+    if inside and 2 * sum(lines[k][1] for k in inside) >= sum(lines[k][1] for k in kept):
+        kept = inside
+    return " ".join(lines[k][0] for k in kept)
+
+
+def test_html_equals_a_plain_version_and_the_windows_decide(monkeypatch):
+    r = random.Random(6)
+    pages = []
+    for i in range(300):
+        parts = [r.choice(["<p>{}</p>", "<p>{}", "<div><a href=x>{}</a></div>", "<li><a>x</a> {}", "<div class=ad>{}</div>", "<article>{}</article>", "<nav>{}</nav>", "<h2>{}</h2>"]).format(prose(r.choice([1, 2, 4, 30]), 100 * i + k)) for k in range(r.randrange(14))]
+        pages.append("".join(parts))
+    results = {}
+    for window, surge in ((3, 80), (1, 1), (2, 300), (9, 5000)):
+        monkeypatch.setattr(html_text, "WINDOW", window)
+        monkeypatch.setattr(html_text, "SURGE", surge)
+        results[window] = [html_text.main_text(p) for p in pages]
+        assert results[window] == [plain_main_text(p, window, surge) for p in pages]
+    assert all(sum(x != y for x, y in zip(results[3], results[w], strict=True)) > 30 for w in (1, 2, 9))
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", "<p>" + "word " * 100_000)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
