@@ -182,6 +182,7 @@ def test_html_more_edges(page, text):
 def plain_main_text(html, window, surge):
     """Surge and dive over the same lines, tried at every place."""
     lines = html_text.lines_of(html)
+    lines = lines if any(x for _, x, _ in lines) else html_text.lines_of(html, False)
     w = [x + html_text.IN_MAIN * m for _, x, m in lines]
     zero = lambda i: not any(w[i : i + window])
     begins = {i for i in range(len(w)) if w[i] and sum(w[i : i + window]) >= surge}
