@@ -252,8 +252,7 @@ def main_text(html: str | None) -> str:
             end += 1
         wanted += [k for k in range(i, end) if weights[k]]
         i = end
-    if not wanted:
-        return " ".join(t for t, w, _ in lines if w)
+    wanted = wanted or [k for k in range(n) if lines[k][1]]
     inside = [k for k in wanted if lines[k][2]]
     if inside and 2 * sum(lines[k][1] for k in inside) >= sum(lines[k][1] for k in wanted):
         wanted = inside
