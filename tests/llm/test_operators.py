@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -279,7 +280,7 @@ def test_nearest_on_unnormed_vectors_and_ties(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] + [1.0] * 15), (2060, [float("inf")] + [1.0] * 15), (2080, [None] + [1.0] * 15), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
-    out = nearest.search(df, k=5, rerank=300)
+    out = nearest.search(df, k=5)
     got = defaultdict(list)
     for q in out.orderBy("query_id", "rank").collect():
         got[q["query_id"]].append(q["vec_id"])
@@ -295,13 +296,59 @@ def test_nearest_of_few(spark):
     assert nearest.search(df.limit(0)).count() == 0
 
 
-def test_index_finds_all_within_the_radius():
-    codes = np.random.default_rng(3).integers(0, 256, (3000, 8), dtype=np.uint8)
-    index = nearest.Index(codes)
-    for q in codes[:20]:
-        far = np.unpackbits(codes ^ q, axis=1).sum(axis=1)
-        places = index.within(q, 40)
-        assert set(places) == set(np.flatnonzero(far <= np.sort(far)[39]))
+SMALL = nearest.Sizes(substrings=24, postings=64, queries=16, block_bits=6, block_queries=16)
+
+
+@pytest.mark.parametrize("sizes", [nearest.Sizes(), SMALL])
+def test_all_codes_within_the_radius_are_met(spark, sizes, monkeypatch):
+    """Through many cells, parts and blocks, what is met is just what is near in some substring."""
+    x = np.random.default_rng(3).standard_normal((600, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    classes, asking, _, codes, met, _ = nearest._prepared(df, 5, sizes)
+    c, rows = codes[6], classes.select("id", "v").toPandas()
+    ids, held = rows["id"].to_numpy(), c.of_candidates(np.stack(rows["v"]).astype(float))
+    got = defaultdict(set)
+    for r in met.collect():
+        new = [(r["block"] << sizes.block_bits) + int(p) for p in np.frombuffer(r["places"], "<u2")]
+        assert got[r["qid"]].isdisjoint(new)
+        got[r["qid"]].update(new)
+    asked = asking.toPandas()
+    assert sorted(ids) == list(range(600)) and len(asked) == 30
+    for qid, v in zip(asked["id"], c.of_queries(np.stack(asked["v"]).astype(float)), strict=True):
+        far = np.bitwise_count(held ^ v)
+        assert got[qid] == set(ids[(far <= c.radius).any(axis=1)])
+        assert got[qid] >= set(ids[far.sum(axis=1) <= sizes.substrings * (c.radius + 1) - 1])
+
+
+def test_queries_that_meet_too_few_meet_all(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((400, 8))
+    x[20] = -x.sum(axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nearest.search(df, k=20, sizes=nearest.Sizes(substrings=1, radius=0, block_bits=5, block_queries=4))
+    got = defaultdict(list)
+    for q in out.orderBy("query_id", "rank").collect():
+        got[q["query_id"]].append(q["vec_id"])
+    want = plain_nearest([(i, v.tolist()) for i, v in enumerate(x)], 20)
+    assert {q: len(v) for q, v in got.items()} == {q: 20 for q in want}
+    assert sum(got[q] == want[q] for q in want) >= 10
+
+
+@pytest.mark.parametrize("spread", ["even", "clusters"])
+def test_recall_and_share_met_over_several_blocks(spark, spread):
+    r, n = np.random.default_rng(8), 20_000
+    x = r.standard_normal((n, 32)) if spread == "even" else r.standard_normal((100, 32))[r.integers(0, 100, n)] + 0.3 * r.standard_normal((n, 32))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    found = nearest.search(df).toPandas().groupby("query_id")["vec_id"].apply(set)
+    assert len(found) == n // 20
+    hits = 0
+    for q in range(0, n, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * n / 100) >= 0.9
+    share = nearest.met_counts(df).agg(F.avg("met")).first()[0] / n
+    assert share < (0.5 if spread == "even" else 0.3)
 
 
 # 5 near duplicates
