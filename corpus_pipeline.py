@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each over all that the stage before it kept.
 
 Each stage's result is written as Parquet to the shared folder and read again, so that a lost executor never costs
-more than a stage. All stages but the last return the columns of ``documents``.
+more than a stage; then what the stage itself wrote, and the result before, are deleted. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseworks.llm import bpe, language, mixing, near_duplicates, quality
-from clauseworks.llm.common import table, vocabulary_file, written
+from clauseworks.llm.common import drop_since, drop_written, table, vocabulary_file, written, written_so_far
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    *before, (_, last) = STAGES
+    for i, (name, stage) in enumerate(before):
+        mark = written_so_far()
+        kept = written(stage(spark, docs, sf_dir), name)
+        drop_since(spark, mark, kept)
+        if i:
+            drop_written(docs)
+        docs = kept
+    return last(spark, docs, sf_dir)
