@@ -30,7 +30,7 @@ def cosine_scores(vectors: DataFrame, query: list[float], id_col: str = "id", ve
 
 def quantise(vectors: DataFrame, vector: str = "vector", quantile: float = 0.99) -> DataFrame:
     """``vectors`` with ``code`` (array of tinyint): components scaled by the quantile of their size, and clipped."""
-    one = vectors.select(F.explode(vector).alias("x")).agg(F.percentile_approx(F.abs("x"), quantile, 10_000).alias("q")).first()
+    one = vectors.select(F.explode(vector).alias("x")).agg(F.percentile_approx(F.abs("x"), quantile, 1_000_000).alias("q")).first()
     scale = 127.0 / (one["q"] or 1.0)
     code = F.transform(vector, lambda x: F.least(F.greatest(F.round(x * scale), F.lit(-127)), F.lit(127)).cast("tinyint"))
     return vectors.withColumn("code", code)

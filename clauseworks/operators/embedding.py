@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import content_key
@@ -71,8 +71,10 @@ def misses(texts: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """Of each key the row of the greatest ``seq``."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where("_n = 1").drop("_n")
+    """Of each key the row of the greatest ``seq``; each task keeps one row a key before anything is shuffled."""
+    rest = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_last"))
+    return last.select(*[F.col(key) if c == key else F.col(f"_last.{c}").alias(c) for c in rows.columns])
 
 
 class EmbedCache:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +35,25 @@ class LexicalIndex:
     term_stats: DataFrame
     coll_stats: DataFrame
 
+    def kept(self) -> LexicalIndex:
+        """The index with its postings and lengths held on the executors' disks, so that texts are cut once for each."""
+        postings, doc_stats = self.postings.persist(StorageLevel.DISK_ONLY), self.doc_stats.persist(StorageLevel.DISK_ONLY)
+        return LexicalIndex(postings, doc_stats, _term_stats(postings), _coll_stats(doc_stats))
+
+
+def _term_stats(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _coll_stats(doc_stats: DataFrame) -> DataFrame:
+    return doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
 
 def build(rows: DataFrame, id_col: str = "id", text: str = "text", tokenizer: Tokenizer = tokens) -> LexicalIndex:
     cut = rows.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
     postings = cut.select("id", F.explode("ts").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     doc_stats = cut.select("id", F.size("ts").cast("long").alias("dl"))
-    term_stats = postings.groupBy("term").agg(F.count("*").alias("df"))
-    coll_stats = doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, doc_stats, term_stats, coll_stats)
+    return LexicalIndex(postings, doc_stats, _term_stats(postings), _coll_stats(doc_stats))
 
 
 def query_terms(spark, query: str, tokenizer: Tokenizer = tokens) -> list[str]:
@@ -68,10 +80,16 @@ def _is(term: str) -> Callable[[Column], Column]:
 
 
 def search_texts(rows: DataFrame, terms: list[str], keep: Column | None = None, model: Bm25 = Bm25(), id_col: str = "id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
-    """(id, score) without an index: one pass for the statistics of the terms, one to score; no shuffle of texts."""
-    cut = rows.withColumn("_ts", tokenizer(F.coalesce(F.col(text), F.lit(""))))
-    tf = [F.size(F.filter("_ts", _is(q))) for q in terms]
-    narrow = cut.select(F.col(id_col).alias("id"), F.size("_ts").alias("dl"), F.array(*tf).alias("tf"), (F.lit(True) if keep is None else keep).alias("_keep"))
+    """(id, score) without an index: one pass for the statistics of the terms, one to score; no shuffle of texts.
+
+    In each pass a text is cut once: no filter moves below the generator of its one row of counts.
+    """
+
+    def counts(ts: Column) -> Column:
+        return F.struct(F.size(ts).alias("dl"), F.array(*[F.size(F.filter(ts, _is(q))) for q in terms]).alias("tf"))
+
+    cut = F.transform(F.array(tokenizer(F.coalesce(F.col(text), F.lit("")))), counts)
+    narrow = rows.select(F.col(id_col).alias("id"), (F.lit(True) if keep is None else keep).alias("_keep"), F.explode_outer(cut).alias("_c")).select("id", "_keep", "_c.dl", "_c.tf")
     stats = narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avgdl = F.lit(float(stats["n"])), F.lit(float(stats["avgdl"] or 0))
     parts = [model.part(model.idf(n, F.lit(float(stats[f"df{i}"]))), F.get("tf", F.lit(i)).cast("double"), F.col("dl"), avgdl) for i in range(len(terms))]

@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--storage-dir", required=True)
     search.add_argument("--limit", type=int, default=5)
     search.add_argument("--act")
+    search.add_argument("--provision-type")
     return p
 
 
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         lists = [[x for x in s.split(",") if x] for s in (args.storage_dirs, args.cache_paths)]
         print(json.dumps(Engine(spark, args.output_storage_dir).merge(*lists, args.output_cache_path)))
     else:
-        print(Engine(spark, args.storage_dir).search_text(args.query, args.limit, args.act))
+        print(Engine(spark, args.storage_dir).search_text(args.query, args.limit, args.act, args.provision_type))
     return 0
 
 

@@ -22,20 +22,24 @@ class Engine:
         self.embedder = embedder or HashingEmbedder()
         self.rrf_constant = rrf_constant
 
+    def _payload(self, name: str) -> DataFrame:
+        return index.read(self.spark, f"{self.storage}/{name}").payload
+
     # ingest
 
     def ingest(self, corpus_dir: str, cache_path: str | None = None, shard: tuple[int, int] | None = None) -> dict:
-        """Parses, rolls up and indexes a corpus, or one shard (number, size) of it. Returns counts and missing names."""
+        """Parses, rolls up and adds a corpus, or one shard (number, size) of it, to the store. Returns its counts and missing names."""
         listed = corpus.read_index(self.spark, corpus_dir).persist()
         chosen = corpus.shard(listed, *shard) if shard else listed
         if chosen.isEmpty():
             return {"provisions": 0, "acts": 0, "missing": []}
         cache = EmbedCache(self.spark, cache_path, self.embedder.name) if cache_path else None
         rows = corpus.read_provisions(self.spark, corpus_dir, listed, chosen)
-        index.build(index.provision_documents(rows), f"{self.storage}/{index.PROVISIONS}", self.embedder, cache)
-        stored = self.spark.read.parquet(f"{self.storage}/{index.PROVISIONS}/payload")
+        index.upsert(index.provision_documents(rows), f"{self.storage}/{index.PROVISIONS}", self.embedder, cache)
+        names = chosen.select(F.col("name").alias("act_name")).distinct()
+        stored = self._payload(index.PROVISIONS).join(names, "act_name", "left_semi")
         acts = corpus.roll_up(stored)
-        index.build(index.act_documents(acts), f"{self.storage}/{index.ACTS}", self.embedder, cache)
+        index.upsert(index.act_documents(acts), f"{self.storage}/{index.ACTS}", self.embedder, cache)
         gap = corpus.missing(chosen.select("name"), stored.select(F.col("act_name").alias("name")))
         kinds = {r["provision_type"]: r["n"] for r in corpus.kind_counts(stored).collect()}
         out = {"provisions": sum(kinds.values()), "kinds": kinds, "acts": acts.count(), "missing": [r["name"] for r in gap.limit(10).collect()], "missing_count": gap.count()}
@@ -76,20 +80,20 @@ class Engine:
         found = self._hybrid(index.ACTS, query, limit)
         return found.select("rank", "score", "act_name", "frbr_uri", "year", "as_at_date", "section_count", "schedule_clause_count")
 
-    def search_text(self, query: str, limit: int = 5, act: str | None = None) -> str:
-        return render.text(self.search_provisions(query, limit, act))
+    def search_text(self, query: str, limit: int = 5, act: str | None = None, provision_type: str | None = None) -> str:
+        return render.text(self.search_provisions(query, limit, act, provision_type))
 
     # look-ups
 
     def act_metadata(self, name: str) -> dict:
-        rows = self.spark.read.parquet(f"{self.storage}/{index.ACTS}/payload").where(F.col("act_name") == name)
+        rows = self._payload(index.ACTS).where(F.col("act_name") == name)
         row = rows.select("act_name", "frbr_uri", "year", "as_at_date", "section_count", "schedule_clause_count").limit(1).first()
         if row is None:
             raise NotFound(name)
         return row.asDict()
 
     def _provisions(self, name: str, cap: int | None) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.storage}/{index.PROVISIONS}/payload").where(F.col("act_name") == name)
+        rows = self._payload(index.PROVISIONS).where(F.col("act_name") == name)
         return lookup.capped(rows, cap, *index.ORDER)
 
     def act_provisions(self, name: str, cap: int | None = lookup.CAP) -> DataFrame:

@@ -1,8 +1,14 @@
-"""A collection on disk: payload, vectors and an inverted index as Parquet tables under one folder."""
+"""A collection on disk: payload, vectors and an inverted index as Parquet tables, in a folder of their version.
+
+Every change writes a whole new version by one writer, points to it, and then deletes the version before: what fails
+half-way leaves the collection as it was.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +17,7 @@ from clauseworks.operators import embedding, lexical
 from clauseworks.schemas import ORDER
 
 PROVISIONS, ACTS = "legislation_section", "legislation"
+POINTER = "current-"
 TABLES = ("payload", "vectors", "postings", "doc_stats", "term_stats", "coll_stats")
 
 
@@ -40,37 +47,83 @@ def _vectors(docs: DataFrame, embedder: embedding.Embedder, cache: embedding.Emb
     return embedding.lookup(texts, cache.read()).select("id", "vector")
 
 
-def build(docs: DataFrame, folder: str, embedder: embedding.Embedder, cache: embedding.EmbedCache | None = None) -> None:
-    """Writes the collection of ``docs`` (id, document and payload columns)."""
-    spark = docs.sparkSession
-    sort = [c for c in ("act_name", *ORDER) if c in docs.columns]
+def _write(payload: DataFrame, vectors: DataFrame, folder: str, vectors_of=None) -> None:
+    """Writes a new version of the collection and then points to it: who reads meanwhile reads the version before."""
+    spark = payload.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    at = f"{folder}/{version}"
+    sort = [c for c in ("act_name", *ORDER) if c in payload.columns]
     # within a file rows of one document of record stand together, so that filters by name skip row groups
-    docs.repartitionByRange(F.col("act_name")).sortWithinPartitions(*sort).write.mode("overwrite").parquet(f"{folder}/payload")
-    docs = spark.read.parquet(f"{folder}/payload")
-    _vectors(docs, embedder, cache).write.mode("overwrite").parquet(f"{folder}/vectors")
-    index = lexical.build(docs, "id", "document")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
-    postings = spark.read.parquet(f"{folder}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/term_stats")
-    spark.read.parquet(f"{folder}/doc_stats").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/coll_stats")
+    payload.repartitionByRange(F.col("act_name")).sortWithinPartitions(*sort).write.parquet(f"{at}/payload")
+    payload = spark.read.parquet(f"{at}/payload")
+    (vectors if vectors_of is None else vectors_of(payload)).write.parquet(f"{at}/vectors")
+    index = lexical.build(payload, "id", "document")
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+    index.doc_stats.write.parquet(f"{at}/doc_stats")
+    postings = spark.read.parquet(f"{at}/postings")
+    postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/term_stats")
+    spark.read.parquet(f"{at}/doc_stats").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{at}/coll_stats")
+    before = current(spark, folder)
+    _point(spark, folder, version)
+    if before:
+        fs, old = _fs(spark, f"{folder}/{before}")
+        fs.delete(old, True)
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _point(spark: SparkSession, folder: str, version: str) -> None:
+    """The pointer is an empty file whose name is the version's: made before the one it replaces is deleted."""
+    fs, at = _fs(spark, f"{folder}/{POINTER}{version}")
+    fs.create(at, True).close()
+    for old in fs.globStatus(_fs(spark, f"{folder}/{POINTER}v-*")[1]):
+        if old.getPath().getName() != POINTER + version:
+            fs.delete(old.getPath(), False)
+
+
+def current(spark: SparkSession, folder: str) -> str | None:
+    """The name of the collection's version, if there is one: of two pointers the newer."""
+    fs, at = _fs(spark, f"{folder}/{POINTER}v-*")
+    found = [(f.getModificationTime(), f.getPath().getName()) for f in fs.globStatus(at) or []]
+    return max(found)[1].removeprefix(POINTER) if found else None
+
+
+def upsert(docs: DataFrame, folder: str, embedder: embedding.Embedder, cache: embedding.EmbedCache | None = None) -> None:
+    """Adds ``docs`` (id, document and payload columns) to the collection, which is made if there is none.
+
+    Rows of an id that is there already take its place; all others stay as they are, and are not embedded again.
+    """
+    spark = docs.sparkSession
+    old = read(spark, folder) if current(spark, folder) else None
+    docs = docs.dropDuplicates(["id"])
+    if old is None:
+        _write(docs, docs, folder, lambda stored: _vectors(stored, embedder, cache))
+        return
+    ids = docs.select("id")
+    payload = docs.unionByName(old.payload.join(ids, "id", "left_anti"), allowMissingColumns=True)
+
+    def vectors(stored: DataFrame) -> DataFrame:
+        new = stored.join(ids, "id", "left_semi")
+        return _vectors(new, embedder, cache).select("id", "vector").unionByName(old.vectors.join(ids, "id", "left_anti").select("id", "vector"))
+
+    _write(payload, docs, folder, vectors)
 
 
 def read(spark: SparkSession, folder: str) -> Collection:
-    t = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+    version = current(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no collection in {folder}")
+    t = {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in TABLES}
     return Collection(t["payload"], t["vectors"], lexical.LexicalIndex(*[t[n] for n in TABLES[2:]]))
 
 
 def merge(spark: SparkSession, folders: list[str], out: str) -> int:
     """Merges collections without embedding anything again; of equal ids the last folder's wins. Returns rows read."""
-    payloads = [spark.read.parquet(f"{f}/payload").withColumn("_seq", F.lit(i)) for i, f in enumerate(folders)]
-    vectors = [spark.read.parquet(f"{f}/vectors").withColumn("_seq", F.lit(i)) for i, f in enumerate(folders)]
-    for parts in (payloads, vectors):
-        for p in parts[1:]:
-            parts[0] = parts[0].unionByName(p, allowMissingColumns=True)
-    embedding.last_wins(payloads[0], "id", "_seq").drop("_seq").write.mode("overwrite").parquet(f"{out}/payload")
-    embedding.last_wins(vectors[0], "id", "_seq").drop("_seq").write.mode("overwrite").parquet(f"{out}/vectors")
-    index = lexical.build(spark.read.parquet(f"{out}/payload"), "id", "document")
-    for name in TABLES[2:]:
-        getattr(index, name).write.mode("overwrite").parquet(f"{out}/{name}")
-    return payloads[0].count()
+    parts = [read(spark, f) for f in folders]
+    payload, vectors = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [getattr(c, name).withColumn("_seq", F.lit(i)) for i, c in enumerate(parts)]) for name in ("payload", "vectors"))
+    rows = payload.count()
+    _write(embedding.last_wins(payload, "id", "_seq").drop("_seq"), embedding.last_wins(vectors, "id", "_seq").drop("_seq"), out)
+    return rows

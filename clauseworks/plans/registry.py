@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clauseworks.functions import refs as R
 from clauseworks.functions import text as X
 from clauseworks.operators import dense, embedding, fusion, lexical, lookup
-from clauseworks.plans import render
+from clauseworks.plans import index, render
 from clauseworks.sources import corpus, markup
 
 QUERIES: dict = {}
@@ -65,16 +67,16 @@ def bm25_topk_filtered(spark, d):
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_index_topk(spark, d):
-    index = lexical.build(_t(spark, d, "documents"), "doc_id")
-    return lexical.top(lexical.search_index(index, list(TERMS)), LIMIT).withColumnRenamed("id", "doc_id")
+    made = lexical.build(_t(spark, d, "documents"), "doc_id").kept()
+    return lexical.top(lexical.search_index(made, list(TERMS)), LIMIT).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), u AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM t)
 SELECT term, count(*) AS df, (SELECT count(*) FROM t) AS n, (SELECT round(avg(len(ts)), 6) FROM t) AS avgdl FROM u GROUP BY term""")
 def bm25_index_stats(spark, d):
-    index = lexical.build(_t(spark, d, "documents"), "doc_id")
+    made = lexical.build(_t(spark, d, "documents"), "doc_id")
     # one row is joined to all
-    return index.term_stats.join(F.broadcast(index.coll_stats)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+    return made.term_stats.join(F.broadcast(made.coll_stats)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 # dense search and fusion: the query vector is that of the row with the least id
@@ -131,17 +133,30 @@ def hybrid_rrf_filtered(spark, d):
     return _hybrid(spark, d, F.col("lang") == "en", F.col("label") < 5)
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-s AS (SELECT max(abs(x)) AS m FROM e),
+def _int8_sql(scale: str) -> str:
+    return f"""WITH e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT {scale} AS m FROM e),
 c AS (SELECT vec_id, list(least(greatest(CASE WHEN x >= 0 THEN floor(x * (127.0 / m) + 0.5) ELSE -floor(-x * (127.0 / m) + 0.5) END, -127), 127) ORDER BY i) AS code FROM e, s GROUP BY vec_id)
-SELECT vec_id, CAST(list_sum(code) AS BIGINT) AS code_sum, CAST(code[1] AS INT) AS first_code FROM c""")
-def int8_quantise(spark, d):
+SELECT vec_id, CAST(list_sum(code) AS BIGINT) AS code_sum, CAST(code[1] AS INT) AS first_code FROM c"""
+
+
+def _int8(spark, d, quantile: float) -> DataFrame:
     v = _vectors(spark, d).withColumn("vector", F.transform("vector", lambda x: x.cast("double")))
-    coded = dense.quantise(v, quantile=1.0)
+    coded = dense.quantise(v, quantile=quantile)
     total = F.aggregate("code", F.lit(0).cast("long"), lambda a, x: a + x)
     return coded.select(F.col("id").alias("vec_id"), total.alias("code_sum"), F.get("code", F.lit(0)).cast("int").alias("first_code"))
 
 
+@query(_int8_sql("max(abs(x))"))
+def int8_quantise(spark, d):
+    return _int8(spark, d, 1.0)
+
+
+@query(_int8_sql("quantile_disc(abs(x), 0.99)"))
+def int8_quantise_clipped(spark, d):
+    return _int8(spark, d, 0.99)
+
+
 # documents of record: search by name and year
 
 _GROUPS = "g AS (SELECT DISTINCT n_name || ' — ' || year(o_orderdate) AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
@@ -309,8 +324,11 @@ def eid_natural_order(spark, d):
     return x.select("l_orderkey", "l_linenumber", "eid", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("place"))
 
 
-@query("""WITH k AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(text)) AS h FROM documents)
-SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[CAST(('0x' || h[17:17]) AS INT) % 4 + 1] || h[18:20] || '-' || h[21:32] AS key FROM k""")
+_KEY = "WITH k AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(text)) AS h FROM documents)"
+_KEY_TEXT = "h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[CAST(('0x' || h[17:17]) AS INT) % 4 + 1] || h[18:20] || '-' || h[21:32]"
+
+
+@query(f"{_KEY} SELECT doc_id, {_KEY_TEXT} AS key FROM k")
 def content_keys(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.content_key(F.col("text")).alias("key"))
 
@@ -422,8 +440,8 @@ SAMPLE = """<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"
  ('schedule_clause', 'schedule-1__clause-1', '1', 'Rates', '1 Rates Fee | 10 20', '')) AS t(provision_type, eid, provision_num, heading, text, refs)""")
 def akn_provisions(spark, d):
     files = spark.createDataFrame([(0, "Sample Act 2001", bytearray(SAMPLE.encode()))], "act_ord int, act_name string, content binary")
-    index = spark.createDataFrame([], "name string, uri string")
-    rows = R.with_refs(markup.parse(files), index, ["act_ord", "kind_ord", "prov_ord"])
+    none = spark.createDataFrame([], "name string, uri string")
+    rows = R.with_refs(markup.parse(files), none, ["act_ord", "kind_ord", "prov_ord"])
     return rows.select("provision_type", "eid", "provision_num", "heading", "text", F.array_join("refs", "|").alias("refs"))
 
 
@@ -434,47 +452,69 @@ def corpus_index(spark, d):
     return corpus.index_rows(spark.createDataFrame([(raw,)], "value string")).select("act_ord", "slug", "name", "xml_path", "frbr_expression_uri")
 
 
-@query(None)
-def page_text(spark, d):
-    """The provision text walk, over web pages read leniently: text of all elements in turn."""
+@query(f"{_KEY} SELECT doc_id, {_KEY_TEXT} AS key, 64 AS dim FROM k")
+def cached_embedding(spark, d):
+    """Each text is embedded once, by hashing of its words; every document gets its text's vector."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    none = spark.createDataFrame([], "id string, vector array<float>")
+    made = embedding.embed_texts(embedding.misses(docs, none), embedding.HashingEmbedder())
+    return embedding.lookup(docs, made).select("doc_id", "key", F.size("vector").alias("dim"))
+
 
-    def run(batches):
-        from html.parser import HTMLParser
+# markup of documents made up from a table, and a store that is filled in parts
 
-        import pandas as pd
+_AKN = (
+    '<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act><meta><identification><FRBRExpression><FRBRuri value="/akn/x/{0}"/></FRBRExpression></identification></meta>'
+    '<body><section eId="sec-1"><num>{1}</num><heading>{2}</heading><content><p>Order  {0}\n<i>of</i> customer {1} is here.</p></content></section>'
+    '<section eId="sec-2"><num>2</num><subsection eId="sec-2__subsec-1"><num>(1)</num><content><p>Customer {1} keeps the order.</p></content></subsection></section></body></act></akomaNtoso>'
+)
 
-        class Text(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.parts, self.hidden = [], 0
 
-            def handle_starttag(self, tag, attrs):
-                self.hidden += tag in ("script", "style")
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderpriority AS p FROM orders)
+SELECT k, 'section' AS provision_type, 'sec-1' AS eid, c AS provision_num, p AS heading, c || ' ' || p || ' Order ' || k || ' of customer ' || c || ' is here.' AS text FROM o
+UNION ALL SELECT k, 'section', 'sec-2', '2', NULL, '2 (1) Customer ' || c || ' keeps the order.' FROM o
+UNION ALL SELECT k, 'subsection', 'sec-2__subsec-1', '2(1', NULL, '(1) Customer ' || c || ' keeps the order.' FROM o""")
+def akn_orders(spark, d):
+    """A document of two sections for every order."""
+    text = F.format_string(_AKN.replace("{0}", "%1$s").replace("{1}", "%2$s").replace("{2}", "%3$s"), _str("o_orderkey"), _str("o_custkey"), F.col("o_orderpriority"))
+    files = _t(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("act_ord"), F.lit("Order Act").alias("act_name"), F.encode(text, "UTF-8").alias("content"))
+    rows = markup.parse(files)
+    return rows.select(F.col("act_ord").cast("long").alias("k"), "provision_type", "eid", "provision_num", "heading", "text")
 
-            def handle_endtag(self, tag):
-                self.hidden -= tag in ("script", "style") and self.hidden > 0
 
-            def handle_data(self, data):
-                if not self.hidden:
-                    self.parts.append(data)
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp()}/store-{uuid.uuid4().hex}"
 
-        for batch in batches:
-            out = []
-            for page in batch["html"]:
-                t = Text()
-                t.feed(page or "")
-                t.close()
-                out.append(" ".join(" ".join(t.parts).split()))
-            yield pd.DataFrame({"page_id": batch["page_id"], "text": out})
 
-    schema = T.StructType().add("page_id", T.LongType()).add("text", T.StringType())
-    return _t(spark, d, "pages").select("page_id", "html").mapInPandas(run, schema)
+def _store(spark, d) -> index.Collection:
+    """Documents as provisions: put in two overlapping shards into one store, which is merged with a third."""
+    docs = _t(spark, d, "documents").select(
+        F.col("source").alias("act_name"), F.lit("").alias("frbr_uri"), F.lit("section").alias("provision_type"), F.concat(F.lit("sec-"), _str("doc_id")).alias("eid"),
+        F.lit(0).alias("act_ord"), F.lit(0).alias("kind_ord"), F.col("doc_id").alias("prov_ord"), "text", F.array().cast("array<string>").alias("terms"), "doc_id", "lang",
+    )
+    at, embedder = _scratch(spark), embedding.HashingEmbedder()
+    for name, keep in (("a", F.col("doc_id") % 3 == 0), ("a", (F.col("doc_id") % 3 == 1) | (F.col("doc_id") % 2 == 0)), ("b", (F.col("doc_id") % 3 == 2) | (F.col("doc_id") % 5 == 0))):
+        index.upsert(index.provision_documents(docs.where(keep)), f"{at}/{name}", embedder)
+    index.merge(spark, [f"{at}/a", f"{at}/b"], f"{at}/all")
+    return index.read(spark, f"{at}/all")
 
 
-@query(None)
-def cached_embedding(spark, d):
-    """Each text is embedded once, by hashing of its words; every document gets its text's vector."""
-    docs = _t(spark, d, "documents").select("doc_id", "text")
-    none = spark.createDataFrame([], "id string, vector array<float>")
-    made = embedding.embed_texts(embedding.misses(docs, none), embedding.HashingEmbedder())
-    return embedding.lookup(docs, made).select("doc_id", "key", "vector")
+@query(f"WITH {_BM25} SELECT doc_id, score FROM sc WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 10")
+def store_search(spark, d):
+    """BM25 with a filter over a store that was filled by upserts and a merge: as over all documents at once."""
+    store = _store(spark, d)
+    found = lexical.search_index(store.lexical, list(TERMS), among=store.payload.where("lang = 'en'"))
+    named = found.join(store.payload.select("id", "doc_id"), "id").select(F.col("doc_id").alias("id"), "score")
+    return lexical.top(named, LIMIT).withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT count(*) AS rows, count(*) AS vectors, CAST(count(DISTINCT source) AS BIGINT) AS acts FROM documents")
+def store_counts(spark, d):
+    """A store that was filled by upserts and a merge holds every row and vector once."""
+    store = _store(spark, d)
+    one = store.payload.agg(F.count("*").alias("rows"), F.countDistinct("act_name").alias("acts"))
+    return one.join(F.broadcast(store.vectors.agg(F.count("*").alias("vectors")))).select("rows", "vectors", "acts")  # one row each
