@@ -1,6 +1,7 @@
 """License scan by conditional compression.
 
-Lines that may belong to a license notice are joined to blocks. A block is compressed by zstandard alone, and with
+Words like "license" or "permission" are anchors: as many words before and after each as the longest notice has, over
+line ends, make a block. A block is compressed by zstandard alone, and with
 each template as raw dictionary; the template that saves most, as a part of the block, comes first. A winner is
 confirmed by the exact differences in wording: almost all of the template's words must stand in the block, in
 order and close together, and every word with a digit (a version) without change. Where a block is no notice as a
@@ -33,25 +34,31 @@ SAVED = 0.25
 COVER = 0.85
 #: Other words between the template's, at most, as a part of its words (or four).
 EXTRA = 0.25
-#: Templates that are confirmed word by word, in the order of savings.
-TRIED = 3
 
 # License names and the wordings of their notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", "Released under the Apache License 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "Licensed under the GNU GPL v3."),
+    ("GPL-2.0", "Licensed under the GNU GPL v2."),
     ("GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
     ("GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -60,12 +67,16 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "This work is released under CC0 1.0 Universal, public domain dedication."),
     ("all-rights-reserved", "All rights reserved."),
 )
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_ANCHOR = re.compile(r"licen[sc]|copyright|all rights|rights reserved|permission|redistribut|warrant|public domain|free software|\bCC0?[ -]", re.I)
+_ANCHOR = re.compile(r"licen[sc]|copyright|all\s+rights|rights\s+reserved|permission|redistribut|warrant|public\s+domain|free\s+software|\bCC0?[\s-]", re.I)
 
 
 @dataclass(frozen=True)
@@ -187,7 +198,7 @@ class Scanner:
         """(template, saved, first word, word after the last, missing, extra) of the words of ``block``, if confirmed."""
         have = block.split(" ")
         best = None
-        for saved, i in self.ranked(block)[:TRIED]:
+        for saved, i in self.ranked(block):
             if saved < SAVED:
                 break
             want = self._words[-i]
@@ -197,30 +208,22 @@ class Scanner:
                 best = min(best, found) if best else found
         return best[2:] if best else None
 
-    def _spans(self, text: str) -> Iterator[list[tuple[int, int]]]:
-        """Runs of neighbouring lines (start, end) that may belong to a notice."""
-        if not _ANCHOR.search(text):
+    def _spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Stretches of ``text`` in which a notice may stand: as many words around each anchor as the longest has."""
+        anchors = [m.start() for m in _ANCHOR.finditer(text)]
+        if not anchors:
             return
-        run: list[tuple[int, int]] = []
-        anchored = False
-        at = 0
-        for line in text.split("\n"):
-            end = at + len(line)
-            anchor = _ANCHOR.search(line) is not None
-            familiar = anchor
-            if line.strip() and not anchor:
-                ws = words_of(line)
-                familiar = bool(ws) and 2 * sum(w in self._known for w in ws) >= len(ws)
-            if familiar:
-                run.append((at, end))
-                anchored |= anchor
-            elif line.strip():
-                if anchored:
-                    yield run
-                run, anchored = [], False
-            at = end + 1
-        if anchored:
-            yield run
+        words = [m.start() for m in _WORD.finditer(text)]
+        reach = max(len(w) + int(_others(w)) for w in self._words)
+        a = b = None
+        for at in anchors:
+            k = bisect_left(words, at)
+            first, last = max(0, k - reach), min(len(words), k + reach)
+            if b is not None and first > b:
+                yield words[a], words[b] if b < len(words) else len(text)
+                a = None
+            a, b = first if a is None else a, last
+        yield words[a], words[b] if b < len(words) else len(text)
 
     def _in(self, text: str, start: int, end: int) -> list[Finding]:
         """Findings in a span: a notice is confirmed, in the whole or in a part of it, then what stands before and after it."""
@@ -232,7 +235,7 @@ class Scanner:
             if not at or not _ANCHOR.search(text, a, b):
                 continue
             have = [w for *_, w in at]
-            found = self._judged(" ".join(have)) if len(have) <= 3 * max(map(len, self._words)) else None
+            found = self._judged(" ".join(have)) if 2 * len(have) <= 3 * max(map(len, self._words)) else None
             if found is None:  # the notice may be a part of the span
                 places = self._places(have)
                 for first, last in places:
@@ -249,14 +252,7 @@ class Scanner:
         return out
 
     def scan(self, text: str | None) -> list[Finding]:
-        out: list[Finding] = []
-        for run in self._spans(text or ""):
-            whole = self._in(text, run[0][0], run[-1][1]) if len(run) > 1 else []
-            taken = [(f.start, f.end) for f in whole]
-            out += whole
-            for a, b in run:
-                if not any(s < b and e > a for s, e in taken):
-                    out += self._in(text, a, b)
+        out = [f for a, b in self._spans(text or "") for f in self._in(text, a, b)]
         return sorted(set(out), key=lambda f: (f.start, f.end))
 
 

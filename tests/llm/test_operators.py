@@ -643,6 +643,42 @@ def test_every_notice_of_a_long_run_of_lines(width):
     assert not any(f.missing + f.extra for f in found)
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under the GNU GPL v3.", "GPL-3.0"), ("Released under the Apache License 2.0.", "Apache-2.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0")],
+)
+def test_short_notices(text, name):
+    for whole in (text, f"{prose(60, 1)} {text} {prose(60, 2)}", f"{prose(400, 1)} copyright {prose(400, 2)} {text} {prose(400, 3)}"):
+        assert [f.license for f in licenses.scanner().scan(whole)] == [name]
+
+
+def plain_notices(text):
+    """Every template at every place, the longest first, word for word."""
+    have, out = licenses.words_of(text), {}
+    taken = [False] * len(have)
+    for name, notice in sorted(licenses.TEMPLATES, key=lambda t: -len(licenses.words_of(t[1]))):
+        want = licenses.words_of(notice)
+        for k in range(len(have) - len(want) + 1):
+            if have[k : k + len(want)] == want and not any(taken[k : k + len(want)]):
+                taken[k : k + len(want)] = [True] * len(want)
+                out[k] = (name, k, k + len(want))
+    return [out[k] for k in sorted(out)]
+
+
+def test_generated_texts_equal_a_plain_scan():
+    r, scan = random.Random(12), licenses.scanner().scan
+    for i in range(400):
+        parts = []
+        for k in range(r.randrange(4)):
+            parts += [prose(r.choice([5, 12, 40, 300]), 10 * i + k), r.choice(licenses.TEMPLATES)[1]]
+        text = r.choice([" ", "\n", "\n\n"]).join([*parts, prose(r.choice([5, 30]), i)])
+        if r.random() < 0.5:
+            text = textwrap.fill(text, r.choice([40, 80]), break_long_words=False, break_on_hyphens=False)
+        at = {m.start(): j for j, m in enumerate(licenses._WORD.finditer(text))}
+        ends = {m.end(): j + 1 for j, m in enumerate(licenses._WORD.finditer(text))}
+        assert [(f.license, at[f.start], ends[f.end]) for f in scan(text)] == plain_notices(text), text
+
+
 def test_license_rows(odd, none):
     out = licenses.scan(odd).collect()
     assert len(out) == odd.count() and {r["n_found"] for r in out} == {0}
