@@ -586,6 +586,26 @@ def test_mix(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
 
 
+def test_mix_of_repeated_ids_in_any_order(spark):
+    rows = [(i % 7, prose(i % 11 + 1, i // 2), "ab"[i % 2]) for i in range(90)]
+    schema, want = "doc_id long, text string, source string", None
+    for seed, parts in ((0, 1), (1, 5), (2, 9)):
+        now = random.Random(seed).sample(rows, len(rows))
+        out = mixing.mixed(spark.createDataFrame(now, schema).repartition(parts)).collect()
+        want = want or Counter(map(tuple, out))
+        assert Counter(map(tuple, out)) == want
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    a, b = "", ""
+    for i in range(2048):
+        bit = i.bit_count() & 1
+        a, b = a + "ab"[bit], b + "ba"[bit]
+    assert not (shingles.shingle_sets([a])[0] == shingles.shingle_sets([b])[0]).all()
+    many = [f"{'x' * (i % 300)}{i}" for i in range(3000)]
+    assert len({int(shingles.shingle_sets([w])[0][0]) for w in many}) == 3000
+
+
 def test_mix_on_odd_rows(odd, none):
     out = mixing.mix(odd).collect()
     assert len(out) == odd.count() and all(x["taken"] == 0 for x in out if x["size"] == 0)

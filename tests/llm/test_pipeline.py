@@ -1,13 +1,16 @@
 """The pipeline against a plain version, stage by stage, and its registration."""
 
+import hashlib
 import random
 from collections import Counter
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clauseworks.llm import queries
+from tests.llm.test_operators import plain_components, plain_measures, plain_targets, tokenizer
 
 
 def prose(n, seed):
@@ -69,6 +72,60 @@ def test_columns_of_any_name_pass_through(spark, folder, tmp_path):
     assert P.STAGES[-1][1](spark, docs, folder).count() == docs.count()
 
 
+def test_names_with_dots_and_ticks_pass_through(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("a.b", F.lit(1)).withColumn("x`y", F.lit(2)).withColumn("text.doc_id", F.lit(3))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and {tuple(r)[-3:] for r in out.collect()} == {(1, 2, 3)}
+
+
+def plain_kept(rows):
+    """Ids that quality, language and one of each near duplicate leave, in plain Python; rows are (id, text, source)."""
+    measured = [plain_measures(t) for _, t, _ in rows]
+    failed = [m[0] < 20 or 100 * m[4] > 30 * m[0] for m in measured]
+    n, f = Counter(s for *_, s in rows), Counter(s for (*_, s), bad in zip(rows, failed, strict=True) if bad)
+    mean = sum(failed) / len(rows)
+    between = sum(n[s] * (f[s] / n[s] - mean) ** 2 for s in n) / len(rows) - mean * (1 - mean) * (len(n) - 1) / len(rows)
+    size = min(max(mean * (1 - mean) / between - 1, 1), 1e6) if between > 0 else 1e6
+    good = [r for r, bad in zip(rows, failed, strict=True) if not bad and (f[r[2]] + mean * size) / (n[r[2]] + size) <= 0.5]
+    told = [r for r in good if any(c.isalpha() for c in r[1])]
+    least = plain_components([i for i, *_ in told], [t for _, t, _ in told])
+    return {i for i, *_ in good}, {i for i, *_ in told}, {i for i, _, c in least if i == c}
+
+
+def test_stages_equal_a_plain_pipeline(spark, tmp_path):
+    r, rows = random.Random(9), []
+    for i in range(160):
+        text = r.choice(rows)[1] if rows and r.random() < 0.2 else prose(r.choice([5, 25, 40, 90]), i)
+        if text and r.random() < 0.3:
+            text = " ".join([*text.split(), f"more{i}"])
+        rows.append((i * 7 % 1000, " ".join(map(str, range(30))) if r.random() < 0.05 else text, r.choice(["a", "b", "c", None])))
+    rows += [(2000 + i, prose(3 if i % 4 else 40, i), "poor") for i in range(40)] + [(3000, prose(9, 1) + " " + prose(9, 1) + " " + prose(9, 1), "a")]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now, want = docs, plain_kept(rows)
+    for (_, stage), ids in zip(P.STAGES, want, strict=False):
+        now = stage(spark, now, str(tmp_path))
+        assert {x["doc_id"] for x in now.collect()} == ids
+    assert any(i < 2000 for i in want[0]) and not any(2000 <= i < 3000 for i in want[0])
+    left = [x for x in rows if x[0] in want[2]]
+    sizes = Counter()
+    for _, t, s in left:
+        sizes[s] += len(t.split())
+    of = {i: (t, s) for i, t, s in left}
+    out, taken = P.run(spark, str(tmp_path)).collect(), Counter()
+    tok = tokenizer()
+    for x in out:
+        text, source = of[x["doc_id"]]
+        taken[source] += len(text.split())
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert (x["n_tokens"], x["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert x["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert max(Counter(x["doc_id"] for x in out).values()) <= 3
+    for s, target in plain_targets(sizes).items():
+        assert abs(taken[s] - target) <= 91
+
+
 def test_registered():
     import __spark_entry__ as e
 
