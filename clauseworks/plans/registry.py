@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -478,7 +480,8 @@ def akn_orders(spark, d):
     """A document of two sections for every order."""
     text = F.format_string(_AKN.replace("{0}", "%1$s").replace("{1}", "%2$s").replace("{2}", "%3$s"), _str("o_orderkey"), _str("o_custkey"), F.col("o_orderpriority"))
     files = _t(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("act_ord"), F.lit("Order Act").alias("act_name"), F.encode(text, "UTF-8").alias("content"))
-    rows = markup.parse(files)
+    # the table is one small file: its documents are dealt out before they are parsed
+    rows = markup.parse(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "act_ord"))
     return rows.select(F.col("act_ord").cast("long").alias("k"), "provision_type", "eid", "provision_num", "heading", "text")
 
 
@@ -487,7 +490,11 @@ def _scratch(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp()}/store-{uuid.uuid4().hex}"
+    if not shared:
+        own = tempfile.mkdtemp(prefix="clauseworks-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 def _store(spark, d) -> index.Collection:
