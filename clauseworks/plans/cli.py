@@ -1,12 +1,14 @@
-"""Command line: ingest, merge, search."""
+"""Command line: ingest, merge, search, serve."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import SparkSession
 
+from clauseworks.plans import service
 from clauseworks.plans.engine import Engine
 
 
@@ -18,9 +20,15 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--storage-dir", required=True)
     ingest.add_argument("--cache-path")
     ingest.add_argument("--shard", help="number/size: one shard of so many documents")
-    merge = sub.add_parser("merge", help="merge shards")
-    merge.add_argument("--storage-dirs", required=True, help="separated by commas")
-    merge.add_argument("--cache-paths", default="", help="separated by commas")
+    shard = sub.add_parser("ingest-shard", help="ingest one shard of a corpus")
+    shard.add_argument("--corpus-dir", required=True)
+    shard.add_argument("--storage-dir", required=True)
+    shard.add_argument("--cache-path")
+    shard.add_argument("--shard-index", type=int, required=True, help="from 0")
+    shard.add_argument("--shard-size", type=int, required=True, help="documents of record in a shard")
+    merge = sub.add_parser("merge", aliases=["merge-shards"], help="merge shards")
+    merge.add_argument("--storage-dirs", "--shard-storage-dirs", required=True, help="separated by commas")
+    merge.add_argument("--cache-paths", "--shard-cache-paths", default="", help="separated by commas")
     merge.add_argument("--output-storage-dir", required=True)
     merge.add_argument("--output-cache-path")
     search = sub.add_parser("search", help="hybrid search")
@@ -29,20 +37,35 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--limit", type=int, default=5)
     search.add_argument("--act")
     search.add_argument("--provision-type")
+    serve = sub.add_parser("serve", help="answer over HTTP")
+    serve.add_argument("--storage-dir", required=True)
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
+    sub.add_parser("mcp", help=f"answer tool calls on standard input and output; ${service.STORAGE} names the store")
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    # the environment is asked before a session is begun
+    storage = service.storage_of_environment() if args.command == "mcp" else getattr(args, "storage_dir", None)
     spark = spark or SparkSession.builder.appName("clauseworks").getOrCreate()
-    if args.command == "ingest":
-        shard = tuple(map(int, args.shard.split("/"))) if args.shard else None
-        print(json.dumps(Engine(spark, args.storage_dir).ingest(args.corpus_dir, args.cache_path, shard), ensure_ascii=False))
-    elif args.command == "merge":
-        lists = [[x for x in s.split(",") if x] for s in (args.storage_dirs, args.cache_paths)]
-        print(json.dumps(Engine(spark, args.output_storage_dir).merge(*lists, args.output_cache_path)))
-    else:
-        print(Engine(spark, args.storage_dir).search_text(args.query, args.limit, args.act, args.provision_type))
+    match args.command:
+        case "ingest":
+            shard = tuple(map(int, args.shard.split("/"))) if args.shard else None
+            print(json.dumps(Engine(spark, storage).ingest(args.corpus_dir, args.cache_path, shard), ensure_ascii=False))
+        case "ingest-shard":
+            got = Engine(spark, storage).ingest(args.corpus_dir, args.cache_path, (args.shard_index, args.shard_size))
+            print(json.dumps(got, ensure_ascii=False))
+        case "merge" | "merge-shards":
+            lists = [[x.strip() for x in s.split(",") if x.strip()] for s in (args.storage_dirs, args.cache_paths)]
+            print(json.dumps(Engine(spark, args.output_storage_dir).merge(*lists, args.output_cache_path)))
+        case "search":
+            print(Engine(spark, storage).search_text(args.query, args.limit, args.act, args.provision_type))
+        case "serve":
+            service.serve(service.Service(Engine(spark, storage)), args.host, args.port)
+        case "mcp":
+            service.speak(service.Service(Engine(spark, storage)), sys.stdin, sys.stdout)
     return 0
 
 

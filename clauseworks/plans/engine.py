@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import visible_refs
@@ -16,6 +16,12 @@ class NotFound(LookupError):
     pass
 
 
+def _act_fields() -> list[Column]:
+    """A document of record; a date that is lacking is empty, and a count 0."""
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("section_count", "schedule_clause_count")]
+    return [F.col("act_name"), F.col("frbr_uri"), F.col("year"), F.coalesce("as_at_date", F.lit("")).alias("as_at_date"), *counts]
+
+
 class Engine:
     def __init__(self, spark: SparkSession, storage: str, embedder: Embedder | None = None, rrf_constant: int = 60):
         self.spark, self.storage = spark, storage.rstrip("/")
@@ -77,8 +83,7 @@ class Engine:
         return found.select("rank", "score", "act_name", "frbr_uri", "eid", "provision_num", "provision_type", "heading", "text", visible_refs(F.coalesce("refs", none)).alias("refs"))
 
     def search_acts(self, query: str, limit: int = 5) -> DataFrame:
-        found = self._hybrid(index.ACTS, query, limit)
-        return found.select("rank", "score", "act_name", "frbr_uri", "year", "as_at_date", "section_count", "schedule_clause_count")
+        return self._hybrid(index.ACTS, query, limit).select("rank", "score", *_act_fields())
 
     def search_text(self, query: str, limit: int = 5, act: str | None = None, provision_type: str | None = None) -> str:
         return render.text(self.search_provisions(query, limit, act, provision_type))
@@ -87,7 +92,7 @@ class Engine:
 
     def act_metadata(self, name: str) -> dict:
         rows = self._payload(index.ACTS).where(F.col("act_name") == name)
-        row = rows.select("act_name", "frbr_uri", "year", "as_at_date", "section_count", "schedule_clause_count").limit(1).first()
+        row = rows.select(*_act_fields()).limit(1).first()
         if row is None:
             raise NotFound(name)
         return row.asDict()

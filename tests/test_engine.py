@@ -1,12 +1,15 @@
 """Corpus to answers: parsing, ingest, search, look-ups, shards, cache, rendering, command line, streaming."""
 
+import io
 import json
+import threading
+from urllib.request import urlopen
 
 import pytest
 from pyspark.sql import functions as F
 
 from clauseworks.operators import dense, embedding, fusion, lexical
-from clauseworks.plans import cli, index, render
+from clauseworks.plans import cli, index, render, service
 from clauseworks.plans.engine import Engine, NotFound
 from clauseworks.sources import corpus, markup
 from clauseworks.streaming.ingest import embed_stream
@@ -119,6 +122,78 @@ def test_lookups(engine):
     assert len(engine.act_provisions("Privacy Act 1988", cap=1).collect()) == 1
 
 
+def test_requests_are_answered(engine):
+    ask = lambda target: service.respond(service.Service(engine), target)
+    status, kind, body = ask("/search?q=personal+information&limit=2&act=Privacy%20Act%201988&provision_type=section")
+    hits = json.loads(body)["results"]
+    assert (status, kind) == (200, service.JSON) and 0 < len(hits) <= 2
+    assert set(hits[0]) == {"act_name", "frbr_uri", "eid", "provision_num", "provision_type", "heading", "text", "refs", "score"}
+    assert {h["provision_type"] for h in hits} == {"section"}
+    assert [ask(t)[0] for t in ("/search", "/search?q=a&limit=x", "/search?q=a&limit=0")] == [422] * 3
+    assert [ask(t)[0] for t in ("/", "/legislation", "/legislation/No%20such%20Act", "/legislation/a/b")] == [404] * 4
+    assert json.loads(ask("/legislation/No%20such%20Act/sections")[2]) == {"chunks": []}
+    status, kind, body = ask("/legislation/Privacy%20Act%201988/text")
+    assert status == 200 and kind.startswith("text/plain") and body == engine.act_text("Privacy Act 1988")
+
+
+def test_a_request_over_a_socket(engine):
+    with service.server(service.Service(engine), port=0) as it:
+        threading.Thread(target=it.serve_forever, daemon=True).start()
+        with urlopen(f"http://127.0.0.1:{it.server_port}/legislation/Bare%20Act%202000", timeout=60) as answer:
+            got = json.load(answer)
+        it.shutdown()
+    # a document of record without a URI has no date and no year, and its counts all the same
+    assert got["as_at_date"] == "" and got["section_count"] == 1 and got["schedule_clause_count"] == 0
+
+
+def test_tool_calls(engine):
+    calls = [
+        {"id": 1, "method": "initialize", "params": {}},
+        {"method": "notifications/initialized"},
+        {"id": 2, "method": "tools/list"},
+        {"id": 3, "method": "tools/call", "params": {"name": "get_act_sections", "arguments": {"act_name": "Spam Act 2003"}}},
+        {"id": 4, "method": "tools/call", "params": {"name": "get_act_metadata", "arguments": {"act_name": "No such Act"}}},
+        {"id": 5, "method": "tools/call", "params": {"name": "search_legislation", "arguments": {}}},
+        {"id": 6, "method": "tools/call", "params": {"name": "none"}},
+        {"id": 7, "method": "none"},
+    ]
+    out = io.StringIO()
+    service.speak(service.Service(engine), io.StringIO("\n".join(["{", "[]", *map(json.dumps, calls)])), out)
+    answers = [json.loads(a) for a in out.getvalue().splitlines()]
+    assert [a["id"] for a in answers] == [None, None, 1, 2, 3, 4, 5, 6, 7]
+    assert {t["name"] for t in answers[3]["result"]["tools"]} == set(service.TOOLS)
+    assert json.loads(answers[4]["result"]["content"][0]["text"])["chunks"][0]["eid"] == "sec-1"
+    assert answers[5]["result"]["isError"]
+    assert [a["error"]["code"] for a in (*answers[:2], *answers[6:])] == [-32700, -32600, -32602, -32602, -32601]
+
+
+def test_tools_need_a_store(monkeypatch):
+    monkeypatch.delenv(service.STORAGE, raising=False)
+    with pytest.raises(SystemExit, match=service.STORAGE):
+        cli.main(["mcp"])
+
+
+class Kinds:
+    """Passages and queries lie apart but for their first component."""
+
+    name, dim = "kinds", 3
+
+    def embed(self, texts, kind):
+        return [[1.0 + len(t) % 7, 1.0, 0.0] if kind == "passage" else [1.0, 0.0, 1.0] for t in texts]
+
+
+def test_passages_and_queries_are_embedded_as_such(spark, monkeypatch):
+    stored = embedding.embed_texts(spark.createDataFrame([("i", "abc")], "id string, text string"), Kinds())
+    assert stored.first()["vector"] == [4.0, 1.0, 0.0]
+    asked = []
+    monkeypatch.setattr(dense, "cosine_scores", lambda vectors, q: asked.append(q) or vectors.selectExpr("id", "1d as score"))
+    monkeypatch.setattr(lexical, "query_terms", lambda spark, q: [])
+    payload = spark.createDataFrame([("i", "a")], "id string, act_name string")
+    monkeypatch.setattr(index, "read", lambda spark, folder: index.Collection(payload, stored, None))
+    assert Engine(spark, "none", Kinds())._hybrid("x", "abc", 1).count() == 1
+    assert asked == [[1.0, 0.0, 1.0]]
+
+
 def test_again_is_the_same(engine, corpus_dir):
     ids = lambda: sorted(r["id"] for r in index.read(engine.spark, f"{engine.storage}/legislation_section").payload.select("id").collect())
     before = ids()
@@ -230,6 +305,8 @@ def test_render_rounds_as_python(spark):
 def test_command_line(spark, corpus_dir, tmp_path, capsys):
     assert cli.main(["ingest", "--corpus-dir", corpus_dir, "--storage-dir", str(tmp_path / "s"), "--shard", "1/1"], spark) == 0
     assert json.loads(capsys.readouterr().out)["acts"] == 1
+    assert cli.main(["ingest-shard", "--corpus-dir", corpus_dir, "--storage-dir", str(tmp_path / "e"), "--shard-index", "9", "--shard-size", "1"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["provisions"] == 0  # a shard beyond the last is empty
     assert cli.main(["search", "commercial messages", "--storage-dir", str(tmp_path / "s"), "--limit", "1"], spark) == 0
     assert capsys.readouterr().out.startswith("[Spam Act 2003 2003 s 1")
     assert cli.main(["merge", "--storage-dirs", str(tmp_path / "s"), "--output-storage-dir", str(tmp_path / "m")], spark) == 0
