@@ -23,10 +23,12 @@ def _act_fields() -> list[Column]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, storage: str, embedder: Embedder | None = None, rrf_constant: int = 60):
+    """``quantised``: what is written has eight-bit codes of its vectors, too, by which searches then choose first."""
+
+    def __init__(self, spark: SparkSession, storage: str, embedder: Embedder | None = None, rrf_constant: int = 60, quantised: bool = False):
         self.spark, self.storage = spark, storage.rstrip("/")
         self.embedder = embedder or HashingEmbedder()
-        self.rrf_constant = rrf_constant
+        self.rrf_constant, self.quantised = rrf_constant, quantised
 
     def _payload(self, name: str) -> DataFrame:
         return index.read(self.spark, f"{self.storage}/{name}").payload
@@ -41,11 +43,11 @@ class Engine:
             return {"provisions": 0, "acts": 0, "missing": []}
         cache = EmbedCache(self.spark, cache_path, self.embedder.name) if cache_path else None
         rows = corpus.read_provisions(self.spark, corpus_dir, listed, chosen)
-        index.upsert(index.provision_documents(rows), f"{self.storage}/{index.PROVISIONS}", self.embedder, cache)
+        index.upsert(index.provision_documents(rows), f"{self.storage}/{index.PROVISIONS}", self.embedder, cache, self.quantised)
         names = chosen.select(F.col("name").alias("act_name")).distinct()
         stored = self._payload(index.PROVISIONS).join(names, "act_name", "left_semi")
         acts = corpus.roll_up(stored)
-        index.upsert(index.act_documents(acts), f"{self.storage}/{index.ACTS}", self.embedder, cache)
+        index.upsert(index.act_documents(acts), f"{self.storage}/{index.ACTS}", self.embedder, cache, self.quantised)
         gap = corpus.missing(chosen.select("name"), stored.select(F.col("act_name").alias("name")))
         kinds = {r["provision_type"]: r["n"] for r in corpus.kind_counts(stored).collect()}
         out = {"provisions": sum(kinds.values()), "kinds": kinds, "acts": acts.count(), "missing": [r["name"] for r in gap.limit(10).collect()], "missing_count": gap.count()}
@@ -56,7 +58,7 @@ class Engine:
         """Merges shards' storages, and their caches, into this one."""
         if caches and len(caches) != len(storages):
             raise ValueError("give a cache for each storage")
-        read = {c: index.merge(self.spark, [f"{s.rstrip('/')}/{c}" for s in storages], f"{self.storage}/{c}") for c in (index.PROVISIONS, index.ACTS)}
+        read = {c: index.merge(self.spark, [f"{s.rstrip('/')}/{c}" for s in storages], f"{self.storage}/{c}", self.quantised) for c in (index.PROVISIONS, index.ACTS)}
         if caches and cache_out:
             read["cache"] = merge_caches(self.spark, caches, cache_out)
         return read
@@ -66,10 +68,11 @@ class Engine:
     def _hybrid(self, name: str, query: str, limit: int, keep=None) -> DataFrame:
         c = index.read(self.spark, f"{self.storage}/{name}")
         among = None if keep is None else c.payload.where(keep).select("id")
-        vectors = c.vectors if among is None else c.vectors.join(among, "id", "left_semi")
+        vectors, codes = (t if among is None or t is None else t.join(among, "id", "left_semi") for t in (c.vectors, c.codes))
         [q] = self.embedder.embed([query], "query")
         terms = lexical.query_terms(self.spark, query)
-        branches = [lexical.top(dense.cosine_scores(vectors, q), 2 * limit, None)]
+        scores = dense.cosine_scores(vectors, q) if codes is None else dense.rescored(vectors, codes, q, 2 * limit)
+        branches = [lexical.top(scores, 2 * limit, None)]
         if terms:
             branches.append(lexical.top(lexical.search_index(c.lexical, terms, among=among), 2 * limit, None))
         best = fusion.fuse(branches, limit, self.rrf_constant, None)

@@ -13,12 +13,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseworks.operators import embedding, lexical
+from clauseworks.operators import dense, embedding, lexical
 from clauseworks.schemas import ORDER
 
 PROVISIONS, ACTS = "legislation_section", "legislation"
 POINTER = "current-"
 TABLES = ("payload", "vectors", "postings", "doc_stats", "term_stats", "coll_stats")
+CODES = "codes"
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,7 @@ class Collection:
     payload: DataFrame
     vectors: DataFrame
     lexical: lexical.LexicalIndex
+    codes: DataFrame | None = None
 
 
 def provision_documents(provisions: DataFrame) -> DataFrame:
@@ -47,8 +49,11 @@ def _vectors(docs: DataFrame, embedder: embedding.Embedder, cache: embedding.Emb
     return embedding.lookup(texts, cache.read()).select("id", "vector")
 
 
-def _write(payload: DataFrame, vectors: DataFrame, folder: str, vectors_of=None) -> None:
-    """Writes a new version of the collection and then points to it: who reads meanwhile reads the version before."""
+def _write(payload: DataFrame, vectors: DataFrame, folder: str, vectors_of=None, quantised: bool = False) -> None:
+    """Writes a new version of the collection and then points to it: who reads meanwhile reads the version before.
+
+    ``quantised``: with eight-bit codes of the vectors, scaled by the quantile of all.
+    """
     spark = payload.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     at = f"{folder}/{version}"
@@ -57,6 +62,8 @@ def _write(payload: DataFrame, vectors: DataFrame, folder: str, vectors_of=None)
     payload.repartitionByRange(F.col("act_name")).sortWithinPartitions(*sort).write.parquet(f"{at}/payload")
     payload = spark.read.parquet(f"{at}/payload")
     (vectors if vectors_of is None else vectors_of(payload)).write.parquet(f"{at}/vectors")
+    if quantised:
+        dense.quantise(spark.read.parquet(f"{at}/vectors")).select("id", "code").write.parquet(f"{at}/{CODES}")
     index = lexical.build(payload, "id", "document")
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
     index.doc_stats.write.parquet(f"{at}/doc_stats")
@@ -91,16 +98,17 @@ def current(spark: SparkSession, folder: str) -> str | None:
     return max(found)[1].removeprefix(POINTER) if found else None
 
 
-def upsert(docs: DataFrame, folder: str, embedder: embedding.Embedder, cache: embedding.EmbedCache | None = None) -> None:
+def upsert(docs: DataFrame, folder: str, embedder: embedding.Embedder, cache: embedding.EmbedCache | None = None, quantised: bool = False) -> None:
     """Adds ``docs`` (id, document and payload columns) to the collection, which is made if there is none.
 
-    Rows of an id that is there already take its place; all others stay as they are, and are not embedded again.
+    Rows of an id that is there already take its place; all others stay as they are, and are not embedded again. The
+    whole collection is written anew: many shards go into collections of their own, which are merged once.
     """
     spark = docs.sparkSession
     old = read(spark, folder) if current(spark, folder) else None
     docs = docs.dropDuplicates(["id"])
     if old is None:
-        _write(docs, docs, folder, lambda stored: _vectors(stored, embedder, cache))
+        _write(docs, docs, folder, lambda stored: _vectors(stored, embedder, cache), quantised)
         return
     ids = docs.select("id")
     payload = docs.unionByName(old.payload.join(ids, "id", "left_anti"), allowMissingColumns=True)
@@ -109,7 +117,7 @@ def upsert(docs: DataFrame, folder: str, embedder: embedding.Embedder, cache: em
         new = stored.join(ids, "id", "left_semi")
         return _vectors(new, embedder, cache).select("id", "vector").unionByName(old.vectors.join(ids, "id", "left_anti").select("id", "vector"))
 
-    _write(payload, docs, folder, vectors)
+    _write(payload, docs, folder, vectors, quantised)
 
 
 def read(spark: SparkSession, folder: str) -> Collection:
@@ -117,13 +125,15 @@ def read(spark: SparkSession, folder: str) -> Collection:
     if version is None:
         raise FileNotFoundError(f"no collection in {folder}")
     t = {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in TABLES}
-    return Collection(t["payload"], t["vectors"], lexical.LexicalIndex(*[t[n] for n in TABLES[2:]]))
+    fs, codes = _fs(spark, f"{folder}/{version}/{CODES}")
+    found = spark.read.parquet(f"{folder}/{version}/{CODES}") if fs.exists(codes) else None
+    return Collection(t["payload"], t["vectors"], lexical.LexicalIndex(*[t[n] for n in TABLES[2:]]), found)
 
 
-def merge(spark: SparkSession, folders: list[str], out: str) -> int:
+def merge(spark: SparkSession, folders: list[str], out: str, quantised: bool = False) -> int:
     """Merges collections without embedding anything again; of equal ids the last folder's wins. Returns rows read."""
     parts = [read(spark, f) for f in folders]
     payload, vectors = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [getattr(c, name).withColumn("_seq", F.lit(i)) for i, c in enumerate(parts)]) for name in ("payload", "vectors"))
     rows = payload.count()
-    _write(embedding.last_wins(payload, "id", "_seq").drop("_seq"), embedding.last_wins(vectors, "id", "_seq").drop("_seq"), out)
+    _write(embedding.last_wins(payload, "id", "_seq").drop("_seq"), embedding.last_wins(vectors, "id", "_seq").drop("_seq"), out, quantised=quantised)
     return rows

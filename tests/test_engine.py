@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import threading
 from urllib.request import urlopen
 
@@ -286,6 +287,28 @@ def test_dense_edges(spark):
         dense.cosine_scores(v, [1.0]).collect()
 
 
+def test_codes_choose_and_vectors_score(spark):
+    rows = [(f"i{i:03d}", [math.cos(i / 40), math.sin(i / 40), 0.001 * (i % 3)]) for i in range(200)] + [("null", None), ("tiny", [1e-9, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id string, vector array<double>").persist()
+    codes = dense.quantise(vectors.where("vector is not null")).select("id", "code").persist()
+    for q in ([1.0, 0.2, 0.0], [-1.0, 0.5, 0.1]):
+        want = lexical.top(dense.cosine_scores(vectors.where("id <> 'tiny'"), q), 10, None).orderBy(F.desc("score"), "id").collect()
+        assert lexical.top(dense.rescored(vectors, codes, q, 10), 10, None).orderBy(F.desc("score"), "id").collect() == want
+    assert {r["id"] for r in dense.rescored(vectors, codes.where("id in ('tiny', 'i199')"), [1.0, 0.0, 0.0], 1).collect()} == {"tiny", "i199"}
+    assert dense.rescored(vectors, codes, [0.0, 0.0, 0.0], 3).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        dense.rescored(vectors, codes, [1.0], 3).collect()
+
+
+def test_a_quantised_store_answers_as_the_exact_one(spark, engine, tmp_path):
+    coded = Engine(spark, str(tmp_path / "q"), quantised=True)
+    coded.merge([engine.storage])
+    assert index.read(spark, f"{coded.storage}/{index.PROVISIONS}").codes.count() == 7
+    assert index.read(spark, f"{engine.storage}/{index.PROVISIONS}").codes is None
+    ask = lambda e: [r.asDict() for r in e.search_provisions("personal information", 3, act="Privacy Act 1988").orderBy("rank").collect()]
+    assert ask(coded) == ask(engine)
+
+
 def test_index_and_texts_score_alike(spark):
     rows = spark.createDataFrame([(1, "the cat sat"), (2, "the dog"), (3, None), (4, "cat cat cat")], "id long, text string")
     index = lexical.build(rows)
