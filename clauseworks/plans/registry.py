@@ -135,11 +135,14 @@ def hybrid_rrf_filtered(spark, d):
     return _hybrid(spark, d, F.col("lang") == "en", F.col("label") < 5)
 
 
+def _codes_sql(scale: str) -> str:
+    return f"""x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT {scale} AS m FROM x),
+c AS (SELECT vec_id, list(least(greatest(CASE WHEN x >= 0 THEN floor(x * (127.0 / m) + 0.5) ELSE -floor(-x * (127.0 / m) + 0.5) END, -127), 127) ORDER BY i) AS code FROM x, s GROUP BY vec_id)"""
+
+
 def _int8_sql(scale: str) -> str:
-    return f"""WITH e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-s AS (SELECT {scale} AS m FROM e),
-c AS (SELECT vec_id, list(least(greatest(CASE WHEN x >= 0 THEN floor(x * (127.0 / m) + 0.5) ELSE -floor(-x * (127.0 / m) + 0.5) END, -127), 127) ORDER BY i) AS code FROM e, s GROUP BY vec_id)
-SELECT vec_id, CAST(list_sum(code) AS BIGINT) AS code_sum, CAST(code[1] AS INT) AS first_code FROM c"""
+    return f"WITH {_codes_sql(scale)} SELECT vec_id, CAST(list_sum(code) AS BIGINT) AS code_sum, CAST(code[1] AS INT) AS first_code FROM c"
 
 
 def _int8(spark, d, quantile: float) -> DataFrame:
@@ -159,6 +162,18 @@ def int8_quantise_clipped(spark, d):
     return _int8(spark, d, 0.99)
 
 
+@query(
+    f"""WITH {_COS}, {_codes_sql("quantile_disc(abs(x), 0.99)")},
+n AS (SELECT vec_id FROM c, qv ORDER BY list_dot_product(code, q) / greatest(sqrt(list_dot_product(code, code)), 1) DESC, vec_id LIMIT 40)
+SELECT vec_id, score FROM dn JOIN n USING (vec_id) ORDER BY score DESC, vec_id LIMIT 10"""
+)
+def dense_coded_topk(spark, d):
+    """Chosen by eight-bit codes, scored by the vectors."""
+    v = _vectors(spark, d).withColumn("vector", F.transform("vector", lambda x: x.cast("double")))
+    codes = dense.quantise(v, quantile=0.99).select("id", "code")
+    return lexical.top(dense.rescored(v, codes, _query_vector(v), LIMIT), LIMIT).withColumnRenamed("id", "vec_id")
+
+
 # documents of record: search by name and year
 
 _GROUPS = "g AS (SELECT DISTINCT n_name || ' — ' || year(o_orderdate) AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
