@@ -210,6 +210,15 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), urlsplit(uri).path) if uri.startswith("file:") else pafs.FileSystem.from_uri(uri)
 
 
+def publish(fs: pafs.FileSystem, draft: str, name: str) -> None:
+    """Gives a draft its name. Not every file system renames over a file: one that an earlier attempt at the same task
+    left there is whole, has the same bytes, and stays."""
+    if fs.get_file_info(name).type == pafs.FileType.File:
+        fs.delete_file(draft)
+    else:
+        fs.move(draft, name)
+
+
 def _new_folder(spark: SparkSession) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "tokens"))
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -235,7 +244,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None =
             w.close()
             f.close()
             name = f"{part:08d}-{len(made):06d}.tok"
-            fs.move(draft, f"{root}/{name}")  # a second attempt at this task writes the same bytes
+            publish(fs, draft, f"{root}/{name}")
             made.append((f"{folder}/{name}", part, len(made), w.n_docs, w.n_ids))
 
         for batch in batches:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,14 @@ def test_html_rows(spark):
 # 3 token files
 
 
+def test_a_second_attempt_leaves_the_first_ones_file(tmp_path):
+    fs = pafs.LocalFileSystem()
+    for text in ("first", "second"):
+        (tmp_path / ".draft").write_text(text)
+        token_files.publish(fs, f"{tmp_path}/.draft", f"{tmp_path}/0.tok")
+    assert [p.name for p in tmp_path.iterdir()] == ["0.tok"] and (tmp_path / "0.tok").read_text() == "first"
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31, 32])
 def test_pack_and_unpack(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
