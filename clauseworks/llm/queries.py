@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import bpe, html_text, language, licenses, mixing, near_duplicates, nearest, quality, token_files, url_filter
+from clauseworks.llm import bpe, html_text, language, licenses, mixing, near_duplicates, nearest, quality, resampling, sessions, token_files, url_filter
 from clauseworks.llm.common import table, vocabulary_file
 
 
@@ -50,6 +50,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.sessions(table(spark, sf_dir, "clicks", "click_id", "ts", "arrived_at", "client_id", "kind", "value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,8 +71,10 @@ QUERIES = {
         op8_url_filter,
         op9_fair_mix,
         op10_license_scan,
+        op11_resampling,
+        op12_sessions,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op6_host_quality": quality.SQL, "op8_url_filter": url_filter.SQL, "op9_fair_mix": mixing.SQL}
+ORACLES = {"op6_host_quality": quality.SQL, "op8_url_filter": url_filter.SQL, "op9_fair_mix": mixing.SQL, "op11_resampling": resampling.SQL, "op12_sessions": sessions.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
