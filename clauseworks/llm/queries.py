@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import bpe, html_text, language, licenses, mixing, near_duplicates, nearest, quality, resampling, sessions, token_files, url_filter
+from clauseworks.llm import bpe, html_text, language, licenses, mixing, near_duplicates, nearest, quality, repeats, resampling, sessions, token_files, url_filter
 from clauseworks.llm.common import table, vocabulary_file
 
 
@@ -58,6 +58,10 @@ def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sessions(table(spark, sf_dir, "clicks", "click_id", "ts", "arrived_at", "client_id", "kind", "value"))
 
 
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES = {
         op10_license_scan,
         op11_resampling,
         op12_sessions,
+        op13_suffix_repeats,
     )
 } | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op6_host_quality": quality.SQL, "op8_url_filter": url_filter.SQL, "op9_fair_mix": mixing.SQL, "op11_resampling": resampling.SQL, "op12_sessions": sessions.SQL}
