@@ -38,12 +38,16 @@ def words_of(text: Column) -> Column:
 
 def bucket_array(words: Column, longest: int = 1, buckets: int = BUCKETS) -> Column:
     """The buckets of all runs of 1 to ``longest`` consecutive words, repeats included."""
-    bucket = lambda s: F.pmod(F.crc32(s), F.lit(buckets)).cast("int")
-    runs = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))))
-        runs.append(F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " "))))
-    return runs[0] if longest == 1 else F.concat(*runs)
+
+    def bucket(s: Column) -> Column:
+        return F.pmod(F.crc32(s), F.lit(buckets)).cast("int")
+
+    def of_length(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: bucket(F.array_join(F.slice(words, i, n), " ")))
+
+    one = F.transform(words, bucket)
+    return one if longest == 1 else F.concat(one, *[of_length(n) for n in range(2, longest + 1)])
 
 
 def bucket_totals(features: DataFrame) -> DataFrame:
