@@ -9,7 +9,8 @@ several starts) turn them to binary codes, which are split into substrings of ab
 2. A query asks in each substring for all values within r bits of its own, and goes only to the cells that have such
    values. By the pigeonhole principle this meets every code within a Hamming radius of substrings * (r + 1) - 1 of
    the query's, and of the others those that are as near in some substring. The sample that the rotations are learned
-   from gives r: the least at which its vectors meet 95 of 100 of what is nearest to them there, three at most.
+   from gives r: the least at which its vectors meet 95 of 100 of what is nearest to them there. Where not even
+   ``Sizes.radius`` does (three), no index can help: the queries are compared with all vectors, and a warning says so.
 3. What a query has met is joined to a set by blocks of vectors, and ranked by exact inner products.
 4. A query that met fewer than it needs is compared with all vectors, in blocks.
 
@@ -27,6 +28,7 @@ are fewer candidates gets all; an empty table gives an empty result; ties go to
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import combinations
@@ -70,7 +72,7 @@ def ball(bits: int, radius: int) -> list[np.ndarray]:
 class Codes:
     """``rotation``: (length + 1, bits of the whole code); ``norm``: the largest norm of a vector; bits of a
     substring, and how many of them, the first, name its cell; ``parts`` of the queries that meet a block; ``radius``:
-    bits by which a substring of what is met may differ."""
+    bits by which a substring of what is met may differ; ``exact``: no radius up to the greatest meets enough."""
 
     rotation: np.ndarray
     norm: float
@@ -78,6 +80,7 @@ class Codes:
     cell_bits: int
     parts: int
     radius: int = 0
+    exact: bool = False
 
     def _values(self, unit: np.ndarray) -> np.ndarray:
         """(vectors, substrings) values."""
@@ -114,11 +117,12 @@ def learn(sample: np.ndarray, norm: float, n: int, queries: int, k: int, sizes:
         found.append(axes @ r)
     cell_bits = min(bits, max(0, math.ceil(math.log2(max(1, n) / sizes.postings))))
     codes = Codes(np.ascontiguousarray(np.concatenate(found, axis=1)[:, :whole]), norm, bits, cell_bits, max(1, -(-queries // sizes.block_queries)))
-    return replace(codes, radius=_radius(codes, sample, max(1, round(k * len(sample) / n)), sizes))
+    radius = _radius(codes, sample, max(1, round(k * len(sample) / n)), sizes)
+    return replace(codes, exact=True) if radius is None else replace(codes, radius=radius)
 
 
-def _radius(codes: Codes, sample: np.ndarray, k: int, sizes: Sizes, tried: int = 512) -> int:
-    """The least radius at which vectors of the sample meet enough of their ``k`` nearest in it.
+def _radius(codes: Codes, sample: np.ndarray, k: int, sizes: Sizes, tried: int = 512) -> int | None:
+    """The least radius at which vectors of the sample meet enough of their ``k`` nearest in it; none if ``sizes.radius`` is too small.
 
     So many in the sample are as near as those that a query wants are in the whole table.
     """
@@ -130,7 +134,7 @@ def _radius(codes: Codes, sample: np.ndarray, k: int, sizes: Sizes, tried: int =
     best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     asked, held = codes.of_queries(sample[:tried]), codes.of_candidates(sample)
     apart = np.array([np.bitwise_count(held[b] ^ q).min(axis=1) for b, q in zip(best, asked, strict=True)])
-    return next((r for r in range(sizes.radius) if (apart <= r).mean() >= sizes.recall), sizes.radius)
+    return next((r for r in range(sizes.radius + 1) if (apart <= r).mean() >= sizes.recall), None)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -338,7 +342,11 @@ def _prepared(vectors: DataFrame, k: int, sizes: Sizes):
         sample = classes.where(F.col("dim") == d["dim"]).select("id", "v").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
         codes[d["dim"]] = learn(np.array([r["v"] for r in sample], dtype=np.float64), d["norm"], d["n"], d["q"], k, sizes)
     book = spark.sparkContext.broadcast(codes)  # (length + 1) by the bits of a code doubles a length
-    met = _met(_postings(classes, book, sizes, False), _postings(asking, book, sizes, True), book, sizes)
+    spread = sorted(d for d, c in codes.items() if c.exact)
+    if spread:
+        warnings.warn(f"vectors of {spread} components: no radius up to {sizes.radius} meets {sizes.recall:.0%} of the nearest of a sample, so queries are compared with all vectors", stacklevel=3)
+    indexed = ~F.col("dim").isin(spread) if spread else F.lit(True)
+    met = _met(_postings(classes.where(indexed), book, sizes, False), _postings(asking.where(indexed), book, sizes, True), book, sizes)
     return classes, asking, dims, codes, met, book
 
 
