@@ -1,14 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. A line weighs its characters outside links; a line of
-an ``article`` or ``main`` weighs ``IN_MAIN`` more; what is no text at all (scripts, forms) and what the markup itself
-names as menu, header, footer, sidebar, notice, advert or reader comments weighs nothing, as such a line may read like
-any other. The weights are summed over a sliding window of lines: where the sum rises to ``SURGE`` text begins, where
-a whole window is empty it ends. Text between such a surge and dive is kept, however small beside other stretches;
-where no window rises so far, all lines that weigh something. Where the lines of articles hold at least half of the
-weight found, stretches end where the article does. An article in a sidebar, menu, footer or comments section that is
-closed later on is none of the page's. A class or id names what its last word says (``post-comments``, ``page_footer``,
-and not ``promo-code`` or ``no-sidebar``).
+Markup is stripped to lines, one for each block of the page. A line weighs its characters outside links. The weights
+are summed over a sliding window of lines: where the sum rises to ``SURGE`` text begins, where a whole window is empty
+it ends. Text between such a surge and dive is kept, however small beside other stretches; where no window rises so
+far, all lines that weigh something.
+
+What the markup says only changes weights. A line of an ``article`` or ``main`` weighs ``IN_MAIN`` more; the more of
+the page's weight articles hold, the less weighs a line outside them, up to ``OUTSIDE``. What is no text at all
+(scripts, forms), what elements or names declare to be a menu, header, footer, sidebar, notice, advert or reader
+comments, and what follows a heading such as "3 comments" weighs nothing, as such a line may read like any other. A
+class or id declares that where its last word says it and the others are no more than places or parts
+(``post-comments``, ``page_footer``); where others say more (``share-price-notice``), the line weighs ``SURGE`` less. A
+line that is one link, outside lists, stays where text goes on around it. An article in a sidebar, menu, footer or
+comments section that is closed later on is none of the page's.
 
 Time is linear in the page's length, whatever its markup.
 
@@ -31,26 +35,33 @@ from clauseworks.llm.chunks import small_batches
 WINDOW = 3
 SURGE = 80
 IN_MAIN = 70
+#: What a line outside articles weighs less, where these hold all the weight; in part, where they hold a part.
+OUTSIDE = 160
 
 # Elements by what they do, and the words by which a class or id names what is not the main text.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select"
-NEVER = frozenset("nav footer aside form button dialog menu fieldset label".split())
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select"
+NEVER = frozenset("nav footer aside form button dialog menu".split())
 NEVER_OUTSIDE = frozenset(["header"])
 MAIN = frozenset("article main".split())
 BESIDE = frozenset("aside nav footer".split())
 BESIDE_ROLES = frozenset("complementary navigation contentinfo".split())
 BESIDE_NAMES = frozenset("comment comments reply replies respond disqus related recommended".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SHORT = frozenset("p li dt dd tr td th option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar
     aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent notice
     notices gdpr alert popup modal overlay newsletter subscribe signup login comment comments respond reply replies
     disqus share sharing social related recommended pagination pager widget toolbar skip copyright""".split()
 )
+PLACES = frozenset(
+    """article area bar block bottom box container content desktop global group inner item items left link links list main mobile
+    outer page post posts primary right row secondary section site small sticky top user wrap wrapper""".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 _REST = r"""(?:\s(?:"[^"]*"|'[^']*'|[^'"<>])*)?"""
@@ -60,6 +71,9 @@ _TOKEN = re.compile(
 )
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^<>]*>?", re.I) for tag in RAW.split("|")}
 _NAME = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_COMMENTS = re.compile(
+    r"(?:\d+\s*|leave an?\s+|reader\s+|user\s+)?(?:comments?|replies|reply|responses|kommentare?|commentaires?|comentarios?)\s*(?:\(?\d+\)?)?\s*:?", re.I
+)
 _HIDDEN = re.compile(r"\shidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
@@ -95,7 +109,16 @@ def _unwanted(tag: str, rest: str, in_main: bool, by_name: bool) -> bool:
         return tag == "article" and any(parts[-1] in ("comment", "comments") for _, parts in _names(rest))
     if _HIDDEN.search(rest):
         return True
-    return any("-".join(parts) in ROLES if kind == "role" else parts[-1] in NAMES for kind, parts in _names(rest))
+    return any("-".join(parts) in ROLES if kind == "role" else parts[-1] in NAMES and _declares(parts) for kind, parts in _names(rest))
+
+
+def _declares(parts: list[str]) -> bool:
+    return all(p in NAMES or p in PLACES or p.isdigit() for p in parts)
+
+
+def _hinted(tag: str, rest: str) -> bool:
+    """Whether a name ends like that of an unwanted part, and says more."""
+    return bool(rest) and tag not in MAIN and any(kind != "role" and parts[-1] in NAMES and not _declares(parts) for kind, parts in _names(rest))
 
 
 def _beside(tag: str, rest: str, by_name: bool) -> bool:
@@ -121,10 +144,10 @@ def _closed(html: str) -> set[int]:
 class _Open:
     """An open element: what it adds to the counts while it is open."""
 
-    __slots__ = ("at", "beside", "blocks", "ends", "good", "tag", "bad", "within", "live")
+    __slots__ = ("at", "bad", "beside", "blocks", "ends", "good", "hinted", "live", "tag", "within")
 
-    def __init__(self, tag: str, bad: bool, good: bool, beside: bool, at: int, blocks: int):
-        self.tag, self.bad, self.good, self.beside, self.at = tag, bad, good, beside, at
+    def __init__(self, tag: str, bad: bool, good: bool, beside: bool, hinted: bool, at: int, blocks: int):
+        self.tag, self.bad, self.good, self.beside, self.hinted, self.at = tag, bad, good, beside, hinted, at
         self.blocks = blocks  # blocks among the elements around it
         self.live = True  # an inline element ends before the blocks in it do: then it stays on the stack, and counts no more
         self.ends = self.within = False
@@ -136,7 +159,7 @@ class _Stack:
     def __init__(self, html: str):
         self._html, self._all = html, []
         self._by_tag: dict[str, list[_Open]] = {}
-        self._blocks = self.unwanted = self.main = self.links = 0
+        self.blocks = self.unwanted = self.main = self.links = self.hints = self.items = 0
         self._closed: set[int] | None = None
         self._judged = 0  # so many from the bottom know whether they end, and whether they are beside the main text
 
@@ -144,17 +167,19 @@ class _Stack:
         self.unwanted += by * e.bad
         self.main += by * e.good
         self.links += by * (e.tag == "a")
+        self.hints += by * e.hinted
+        self.items += by * (e.tag == "li")
 
-    def push(self, tag: str, bad: bool, good: bool, beside: bool, at: int) -> None:
-        e = _Open(tag, bad, good, beside, at, self._blocks)
+    def push(self, tag: str, bad: bool, good: bool, beside: bool, hinted: bool, at: int) -> None:
+        e = _Open(tag, bad, good, beside, hinted, at, self.blocks)
         self._all.append(e)
         self._by_tag.setdefault(tag, []).append(e)
-        self._blocks += tag not in INLINE
+        self.blocks += tag not in INLINE
         self._count(e, 1)
 
     def pop(self) -> None:
         e = self._all.pop()
-        self._blocks -= e.tag not in INLINE
+        self.blocks -= e.tag not in INLINE
         self._judged = min(self._judged, len(self._all))
         if e.live:
             self._by_tag[e.tag].pop()
@@ -165,7 +190,7 @@ class _Stack:
         if not self._by_tag.get(tag):
             return
         e = self._by_tag[tag][-1]
-        if tag in INLINE and self._blocks > e.blocks:
+        if tag in INLINE and self.blocks > e.blocks:
             e.live = False
             self._by_tag[tag].pop()
             self._count(e, -1)
@@ -193,21 +218,29 @@ class _Stack:
             self.pop()
 
 
-def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether in article or main) of each block of the page, in order; unwanted ones weigh nothing.
+def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool, bool]]:
+    """(text, weight, whether in article or main, whether it may stay without a weight) of each block, in order.
 
-    ``by_name``: whether classes and ids count, and not only elements.
+    Unwanted lines weigh nothing and may not stay. ``by_name``: whether classes and ids count, and not only elements.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    linked = 0
+    linked, said = 0, 0
     stack = _Stack(html)
+    comments: tuple[int, int] | None = None  # the level of the heading that begins them, and the blocks around it
 
-    def close_line() -> None:
-        nonlocal linked
+    def close_line(heading: int = 0) -> None:
+        nonlocal linked, said, comments
         text = " ".join(_html.unescape("".join(parts)).split())
-        if text and not (stack.main and stack.unwanted):  # what an article holds that is none of it does not part it
-            lines.append((text, 0 if stack.unwanted else max(0, len(text) - linked), stack.main > 0 and not stack.unwanted))
+        if comments and (stack.blocks < comments[1] or 0 < heading <= comments[0]):
+            comments = None
+        if heading > 1 and said >= SURGE and _COMMENTS.fullmatch(text):
+            comments = (heading, stack.blocks - 1)
+        unwanted = stack.unwanted or comments is not None
+        if text and not (stack.main and unwanted):  # what an article holds that is none of it does not part it
+            weight = 0 if unwanted else max(0, len(text) - linked - SURGE * (stack.hints > 0))
+            lines.append((text, weight, stack.main > 0 and not unwanted, not (unwanted or stack.hints or stack.items)))
+            said += weight
         parts.clear()
         linked = 0
 
@@ -218,7 +251,7 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
                 linked += len(text.strip())
             continue
         if tag not in INLINE or tag == "br":
-            close_line()
+            close_line(int(tag[1]) if ends and tag in HEADINGS else 0)
         if ends:
             stack.close(tag)
             continue
@@ -230,16 +263,22 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
             stack.begin_article()
         if tag not in INLINE:
             stack.end_paragraph(tag)
-        stack.push(tag, bad, good and not bad, bad and _beside(tag, rest, by_name), at)
+        stack.push(tag, bad, good and not bad, bad and _beside(tag, rest, by_name), by_name and not bad and _hinted(tag, rest), at)
     close_line()
     return lines
 
 
+def weights_of(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
+    inside = sum(w for _, w, m, _ in lines if m)
+    less = OUTSIDE * inside // max(1, sum(w for _, w, _, _ in lines))
+    return [w + IN_MAIN if m else max(0, w - less) for _, w, m, _ in lines]
+
+
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    if not any(w for _, w, _ in lines):  # a name may stand on what holds the whole page
+    if not any(w for _, w, _, _ in lines):  # a name may stand on what holds the whole page
         lines = lines_of(html or "", False)
-    weights = [w + IN_MAIN * m for _, w, m in lines]
+    weights = weights_of(lines)
     n = len(lines)
     wanted: list[int] = []
     i = 0
@@ -250,13 +289,10 @@ def main_text(html: str | None) -> str:
         end = i  # the surge; the dive is where a whole window weighs nothing
         while end < n and any(weights[end : end + WINDOW]):
             end += 1
-        wanted += [k for k in range(i, end) if weights[k]]
+        # a line that is all links goes with the text around it
+        wanted += [k for k in range(i, end) if weights[k] or lines[k][3] and not lines[k][1]]
         i = end
-    wanted = wanted or [k for k in range(n) if lines[k][1]]
-    inside = [k for k in wanted if lines[k][2]]
-    if inside and 2 * sum(lines[k][1] for k in inside) >= sum(lines[k][1] for k in wanted):
-        wanted = inside
-    return " ".join(lines[k][0] for k in wanted)
+    return " ".join(lines[k][0] for k in wanted or [k for k in range(n) if lines[k][1]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Each operator against a plain version of itself, and on rows that are null, empty, long, tied or repeated."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
 import time
 import zlib
+from html.parser import HTMLParser
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -184,15 +187,14 @@ def test_html_more_edges(page, text):
 def plain_main_text(html, window, surge):
     """Surge and dive over the same lines, tried at every place."""
     lines = html_text.lines_of(html)
-    lines = lines if any(x for _, x, _ in lines) else html_text.lines_of(html, False)
-    w = [x + html_text.IN_MAIN * m for _, x, m in lines]
+    lines = lines if any(x for _, x, *_ in lines) else html_text.lines_of(html, False)
+    share = sum(x for _, x, m, _ in lines if m) / max(1, sum(x for _, x, *_ in lines))
+    w = [x + html_text.IN_MAIN if m else max(0, x - math.floor(html_text.OUTSIDE * share)) for _, x, m, _ in lines]
     zero = lambda i: not any(w[i : i + window])
     begins = {i for i in range(len(w)) if w[i] and sum(w[i : i + window]) >= surge}
-    kept = [k for k in range(len(w)) if w[k] and any(i in begins and not any(zero(j) for j in range(i, k + 1)) for i in range(k + 1))]
-    kept = kept or [k for k in range(len(w)) if w[k] > html_text.IN_MAIN * lines[k][2]]
-    inside = [k for k in kept if lines[k][2]]
-    if inside and 2 * sum(lines[k][1] for k in inside) >= sum(lines[k][1] for k in kept):
-        kept = inside
+    in_stretch = [any(i in begins and not any(zero(j) for j in range(i, k + 1)) for i in range(k + 1)) for k in range(len(w))]
+    kept = [k for k in range(len(w)) if in_stretch[k] and (w[k] or lines[k][3] and not lines[k][1])]
+    kept = kept or [k for k in range(len(w)) if lines[k][1]]
     return " ".join(lines[k][0] for k in kept)
 
 
@@ -211,6 +213,63 @@ def test_html_equals_a_plain_version_and_the_windows_decide(monkeypatch):
     assert all(sum(x != y for x, y in zip(results[3], results[w], strict=True)) > 30 for w in (1, 2, 9))
 
 
+P = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>{P}</p><p>The <label>label word</label> stays.</p></article>", f"{P} The label word stays."),
+        (f"<div><p>{P}</p><p><a href=x>One link alone</a></p><p>{P}</p></div>", f"{P} One link alone {P}"),
+        (f"<div><p>{P}</p><ul><li><a href=x>a</a></ul><p>{P}</p></div>", f"{P} {P}"),
+        (f"<article><p>{P}</p><p class='share-price-notice'>Shares fell.</p><p>{P}</p></article>", f"{P} Shares fell. {P}"),
+        (f"<article><h1>T</h1><p>{P}</p><h3>3 Comments</h3><div><p>{P}</p></div></article>", f"T {P}"),
+        (f"<article><h1>T</h1><p>{P}</p><h3>Comments</h3><p>{P}</p><h2>More</h2><p>x</p></article>", f"T {P} More x"),
+        (f"<article><h1>Comments</h1><p>{P}</p></article>", f"Comments {P}"),
+        (f"<p>{P} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><fieldset><p>{P} kept</p></fieldset>", f"{P} x=2 {P} kept"),
+        (f"<article><p>{P}</p></article><div><p>Short note.</p></div>", P),
+        (f"<article><p>{P}</p></article><div><p>{P} {P} {P}</p></div>", f"{P} {P} {P} {P}"),
+    ],
+)
+def test_html_markup_weighs_and_does_not_cut(page, text):
+    assert html_text.main_text(page) == text
+
+
+class ArticleText(HTMLParser):
+    """The text of a page's article by another parser, without what it and its classes mark as something else."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines = [], [[]]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "p", "h1", "h2", "h3", "li", "ul", "div", "article", "aside", "nav", "footer", "section", "form"):
+            self.lines.append([])
+        if tag not in ("br", "meta", "img", "input", "link", "hr"):
+            self.open.append((tag, dict(attrs).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        self.lines.append([])
+        while any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        bad = any(t in ("nav", "aside", "footer", "script", "style", "form") for t in tags) or any(c in ("ad", "comments", "comment", "cookie") for _, c in self.open)
+        if "article" in tags and not bad:
+            self.lines[-1].append(data)
+
+
+def test_html_of_the_tables_equals_another_parser():
+    pages = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    for (html,) in pages:
+        parser = ArticleText()
+        parser.feed(html)
+        lines = [" ".join("".join(x).split()) for x in parser.lines]
+        want = " ".join(x for x in lines if x)
+        assert html_text.main_text(html).replace(" ", "") == want.replace(" ", "")
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", "<p>" + "word " * 100_000)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
