@@ -2,13 +2,17 @@
 
 Words like "license" or "permission" are anchors: as many words before and after each as the longest notice has, over
 line ends, make a block. A block is compressed by zstandard alone, and with
-each template as raw dictionary; the template that saves most, as a part of the block, comes first. A winner is
-confirmed by the exact differences in wording: almost all of the template's words must stand in the block, in
+each template as raw dictionary; templates are tried in order of what they save, as a part of the block; the first
+that is confirmed wins, or one that saves nearly as much and differs in fewer words. A template is confirmed by the exact
+differences in wording: almost all of the template's words must stand in the block, in
 order and close together, and every word with a digit (a version) without change. Where a block is no notice as a
 whole, and where it is too long for one, every place in it is tried that has enough of a template's words; the notice
 found there is judged as a block of its own, and so is what stands before and after it.
 
-Defined cases: a null or empty text has no finding; repeated rows are scanned each; a notice is found wherever it
+A tag that gives license identifiers is read as it is. A notice that the words before deny ("not released under …") is
+none.
+
+Defined cases: a null or empty text has no finding; an empty table gives no rows; repeated rows are scanned each; a notice is found wherever it
 stands, in texts of any length; other columns are left out.
 """
 
@@ -32,6 +36,8 @@ from clauseworks.llm.chunks import small_batches
 #: Part of a block's own compressed size that a template must save; part of its words that must stand in the block.
 SAVED = 0.25
 COVER = 0.85
+#: Templates that save as much as the first that is confirmed, but for this part, are confirmed, too: their wordings decide.
+NEAR = 0.1
 #: Other words between the template's, at most, as a part of its words (or four).
 EXTRA = 0.25
 
@@ -72,8 +78,31 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "This work is released under CC0 1.0 Universal, public domain dedication."),
+    ("LGPL-3.0-or-later", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("LGPL-2.1-or-later", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("AGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("GPL-3.0-or-later", "Under the terms of the GNU General Public License v3.0 or later."),
+    ("GPL-2.0-or-later", "Under the terms of the GNU General Public License v2.0 or later."),
+    ("LGPL-3.0-or-later", "Under the terms of the GNU Lesser General Public License v3.0 or later."),
+    ("LGPL-2.1-or-later", "Under the terms of the GNU Lesser General Public License v2.1 or later."),
+    ("AGPL-3.0-or-later", "Under the terms of the GNU Affero General Public License v3.0 or later."),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("MIT", "MIT License"),
+    ("GPL-3.0", "GNU General Public License Version 3"),
+    ("GPL-2.0", "GNU General Public License Version 2"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("ISC", "ISC License"),
     ("all-rights-reserved", "All rights reserved."),
 )
+#: The tag that names licenses by their identifiers, and what joins these.
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([(]*[A-Za-z0-9][A-Za-z0-9.+-]*(?:[ \t()]+[A-Za-z0-9][A-Za-z0-9.+-]*)*)")
+_JOINS = frozenset("AND OR WITH".split())
+#: What denies the notice after it, some words on in the same sentence.
+_DENIED = re.compile(r"\b(?:not|never|n't|n’t|neither|nor)(?:\s+[^\s.!?;]+){0,3}\s*$", re.I)
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _ANCHOR = re.compile(r"licen[sc]|copyright|all\s+rights|rights\s+reserved|permission|redistribut|warrant|public\s+domain|free\s+software|\bCC0?[\s-]", re.I)
@@ -119,7 +148,7 @@ class Scanner:
         """Templates by the part of the block's compressed size that each saves, most first."""
         raw = block.encode()
         own = len(self._alone.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / own, -i) for i, c in enumerate(self._with)), reverse=True)
+        return sorted(((1 - len(c.compress(raw)) / own, -i) for i, c in enumerate(self._with)), key=lambda x: (x[0], len(self._words[-x[1]]), x[1]), reverse=True)
 
     def _confirmed(self, i: int, have: list[str]) -> tuple[int, int, tuple[str, ...], tuple[str, ...]] | None:
         """(first word, word after the last, missing, extra) of template ``i`` in ``have``, if all but a few stand there.
@@ -199,14 +228,13 @@ class Scanner:
         have = block.split(" ")
         best = None
         for saved, i in self.ranked(block):
-            if saved < SAVED:
+            if saved < SAVED or best and saved < best[3] - NEAR:
                 break
-            want = self._words[-i]
             if (met := self._confirmed(-i, have)) is not None:
                 first, last, missing, extra = met
-                found = (len(missing) + len(extra), -len(want), -i, saved, first, last, missing, extra)
-                best = min(best, found) if best else found
-        return best[2:] if best else None
+                found = (len(missing) + len(extra), -len(self._words[-i]), -i, best[3] if best else saved, saved, first, last, missing, extra)
+                best = min(best, found, key=lambda x: x[:3]) if best else found
+        return (best[2], *best[4:]) if best else None
 
     def _spans(self, text: str) -> Iterator[tuple[int, int]]:
         """Stretches of ``text`` in which a notice may stand: as many words around each anchor as the longest has."""
@@ -252,8 +280,23 @@ class Scanner:
         return out
 
     def scan(self, text: str | None) -> list[Finding]:
-        out = [f for a, b in self._spans(text or "") for f in self._in(text, a, b)]
-        return sorted(set(out), key=lambda f: (f.start, f.end))
+        text = text or ""
+        tags = list(_identifiers(text))
+        out = [f for a, b in self._spans(text) for f in self._in(text, a, b)]
+        out = [f for f in out if not _DENIED.search(text, max(0, f.start - 80), f.start) and not any(t.start < f.end and f.start < t.end for t in tags)]
+        return sorted({*out, *tags}, key=lambda f: (f.start, f.end, f.license))
+
+
+def _identifiers(text: str) -> Iterator[Finding]:
+    """Licenses that a tag names: an exact form, which has no wording to compare."""
+    for m in _TAG.finditer(text):
+        before = ""
+        for w in re.finditer(r"[A-Za-z0-9.+-]+", m[1]):
+            if w[0] not in _JOINS and before not in ("", *_JOINS):
+                break  # two words without a join between: the tag has ended
+            if w[0] not in _JOINS and before != "WITH":  # what follows that is an exception to the license
+                yield Finding(w[0], m.start(), m.end(1), 1.0, (), ())
+            before = w[0]
 
 
 @lru_cache(1)

@@ -189,7 +189,7 @@ def plain_main_text(html, window, surge):
     lines = html_text.lines_of(html)
     lines = lines if any(x for _, x, *_ in lines) else html_text.lines_of(html, False)
     share = sum(x for _, x, m, _ in lines if m) / max(1, sum(x for _, x, *_ in lines))
-    w = [x + html_text.IN_MAIN if m else max(0, x - math.floor(html_text.OUTSIDE * share)) for _, x, m, _ in lines]
+    w = [x + html_text.IN_MAIN if m else max(0, x - math.floor(html_text.OUTSIDE * min(1, 2 * share))) for _, x, m, _ in lines]
     zero = lambda i: not any(w[i : i + window])
     begins = {i for i in range(len(w)) if w[i] and sum(w[i : i + window]) >= surge}
     in_stretch = [any(i in begins and not any(zero(j) for j in range(i, k + 1)) for i in range(k + 1)) for k in range(len(w))]
@@ -771,3 +771,36 @@ def test_license_rows(odd, none):
     out = licenses.scan(odd).collect()
     assert len(out) == odd.count() and {r["n_found"] for r in out} == {0}
     assert licenses.scan(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("MIT License", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-only\nimport os", ["GPL-2.0-only"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) WITH LLVM-exception and more words", ["Apache-2.0", "MIT"]),
+        ("Use it under the terms of the GNU Affero General Public License v3.0 or later, as you like.", ["AGPL-3.0-or-later"]),
+        ("This is not released under the MIT License.", []),
+        ("It was never meant for sale. Released under the MIT License.", ["MIT"]),
+        ("Copyright 2020\nApache License\nVersion 2.0, January 2004", ["Apache-2.0"]),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+    ],
+)
+def test_licenses_by_tags_headings_and_denials(text, found):
+    assert sorted(f.license for f in licenses.Scanner().scan(text)) == found
+
+
+def test_notices_with_changed_words_are_found_with_their_differences():
+    """Up to one word in sixteen is changed at random; a few such notices fall short where the wording repeats itself."""
+    exact = 0
+    r, scan = random.Random(12), licenses.Scanner()
+    long = [(n, licenses.words_of(t)) for n, t in licenses.TEMPLATES if len(t.split()) >= 35]
+    for k in range(200):
+        name, words = r.choice(long)
+        free = [i for i, w in enumerate(words[1:-1], 1) if not any(c.isdigit() for c in w) and not licenses._ANCHOR.search(w)]
+        changed = set(r.sample(free, r.randrange(0, len(words) // 16 + 1)))
+        text = " ".join(f"qq{k}x" if i in changed else w for i, w in enumerate(words))
+        found = [f for f in scan.scan(f"{prose(40, k)}. {text}. {prose(40, k + 1)}") if f.license == name]
+        assert len(found) <= 1
+        exact += bool(found) and sorted(found[0].missing) == sorted(words[i] for i in changed)
+    assert exact >= 195
