@@ -35,8 +35,8 @@ from clauseworks.llm.chunks import small_batches
 WINDOW = 3
 SURGE = 80
 IN_MAIN = 70
-#: What a line outside articles weighs less, where these hold all the weight; in part, where they hold a part.
-OUTSIDE = 160
+#: What a line outside articles weighs less, where these hold half of the weight or more; in part, where they hold less.
+OUTSIDE = 240
 
 # Elements by what they do, and the words by which a class or id names what is not the main text.
 RAW = "script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select"
@@ -270,7 +270,7 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, bool, bool
 
 def weights_of(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
     inside = sum(w for _, w, m, _ in lines if m)
-    less = OUTSIDE * inside // max(1, sum(w for _, w, _, _ in lines))
+    less = min(OUTSIDE, 2 * OUTSIDE * inside // max(1, sum(w for _, w, _, _ in lines)))
     return [w + IN_MAIN if m else max(0, w - less) for _, w, m, _ in lines]
 
 
