@@ -9,7 +9,8 @@ that it ends the Lyndon prefix of (the one before it, and the chain of pointers
 of their groups. No names are given and nothing is sorted again. Both phases touch each suffix a few times.
 
 The phases run for all texts of a batch in step: each step works on one group (or one place) of every text, by numpy.
-Texts of much the same length go well together.
+Texts of much the same length go well together. Where a batch has few texts for their length, so that a step has next to
+nothing to do, they run text by text over plain lists.
 """
 
 from __future__ import annotations
@@ -112,6 +113,62 @@ def _emit(symbols: np.ndarray, begins: np.ndarray, group: np.ndarray, before: np
     return out
 
 
+def _one(symbols: list[int]) -> list[int]:
+    """The same two phases for one text."""
+    n = len(symbols)
+    at = sorted(range(n), key=symbols.__getitem__)
+    place, group, end = [0] * n, [0] * n, [0] * (n + 1)
+    start = 0
+    for k, i in enumerate(at):
+        if symbols[i] != symbols[at[start]]:
+            end[start], start = k, k
+        place[i], group[i] = k, start
+    end[start] = n
+    before, top = list(range(-1, n - 1)), n
+    while top > 1:
+        start = group[at[top - 1]]
+        times: dict[int, int] = {}
+        for i in sorted(at[start:top]):
+            j = i - 1
+            while j >= 0 and group[j] >= start:
+                j = before[j]
+            before[i] = j
+            if j >= 0:
+                times[j] = times.get(j, 0) + 1
+        top = start
+        by_times: dict[int, list[int]] = {}
+        for j, k in times.items():
+            by_times.setdefault(k, []).append(j)
+        for k in sorted(by_times, reverse=True):
+            ends: dict[int, int] = {}
+            for j in by_times[k]:
+                g = group[j]
+                ends.setdefault(g, end[g])
+                last = end[g] = end[g] - 1
+                other, p = at[last], place[j]
+                at[p], place[other], at[last], place[j] = other, p, j, last
+            first = {g: end[g] for g in ends}
+            for j in by_times[k]:
+                group[j] = first[group[j]]
+            for g, was in ends.items():
+                end[first[g]] = was
+    out, free, open_ = [-1] * n, list(range(n)), [True] * n
+    out[0] = n - 1
+    for i in range(n):
+        j = out[i] - 1
+        while j >= 0 and open_[j]:
+            g = group[j]
+            out[free[g]] = j
+            free[g] += 1
+            open_[j] = False
+            j = before[j]
+    return out
+
+
+#: Texts of the greatest length that a batch must have the bytes of, for steps over all of them to pay.
+FEW = 64
+
+
 def suffix_arrays(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Positions of all suffixes: those of text t, in order, from begins[t] to begins[t + 1].
 
@@ -119,6 +176,8 @@ def suffix_arrays(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """
     if not len(symbols):
         return np.empty(0, np.int64)
+    if len(symbols) < FEW * int(np.diff(begins).max()):
+        return np.concatenate([np.array(_one(symbols[a:b].tolist()), np.int64) + a for a, b in zip(begins[:-1], begins[1:], strict=True)])
     # a text of its end alone goes before, so that every text has an end before it
     symbols = np.r_[0, symbols].astype(np.int64)
     begins = np.r_[0, np.asarray(begins, np.int64) + 1]
