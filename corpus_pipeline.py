@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: with letters, that is."""
+    """Documents in one of the languages that are learned; those in others, or without letters, go."""
     return language.known_language(docs)
 
 
