@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that the codes choose, for each that is wanted.
@@ -38,6 +41,42 @@ def cosine_scores(vectors: DataFrame, query: list[float], id_col: str = "id", ve
     return found.where((F.col("_norm") > 0) & F.col("_fits").isNull()).select("id", (F.col("_dot") / (F.col("_norm") * F.lit(size))).alias("score"))
 
 
+#: Vectors, and queries, that meet in one task.
+BLOCK_ROWS = 16_384
+BLOCK_QUERIES = 1_024
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best (qid, rank, id, score) of vectors (id, vector) for each of queries (qid, vector), in one job.
+
+    Blocks of vectors meet blocks of queries as matrix products, and give the ``k`` best of each query and block; of
+    these Spark keeps the ``k`` best in each task before a query's rows are shuffled. Queries or vectors that are null
+    or have no length take no part; equal scores go to the smaller id.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    sound = lambda d: d.where(F.col("vector").isNotNull() & (norm(F.col("vector")) > 0))
+    vectors, queries = sound(vectors), sound(queries)
+    n, q = (max(1, math.ceil(d.count() / size)) for d, size in ((vectors, BLOCK_ROWS), (queries, BLOCK_QUERIES)))
+    left = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("part"))
+    right = queries.select("qid", F.col("vector").alias("q"), F.pmod(F.xxhash64("qid"), F.lit(q)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+
+    def product(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        x, y = (np.stack([np.array(v, np.float64) for v in t[c].to_pylist()]) if t.num_rows else np.empty((0, 0)) for t, c in ((rows, "vector"), (asked, "q")))
+        if not (len(x) and len(y)):
+            return pa.table({"qid": asked["qid"].slice(0, 0), "id": rows["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        order = pc.sort_indices(rows["id"])
+        scores = np.round(y @ x[order.to_numpy()].T, 9)
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # of equal scores the smaller ids
+        who = np.repeat(np.arange(len(y)), at.shape[1])
+        best = at.ravel()
+        return pa.table({"qid": asked["qid"].take(pa.array(who)), "id": rows["id"].take(order.take(pa.array(best))), "score": pa.array(scores[who, best])})
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(product, f"qid {queries.schema['qid'].dataType.simpleString()}, id {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
 def quantise(vectors: DataFrame, vector: str = "vector", quantile: float = 0.99) -> DataFrame:
     """``vectors`` with ``code`` (array of tinyint): components scaled by the quantile of their size, and clipped."""
     one = vectors.select(F.explode(vector).alias("x")).agg(F.percentile_approx(F.abs("x"), quantile, 1_000_000).alias("q")).first()

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import tokens
@@ -28,18 +27,13 @@ class Bm25:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (id, term, tf), doc_stats (id, dl), term_stats (term, df), coll_stats (n, avgdl)."""
+    """postings (id, term, tf, dl: the document's length), doc_stats (id, dl), term_stats (term, df), coll_stats (n, avgdl)."""
 
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
     coll_stats: DataFrame
 
-    def kept(self) -> LexicalIndex:
-        """The index with its postings and lengths held on the executors' disks, so that texts are cut once for each."""
-        postings, doc_stats = self.postings.persist(StorageLevel.DISK_ONLY), self.doc_stats.persist(StorageLevel.DISK_ONLY)
-        return LexicalIndex(postings, doc_stats, _term_stats(postings), _coll_stats(doc_stats))
-
 
 def _term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -49,13 +43,30 @@ def _coll_stats(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def _postings(cut: DataFrame, ts: Column) -> DataFrame:
+    words = cut.select("id", F.size("ts").cast("long").alias("dl"), F.explode(ts).alias("term"))
+    return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
 def build(rows: DataFrame, id_col: str = "id", text: str = "text", tokenizer: Tokenizer = tokens) -> LexicalIndex:
     cut = rows.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    postings = cut.select("id", F.explode("ts").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    postings = _postings(cut, F.col("ts"))
     doc_stats = cut.select("id", F.size("ts").cast("long").alias("dl"))
     return LexicalIndex(postings, doc_stats, _term_stats(postings), _coll_stats(doc_stats))
 
 
+def build_for(rows: DataFrame, terms: list[str], path: str, id_col: str = "id", text: str = "text", tokenizer: Tokenizer = tokens) -> LexicalIndex:
+    """An index of some terms alone, written to ``path`` in one pass: only their postings are shuffled, and the
+    collection is counted as it is read. Its doc_stats are those of documents with a term."""
+    cut = rows.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    seen = Observation()
+    cut = cut.observe(seen, F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    _postings(cut, F.filter("ts", lambda t: t.isin(terms))).write.parquet(path)
+    postings = rows.sparkSession.read.parquet(path)
+    whole = rows.sparkSession.createDataFrame([(seen.get["n"], seen.get["avgdl"])], "n long, avgdl double")
+    return LexicalIndex(postings, postings.select("id", "dl").distinct(), _term_stats(postings), whole)
+
+
 def query_terms(spark, query: str, tokenizer: Tokenizer = tokens) -> list[str]:
     """The query's distinct terms, cut as the documents are."""
     row = spark.createDataFrame([(query,)], "q string").select(F.array_distinct(tokenizer(F.col("q"))).alias("t")).first()
@@ -70,7 +81,7 @@ def search_index(index: LexicalIndex, terms: list[str], model: Bm25 = Bm25(), am
     df = index.term_stats.where(F.col("term").isin(terms))
     whole = index.coll_stats.first()  # one row
     n, avgdl = F.lit(float(whole["n"])), F.lit(float(whole["avgdl"] or 0))
-    scored = hit.join(F.broadcast(df), "term").join(index.doc_stats, "id")
+    scored = hit.join(F.broadcast(df), "term")  # a row for each term of the query
     part = model.part(model.idf(n, F.col("df")), F.col("tf"), F.col("dl"), avgdl)
     return scored.groupBy("id").agg(F.sum(part).alias("score"))
 

@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from clauseworks.plans import service
+from clauseworks.plans import service, shards
 from clauseworks.plans.engine import Engine
 
 
@@ -26,6 +26,16 @@ def parser() -> argparse.ArgumentParser:
     shard.add_argument("--cache-path")
     shard.add_argument("--shard-index", type=int, required=True, help="from 0")
     shard.add_argument("--shard-size", type=int, required=True, help="documents of record in a shard")
+    every = sub.add_parser("ingest-shards", help="ingest all shards that are not done yet; one that fails stops no other")
+    every.add_argument("--corpus-dir", required=True)
+    every.add_argument("--storage-dir", required=True)
+    every.add_argument("--cache-path")
+    every.add_argument("--shard-size", type=int, default=300, help="documents of record in a shard")
+    for name, what in (("compact", "make one segment of each collection"), ("vacuum", "delete what only old versions have")):
+        keep = sub.add_parser(name, help=what)
+        keep.add_argument("--storage-dir", required=True)
+        if name == "vacuum":
+            keep.add_argument("--keep-hours", type=float, default=168.0)
     merge = sub.add_parser("merge", aliases=["merge-shards"], help="merge shards")
     merge.add_argument("--storage-dirs", "--shard-storage-dirs", required=True, help="separated by commas")
     merge.add_argument("--cache-paths", "--shard-cache-paths", default="", help="separated by commas")
@@ -57,6 +67,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         case "ingest-shard":
             got = Engine(spark, storage).ingest(args.corpus_dir, args.cache_path, (args.shard_index, args.shard_size))
             print(json.dumps(got, ensure_ascii=False))
+        case "ingest-shards":
+            report = shards.ingest(Engine(spark, storage), args.corpus_dir, args.shard_size, args.cache_path)
+            print(json.dumps(report, ensure_ascii=False))
+            return 1 if report["failed"] else 0
+        case "compact":
+            Engine(spark, storage).compact()
+        case "vacuum":
+            print(json.dumps(Engine(spark, storage).vacuum(args.keep_hours)))
         case "merge" | "merge-shards":
             lists = [[x.strip() for x in s.split(",") if x.strip()] for s in (args.storage_dirs, args.cache_paths)]
             print(json.dumps(Engine(spark, args.output_storage_dir).merge(*lists, args.output_cache_path)))

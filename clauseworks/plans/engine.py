@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import visible_refs
-from clauseworks.operators import dense, fusion, lexical, lookup
+from clauseworks.operators import fusion, lexical, lookup
 from clauseworks.operators.embedding import EmbedCache, Embedder, HashingEmbedder, merge_caches
 from clauseworks.plans import index, render
 from clauseworks.sources import corpus
@@ -23,12 +23,17 @@ def _act_fields() -> list[Column]:
 
 
 class Engine:
-    """``quantised``: what is written has eight-bit codes of its vectors, too, by which searches then choose first."""
+    """``quantised``: what is written has eight-bit codes of its vectors, too, by which searches then choose first.
 
-    def __init__(self, spark: SparkSession, storage: str, embedder: Embedder | None = None, rrf_constant: int = 60, quantised: bool = False):
+    ``lists``: a new store files its vectors under so many centroids, of which a search reads the nearest ``probes``.
+    """
+
+    def __init__(
+        self, spark: SparkSession, storage: str, embedder: Embedder | None = None, rrf_constant: int = 60, quantised: bool = False, lists: int = 0, probes: int | None = None
+    ):
         self.spark, self.storage = spark, storage.rstrip("/")
         self.embedder = embedder or HashingEmbedder()
-        self.rrf_constant, self.quantised = rrf_constant, quantised
+        self.rrf_constant, self.quantised, self.lists, self.probes = rrf_constant, quantised, lists, probes
 
     def _payload(self, name: str) -> DataFrame:
         return index.read(self.spark, f"{self.storage}/{name}").payload
@@ -40,19 +45,20 @@ class Engine:
         listed = corpus.read_index(self.spark, corpus_dir).persist()
         chosen = corpus.shard(listed, *shard) if shard else listed
         if chosen.isEmpty():
+            listed.unpersist()
             return {"provisions": 0, "acts": 0, "missing": []}
         cache = EmbedCache(self.spark, cache_path, self.embedder.name) if cache_path else None
         rows = corpus.read_provisions(self.spark, corpus_dir, listed, chosen)
-        index.upsert(index.provision_documents(rows), f"{self.storage}/{index.PROVISIONS}", self.embedder, cache, self.quantised)
+        folders = [f"{self.storage}/{name}" for name in (index.PROVISIONS, index.ACTS)]
+        # counts are taken while rows are written
+        new = index.upsert(index.provision_documents(rows), folders[0], self.embedder, cache, self.quantised, self.lists)
         names = chosen.select(F.col("name").alias("act_name")).distinct()
-        stored = self._payload(index.PROVISIONS).join(names, "act_name", "left_semi")
-        acts = corpus.roll_up(stored)
-        index.upsert(index.act_documents(acts), f"{self.storage}/{index.ACTS}", self.embedder, cache, self.quantised)
-        gap = corpus.missing(chosen.select("name"), stored.select(F.col("act_name").alias("name")))
-        kinds = {r["provision_type"]: r["n"] for r in corpus.kind_counts(stored).collect()}
-        out = {"provisions": sum(kinds.values()), "kinds": kinds, "acts": acts.count(), "missing": [r["name"] for r in gap.limit(10).collect()], "missing_count": gap.count()}
+        acts = corpus.roll_up(self._payload(index.PROVISIONS).join(names, "act_name", "left_semi"))
+        made = index.upsert(index.act_documents(acts), folders[1], self.embedder, cache, self.quantised)
+        here = self.spark.read.parquet(f"{folders[0]}/{new['name']}/payload").select(F.col("act_name").alias("name"))
+        gap = [r["name"] for r in corpus.missing(chosen.select("name"), here).collect()]  # the index has thousands of names, not billions
         listed.unpersist()
-        return out
+        return {"provisions": new["rows"], "kinds": new["kinds"], "acts": made["rows"], "missing": gap[:10], "missing_count": len(gap)}
 
     def merge(self, storages: list[str], caches: list[str] | None = None, cache_out: str | None = None) -> dict[str, int]:
         """Merges shards' storages, and their caches, into this one."""
@@ -65,22 +71,21 @@ class Engine:
 
     # search
 
-    def _hybrid(self, name: str, query: str, limit: int, keep=None) -> DataFrame:
+    def _hybrid(self, name: str, query: str, limit: int, keep: dict[str, str] | None = None) -> DataFrame:
+        """Payload of the best, with ``score`` and ``rank``. Filters reach vectors and postings, which carry what they ask for."""
         c = index.read(self.spark, f"{self.storage}/{name}")
-        among = None if keep is None else c.payload.where(keep).select("id")
-        vectors, codes = (t if among is None or t is None else t.join(among, "id", "left_semi") for t in (c.vectors, c.codes))
         [q] = self.embedder.embed([query], "query")
         terms = lexical.query_terms(self.spark, query)
-        scores = dense.cosine_scores(vectors, q) if codes is None else dense.rescored(vectors, codes, q, 2 * limit)
-        branches = [lexical.top(scores, 2 * limit, None)]
+        branches = [c.search_vector(q, 2 * limit, keep, self.probes)]
         if terms:
-            branches.append(lexical.top(lexical.search_index(c.lexical, terms, among=among), 2 * limit, None))
-        best = fusion.fuse(branches, limit, self.rrf_constant, None)
-        best = best.withColumn("rank", fusion.F.row_number().over(fusion.Window.orderBy(F.desc("score"), "id")))
-        return c.payload.join(F.broadcast(best), "id")  # ``limit`` rows
+            branches.append(c.search_words(terms, 2 * limit, keep))
+        named = [b.select(F.struct("tie", "segment", "doc").alias("id"), "score") for b in branches]
+        best = fusion.fuse(named, limit, self.rrf_constant, None)
+        best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # ``limit`` rows
+        return c.fetch(best.select("id.*", "score", "rank"))
 
     def search_provisions(self, query: str, limit: int = 10, act: str | None = None, provision_type: str | None = None) -> DataFrame:
-        keep = None if not act and not provision_type else lookup.equals("act_name", act) & lookup.equals("provision_type", provision_type)
+        keep = {k: v for k, v in (("act_name", act), ("provision_type", provision_type)) if v}
         none = F.array().cast("array<string>")
         found = self._hybrid(index.PROVISIONS, query, limit, keep)
         return found.select("rank", "score", "act_name", "frbr_uri", "eid", "provision_num", "provision_type", "heading", "text", visible_refs(F.coalesce("refs", none)).alias("refs"))
@@ -91,6 +96,22 @@ class Engine:
     def search_text(self, query: str, limit: int = 5, act: str | None = None, provision_type: str | None = None) -> str:
         return render.text(self.search_provisions(query, limit, act, provision_type))
 
+    # maintenance
+
+    def compact(self) -> None:
+        """Makes one segment of each collection's rows."""
+        for name in (index.PROVISIONS, index.ACTS):
+            index.compact(self.spark, f"{self.storage}/{name}")
+
+    def vacuum(self, keep_hours: float = 24 * 7) -> list[str]:
+        """Deletes what only versions older than ``keep_hours`` have."""
+        return [gone for name in (index.PROVISIONS, index.ACTS) for gone in index.vacuum(self.spark, f"{self.storage}/{name}", keep_hours)]
+
+    def scroll(self, name: str = index.PROVISIONS, after: str | None = None, size: int = 500) -> tuple[list[dict], str | None]:
+        """A page of a collection, and the cursor of the next."""
+        page, cursor = index.read(self.spark, f"{self.storage}/{name}").scroll(after, size)
+        return [r.asDict() for r in page], cursor
+
     # look-ups
 
     def act_metadata(self, name: str) -> dict:

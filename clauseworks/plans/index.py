@@ -1,33 +1,41 @@
-"""A collection on disk: payload, vectors and an inverted index as Parquet tables, in a folder of their version.
-
-Every change writes a whole new version by one writer, points to it, and then deletes the version before: what fails
-half-way leaves the collection as it was.
+"""A collection on disk: segments of rows that never change, and a manifest a version that says which of them count.
+
+A change writes what it changes: a *segment* (payload, vectors by list, postings in blocks, term counts) of the new
+rows, a *tombstone* table of the rows of older segments whose ids came again, and a manifest that names all that
+count. Manifests are numbered, and one is never replaced: of two writers of the same number the second fails and
+changes nothing. Readers take the newest manifest and go on with it, as nothing that it names is deleted before
+``vacuum`` is told to, by age. ``compact`` makes one segment of the rows that count.
+
+Rows are numbered within a segment (``doc``), in the order in which they are stored: by document of record, then by
+place. So rows that a search has found are read by number, and files and row groups that hold none of them are passed
+over. Vectors and postings carry the document of record and the kind, so that filters reach them as they reach the
+payload, without a join.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from clauseworks.operators import dense, embedding, lexical
+from clauseworks.functions.text import tokens
+from clauseworks.operators import dense, embedding, ivf, postings
 from clauseworks.schemas import ORDER
+from clauseworks.sources.markup import KINDS
 
 PROVISIONS, ACTS = "legislation_section", "legislation"
-POINTER = "current-"
-TABLES = ("payload", "vectors", "postings", "doc_stats", "term_stats", "coll_stats")
-CODES = "codes"
+MANIFESTS = "manifests"
+#: The column by which rows are stored together, and the one that is carried along for filters.
+GROUP, CARRIED = "act_name", "provision_type"
 
 
-@dataclass(frozen=True)
-class Collection:
-    payload: DataFrame
-    vectors: DataFrame
-    lexical: lexical.LexicalIndex
-    codes: DataFrame | None = None
+class Conflict(RuntimeError):
+    """Another writer made the next version first."""
 
 
 def provision_documents(provisions: DataFrame) -> DataFrame:
@@ -41,40 +49,7 @@ def act_documents(acts: DataFrame) -> DataFrame:
     return acts.withColumn("id", F.sha2(F.concat_ws("\x1f", "act_name", "frbr_uri"), 256)).withColumn("document", F.concat_ws(" — ", "act_name", F.col("year").cast("string")))
 
 
-def _vectors(docs: DataFrame, embedder: embedding.Embedder, cache: embedding.EmbedCache | None) -> DataFrame:
-    texts = docs.select("id", F.col("document").alias("text"))
-    if cache is None:
-        return embedding.embed_texts(texts, embedder)
-    cache.fill(texts, embedder)
-    return embedding.lookup(texts, cache.read()).select("id", "vector")
-
-
-def _write(payload: DataFrame, vectors: DataFrame, folder: str, vectors_of=None, quantised: bool = False) -> None:
-    """Writes a new version of the collection and then points to it: who reads meanwhile reads the version before.
-
-    ``quantised``: with eight-bit codes of the vectors, scaled by the quantile of all.
-    """
-    spark = payload.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    at = f"{folder}/{version}"
-    sort = [c for c in ("act_name", *ORDER) if c in payload.columns]
-    # within a file rows of one document of record stand together, so that filters by name skip row groups
-    payload.repartitionByRange(F.col("act_name")).sortWithinPartitions(*sort).write.parquet(f"{at}/payload")
-    payload = spark.read.parquet(f"{at}/payload")
-    (vectors if vectors_of is None else vectors_of(payload)).write.parquet(f"{at}/vectors")
-    if quantised:
-        dense.quantise(spark.read.parquet(f"{at}/vectors")).select("id", "code").write.parquet(f"{at}/{CODES}")
-    index = lexical.build(payload, "id", "document")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
-    index.doc_stats.write.parquet(f"{at}/doc_stats")
-    postings = spark.read.parquet(f"{at}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/term_stats")
-    spark.read.parquet(f"{at}/doc_stats").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{at}/coll_stats")
-    before = current(spark, folder)
-    _point(spark, folder, version)
-    if before:
-        fs, old = _fs(spark, f"{folder}/{before}")
-        fs.delete(old, True)
+# files
 
 
 def _fs(spark: SparkSession, path: str):
@@ -82,58 +57,306 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _point(spark: SparkSession, folder: str, version: str) -> None:
-    """The pointer is an empty file whose name is the version's: made before the one it replaces is deleted."""
-    fs, at = _fs(spark, f"{folder}/{POINTER}{version}")
-    fs.create(at, True).close()
-    for old in fs.globStatus(_fs(spark, f"{folder}/{POINTER}v-*")[1]):
-        if old.getPath().getName() != POINTER + version:
-            fs.delete(old.getPath(), False)
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(name, age in milliseconds since 1970) of what lies in a folder."""
+    fs, at = _fs(spark, folder)
+    return sorted((f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
-def current(spark: SparkSession, folder: str) -> str | None:
-    """The name of the collection's version, if there is one: of two pointers the newer."""
-    fs, at = _fs(spark, f"{folder}/{POINTER}v-*")
-    found = [(f.getModificationTime(), f.getPath().getName()) for f in fs.globStatus(at) or []]
-    return max(found)[1].removeprefix(POINTER) if found else None
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    return [int(name.removesuffix(".json")) for name, _ in _listed(spark, f"{folder}/{MANIFESTS}") if name.endswith(".json")]
 
 
-def upsert(docs: DataFrame, folder: str, embedder: embedding.Embedder, cache: embedding.EmbedCache | None = None, quantised: bool = False) -> None:
-    """Adds ``docs`` (id, document and payload columns) to the collection, which is made if there is none.
+def current(spark: SparkSession, folder: str) -> int | None:
+    """The number of the collection's newest version, if there is one."""
+    return max(versions(spark, folder), default=None)
 
-    Rows of an id that is there already take its place; all others stay as they are, and are not embedded again. The
-    whole collection is written anew: many shards go into collections of their own, which are merged once.
-    """
-    spark = docs.sparkSession
-    old = read(spark, folder) if current(spark, folder) else None
-    docs = docs.dropDuplicates(["id"])
-    if old is None:
-        _write(docs, docs, folder, lambda stored: _vectors(stored, embedder, cache), quantised)
-        return
-    ids = docs.select("id")
-    payload = docs.unionByName(old.payload.join(ids, "id", "left_anti"), allowMissingColumns=True)
 
-    def vectors(stored: DataFrame) -> DataFrame:
-        new = stored.join(ids, "id", "left_semi")
-        return _vectors(new, embedder, cache).select("id", "vector").unionByName(old.vectors.join(ids, "id", "left_anti").select("id", "vector"))
+def _manifest(spark: SparkSession, folder: str, version: int) -> dict:
+    return json.loads(spark.read.text(f"{folder}/{MANIFESTS}/{version:012d}.json", wholetext=True).first()[0])
 
-    _write(payload, docs, folder, vectors, quantised)
 
+def _commit(spark: SparkSession, folder: str, version: int, manifest: dict) -> None:
+    """Makes a version: its file is written aside and then renamed, which fails if there is one of this number."""
+    fs, draft = _fs(spark, f"{folder}/{MANIFESTS}/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    at = _fs(spark, f"{folder}/{MANIFESTS}/{version:012d}.json")[1]
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise Conflict(f"version {version} of {folder} is there already")
 
-def read(spark: SparkSession, folder: str) -> Collection:
-    version = current(spark, folder)
+
+# reading
+
+
+@dataclass(frozen=True)
+class Collection:
+    """One version, whatever is changed meanwhile."""
+
+    spark: SparkSession
+    folder: str
+    version: int
+    manifest: dict
+
+    def _raw(self, segment: dict, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{segment['name']}/{table}").withColumn("segment", F.lit(segment["name"]))
+
+    def _every(self, table: str) -> DataFrame:
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [self._raw(s, table) for s in self.manifest["segments"]])
+
+    @property
+    def dead(self) -> DataFrame | None:
+        """(segment, id, doc, dl) of rows that do not count any more."""
+        names = self.manifest["dead"]
+        return self.spark.read.parquet(*[f"{self.folder}/{n}/rows" for n in names]) if names else None
+
+    def live(self, table: str) -> DataFrame:
+        """Rows that count of payload, vectors or codes; only segments with tombstones are joined to these."""
+        if self.dead is None:
+            return self._every(table)
+        hit = set(self.manifest["touched"])
+        parts = []
+        for s in self.manifest["segments"]:
+            rows = self._raw(s, table)
+            parts.append(rows.join(self.dead.where(F.col("segment") == s["name"]).select("doc"), "doc", "left_anti") if s["name"] in hit else rows)
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+    @property
+    def payload(self) -> DataFrame:
+        return self.live("payload").drop("segment", "doc", "tie", "dl")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.live("vectors")
+
+    @property
+    def codes(self) -> DataFrame | None:
+        return self.live("codes") if self.manifest["segments"] and all(s["coded"] for s in self.manifest["segments"]) else None
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._every("postings")
+
+    @property
+    def n(self) -> int:
+        return self.manifest["n"]
+
+    def term_stats(self) -> DataFrame:
+        """(term, df), exact: of all segments, less what the tombstones take away."""
+        df = self._every("term_stats").select("term", "df")
+        for name in self.manifest["dead"]:
+            df = df.unionByName(self.spark.read.parquet(f"{self.folder}/{name}/terms").select("term", (-F.col("df")).alias("df")))
+        return df.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def stats(self, terms: list[str]) -> postings.Stats:
+        rows = self.term_stats().where(F.col("term").isin(terms)).collect()  # one a term
+        return postings.Stats(float(self.n), self.manifest["length"] / max(1, self.n), {r["term"]: float(r["df"]) for r in rows})
+
+    def search_words(self, terms: list[str], k: int, keep: dict[str, str] | None = None, met: dict | None = None) -> DataFrame:
+        """The ``k`` best (segment, doc, tie, score) by BM25; ``keep`` are values that columns must have."""
+        stats, blocks, inner = self.stats(terms), self.blocks, None
+        for name, value in (keep or {}).items():
+            if name == GROUP:
+                blocks = blocks.where(F.col(name) == value)
+            else:
+                inner = F.col(name) == value if inner is None else inner & (F.col(name) == value)
+        by = GROUP if GROUP in blocks.columns else None
+        return postings.search(blocks, stats, k, by, "segment", inner, self.dead, met=met)
+
+    def search_vector(self, query: list[float], k: int, keep: dict[str, str] | None = None, probes: int | None = None, met: dict | None = None) -> DataFrame:
+        """The ``k`` best (segment, doc, tie, score) by cosine: exact, or, with ``probes``, among so many lists."""
+        vectors, codes = self.vectors, self.codes
+        for name, value in (keep or {}).items():
+            vectors = vectors.where(F.col(name) == value)
+            codes = None if codes is None else codes.where(F.col(name) == value)
+        row = F.struct("segment", "doc", "tie").alias("id")
+        narrow = vectors.select(row, "vector", *(["list", "near"] if "list" in vectors.columns else []))
+        centroids = self.manifest.get("centroids")
+        if codes is not None:
+            found = dense.rescored(narrow, codes.select(row, "code"), query, k)
+        elif centroids and probes:
+            found = ivf.search(narrow, centroids, None, query, k, probes, met=met)
+        else:
+            found = dense.cosine_scores(narrow, query)
+        return postings.best(found.select("id.*", "score"), k)
+
+    def fetch(self, hits: DataFrame) -> DataFrame:
+        """Payload of a few (segment, doc, …): only row groups with one of these numbers are read."""
+        rows = hits.collect()
+        few = self.spark.createDataFrame(rows, hits.schema)
+        wanted: dict[str, list[int]] = {}
+        for r in rows:
+            wanted.setdefault(r["segment"], []).append(r["doc"])
+        parts = [self._raw(s, "payload").where(F.col("doc").isin(wanted[s["name"]])) for s in self.manifest["segments"] if s["name"] in wanted]
+        if not parts:
+            return self._every("payload").join(few.drop("tie"), ["segment", "doc"])
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).join(F.broadcast(few.drop("tie")), ["segment", "doc"])
+
+    def scroll(self, after: str | None, size: int, where: Column | None = None) -> tuple[list, str | None]:
+        """A page of payload rows in stored order, and the cursor to go on from, if there is more.
+
+        The cursor holds the last row's place, so that a page is found by pushed-down comparisons and never by counting.
+        """
+        order = [c for c in (GROUP, *ORDER) if c in self.payload.columns]
+        rows = self.payload if where is None else self.payload.where(where)
+        if after is not None:
+            last = json.loads(bytes.fromhex(after))
+            steps = [reduce(lambda x, y: x & y, [*[F.col(c).eqNullSafe(v) for c, v in zip(order[:i], last)], F.col(order[i]) > last[i]]) for i in range(len(order))]
+            ids = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(v) for c, v in zip(order, last)])
+            rows = rows.where(reduce(lambda x, y: x | y, steps, ids & (F.col("id") > last[-1]))).where(F.col(order[0]) >= last[0])
+        page = rows.orderBy(*order, "id").limit(size + 1).collect()
+        more = len(page) > size
+        page = page[:size]
+        return page, json.dumps([*[page[-1][c] for c in order], page[-1]["id"]]).encode().hex() if more else None
+
+
+def read(spark: SparkSession, folder: str, version: int | None = None) -> Collection:
+    """The newest version, or one that was before and is not deleted yet."""
+    version = current(spark, folder) if version is None else version
     if version is None:
         raise FileNotFoundError(f"no collection in {folder}")
-    t = {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in TABLES}
-    fs, codes = _fs(spark, f"{folder}/{version}/{CODES}")
-    found = spark.read.parquet(f"{folder}/{version}/{CODES}") if fs.exists(codes) else None
-    return Collection(t["payload"], t["vectors"], lexical.LexicalIndex(*[t[n] for n in TABLES[2:]]), found)
+    return Collection(spark, folder, version, _manifest(spark, folder, version))
+
 
+# writing
+
+
+def _vectors(docs: DataFrame, embedder: embedding.Embedder, cache: embedding.EmbedCache | None) -> DataFrame:
+    texts = docs.select("id", F.col("document").alias("text"))
+    if cache is None:
+        return embedding.embed_texts(texts, embedder)
+    cache.fill(texts, embedder)
+    return embedding.lookup(texts, cache.read()).select("id", "vector")
 
-def merge(spark: SparkSession, folders: list[str], out: str, quantised: bool = False) -> int:
+
+def _segment(docs: DataFrame, folder: str, vectors_of, quantised: bool, centroids: list | None, tie: str | None) -> dict:
+    """Writes a segment of (id, document, …); the rows are counted as they are written."""
+    spark = docs.sparkSession
+    name = f"segment-{uuid.uuid4().hex}"
+    at = f"{folder}/{name}"
+    order = [c for c in (GROUP, *ORDER) if c in docs.columns]
+    rows = docs.withColumn("tie", F.col(tie).cast("long") if tie else F.xxhash64("id"))
+    rows = rows.withColumn("dl", F.size(tokens(F.coalesce("document", F.lit("")))))
+    rows = (rows.repartitionByRange(*order, "id").sortWithinPartitions(*order, "id") if order else rows).withColumn("doc", F.monotonically_increasing_id())
+    seen, kinds = Observation(), KINDS if CARRIED in docs.columns else ()
+    counted = [F.count_if(F.col(CARRIED) == kind).alias(kind) for kind in kinds]
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), *counted).write.parquet(f"{at}/payload")
+    stored = spark.read.parquet(f"{at}/payload")
+    named = [c for c in (GROUP, CARRIED) if c in stored.columns]
+    vectors = vectors_of(stored).select("id", "vector").join(stored.select("id", "doc", "tie", *named), "id")
+    if centroids:
+        # a few files a list, and more of a large one
+        ivf.filed(vectors, centroids).hint("rebalance", "list").write.partitionBy("list").parquet(f"{at}/vectors")
+    else:
+        vectors.repartitionByRange("doc").sortWithinPartitions("doc").write.parquet(f"{at}/vectors")
+    if quantised:
+        dense.quantise(spark.read.parquet(f"{at}/vectors")).select("id", "doc", "tie", *named, "code").write.parquet(f"{at}/codes")
+    by = GROUP if GROUP in stored.columns else None
+    postings.write(postings.build(stored, by, tuple(c for c in named if c != GROUP), "document"), f"{at}/postings", by)
+    spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/term_stats")
+    return {"name": name, "rows": seen.get["rows"], "length": seen.get["length"], "kinds": {k: seen.get[k] for k in kinds if seen.get[k]}, "coded": quantised}
+
+
+def _bury(old: Collection, new: DataFrame, folder: str) -> tuple[str | None, dict, int, int]:
+    """Writes tombstones for the rows of ``old`` whose ids ``new`` has: (their table, counts by segment, rows, length)."""
+    spark = old.spark
+    name = f"dead-{uuid.uuid4().hex}"
+    rows = old.live("payload").select("segment", "id", "doc", "dl").join(new.select("id"), "id", "left_semi")
+    rows.write.parquet(f"{folder}/{name}/rows")
+    rows = spark.read.parquet(f"{folder}/{name}/rows")
+    counts = {r["segment"]: r for r in rows.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("length"), F.min("doc").alias("a"), F.max("doc").alias("b")).collect()}
+    if not counts:
+        fs, at = _fs(spark, f"{folder}/{name}")
+        fs.delete(at, True)
+        return None, {}, 0, 0
+    parts = []
+    for s in old.manifest["segments"]:
+        if r := counts.get(s["name"]):  # one row a segment
+            near = old._raw(s, "payload").where(F.col("doc").between(r["a"], r["b"])).select("doc", "document")
+            parts.append(near.join(rows.where(F.col("segment") == s["name"]).select("doc"), "doc", "left_semi"))
+    texts = reduce(DataFrame.unionByName, parts).select(F.array_distinct(tokens(F.coalesce("document", F.lit("")))).alias("ts"))
+    texts.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/{name}/terms")
+    return name, counts, sum(r["n"] for r in counts.values()), sum(r["length"] for r in counts.values())
+
+
+def _last(docs: DataFrame) -> DataFrame:
+    """Of rows with one id the last by place."""
+    place = F.struct(*[c for c in (*ORDER, "document") if c in docs.columns])
+    return embedding.last_wins(docs.withColumn("_place", place), "id", "_place").drop("_place")
+
+
+def upsert(
+    docs: DataFrame, folder: str, embedder: embedding.Embedder, cache: embedding.EmbedCache | None = None, quantised: bool = False, lists: int = 0, tie: str | None = None
+) -> dict:
+    """Adds ``docs`` (id, document and payload columns) to the collection, which is made if there is none.
+
+    Rows of an id that is there already take its place, all others stay as and where they are. Returns the new
+    segment's entry. ``lists``: of a new collection, file vectors under so many centroids. ``tie`` names the column
+    that decides between equal scores.
+    """
+    spark = docs.sparkSession
+    version = current(spark, folder)
+    old = read(spark, folder, version) if version is not None else None
+    base = old.manifest if old else {"segments": [], "dead": [], "touched": [], "n": 0, "length": 0, "centroids": None}
+    centroids = base["centroids"]
+
+    def vectors(stored: DataFrame) -> DataFrame:
+        return _vectors(stored, embedder, cache)
+
+    if lists and not base["segments"]:
+        centroids = ivf.train(vectors(_last(docs)), lists)
+    segment = _segment(_last(docs), folder, vectors, quantised, centroids, tie)
+    manifest = {**base, "centroids": centroids, "segments": [*base["segments"], segment], "n": base["n"] + segment["rows"], "length": base["length"] + segment["length"]}
+    if old:
+        table, touched, n, length = _bury(old, spark.read.parquet(f"{folder}/{segment['name']}/payload"), folder)
+        manifest |= {"dead": base["dead"] + ([table] if table else []), "touched": sorted({*base["touched"], *touched}), "n": manifest["n"] - n, "length": manifest["length"] - length}
+    _commit(spark, folder, (version or 0) + 1, manifest)
+    return segment
+
+
+def _whole(spark: SparkSession, folder: str, payload: DataFrame, vectors: DataFrame, quantised: bool, centroids: list | None, tie: str | None) -> None:
+    """A version of one segment, of rows whose vectors are there."""
+    version = current(spark, folder) or 0
+    segment = _segment(payload, folder, lambda stored: vectors, quantised, centroids, tie)
+    _commit(spark, folder, version + 1, {"segments": [segment], "dead": [], "touched": [], "n": segment["rows"], "length": segment["length"], "centroids": centroids})
+
+
+def compact(spark: SparkSession, folder: str, tie: str | None = None) -> None:
+    """Makes one segment of all rows that count; nothing is embedded again, and readers go on with what they read."""
+    old = read(spark, folder)
+    _whole(spark, folder, old.payload, old.vectors.select("id", "vector"), old.codes is not None, old.manifest["centroids"], tie)
+
+
+def vacuum(spark: SparkSession, folder: str, keep_hours: float = 24 * 7) -> list[str]:
+    """Deletes versions older than ``keep_hours``, but never the newest, and what no version that is left names."""
+    cut = time.time() * 1000 - keep_hours * 3_600_000
+    ages = {int(n.removesuffix(".json")): t for n, t in _listed(spark, f"{folder}/{MANIFESTS}") if n.endswith(".json")}
+    left = {v for v, t in ages.items() if t >= cut or v == max(ages)}
+    named = set()
+    for v in left:
+        m = _manifest(spark, folder, v)
+        named |= {s["name"] for s in m["segments"]} | set(m["dead"])
+    gone = []
+    for v in sorted(set(ages) - left):
+        fs, at = _fs(spark, f"{folder}/{MANIFESTS}/{v:012d}.json")
+        fs.delete(at, False)
+    for name, age in _listed(spark, folder):
+        # what is younger may belong to a change that is not committed yet
+        if name.startswith(("segment-", "dead-")) and name not in named and age < cut:
+            fs, at = _fs(spark, f"{folder}/{name}")
+            fs.delete(at, True)
+            gone.append(name)
+    return gone
+
+
+def merge(spark: SparkSession, folders: list[str], out: str, quantised: bool = False, tie: str | None = None) -> int:
     """Merges collections without embedding anything again; of equal ids the last folder's wins. Returns rows read."""
     parts = [read(spark, f) for f in folders]
-    payload, vectors = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [getattr(c, name).withColumn("_seq", F.lit(i)) for i, c in enumerate(parts)]) for name in ("payload", "vectors"))
-    rows = payload.count()
-    _write(embedding.last_wins(payload, "id", "_seq").drop("_seq"), embedding.last_wins(vectors, "id", "_seq").drop("_seq"), out, quantised=quantised)
-    return rows
+    payload, vectors = (
+        reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [t.withColumn("_seq", F.lit(i)) for i, t in enumerate(tables)])
+        for tables in ([c.payload for c in parts], [c.vectors.select("id", "vector") for c in parts])
+    )
+    _whole(spark, out, embedding.last_wins(payload, "id", "_seq").drop("_seq"), embedding.last_wins(vectors, "id", "_seq").drop("_seq"), quantised, None, tie)
+    return sum(c.n for c in parts)

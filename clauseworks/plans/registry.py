@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from clauseworks.functions import refs as R
 from clauseworks.functions import text as X
-from clauseworks.operators import dense, embedding, fusion, lexical, lookup
+from clauseworks.operators import dense, embedding, fusion, ivf, lexical, lookup, postings
 from clauseworks.plans import index, render
+from clauseworks.plans.engine import Engine
 from clauseworks.sources import corpus, markup
 
 QUERIES: dict = {}
@@ -69,7 +70,7 @@ def bm25_topk_filtered(spark, d):
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_index_topk(spark, d):
-    made = lexical.build(_t(spark, d, "documents"), "doc_id").kept()
+    made = lexical.build_for(_t(spark, d, "documents"), list(TERMS), _scratch(spark), "doc_id")
     return lexical.top(lexical.search_index(made, list(TERMS)), LIMIT).withColumnRenamed("id", "doc_id")
 
 
@@ -445,28 +446,77 @@ def citation_render(spark, d):
     return rows.select("o_orderkey", F.concat(render.head(F.lit("0.50")), render.body()).alias("block"))
 
 
-SAMPLE = """<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act><meta><identification><FRBRExpression><FRBRuri value="/akn/au/act/2001/5/eng@2020-02-03"/></FRBRExpression></identification></meta>
-<body><section eId="sec-1"><num>1</num><heading>Short title</heading><content><p>This Act may be cited as the <i>Sample Act</i> 2001, see section 2.</p></content></section>
-<section eId="sec-2"><num>2</num><subsection eId="sec-2__subsec-1"><content><p>A person must keep the records that Part 3 names.</p></content></subsection><subsection eId="sec-2__subsec-2"><content><p>Too short.</p></content></subsection></section></body>
-<attachments><attachment><hcontainer name="schedule" eId="schedule-1"><hcontainer name="clause" eId="schedule-1__clause-1"><num>1</num><heading>Rates</heading><content><table><tr><td>Fee</td><td>10</td></tr><tr><td/><td>20</td></tr></table></content></hcontainer></hcontainer></attachment></attachments></act></akomaNtoso>"""
+_CORPUS = (
+    '<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act><meta><identification><FRBRExpression><FRBRuri value="%3$s"/></FRBRExpression></identification></meta><body>'
+    '<section eId="sec-1"><num>1</num><heading>Short title</heading><content><p>This is the <i>%1$s</i>, see section 2.</p></content></section>'
+    '<section eId="sec-2"><num>2</num><subsection eId="sec-2__subsec-1"><content><p>Read this with the %2$s and Part 3.</p></content></subsection>'
+    '<subsection eId="sec-2__subsec-2"><content><p>Too short.</p></content></subsection></section></body><attachments><attachment><hcontainer name="schedule" eId="schedule-1">'
+    '<hcontainer name="clause" eId="schedule-1__clause-1"><num>1</num><heading>Rates</heading><content><table><tr><td>%4$s</td><td>%5$s</td></tr><tr><td/><td>20</td></tr></table></content></hcontainer>'
+    "</hcontainer></attachment></attachments></act></akomaNtoso>"
+)
+# a customer's Act: its key in letters, and a year
+_ACT_SQL = "upper(translate({0}::VARCHAR, '0123456789', 'abcdefghij')[1]) || translate({0}::VARCHAR, '0123456789', 'abcdefghij')[2:] || ' Trade Act ' || (1950 + {0} % 50)"
+_ACTS_SQL = f"""a AS (SELECT c_custkey AS k, {_ACT_SQL.format("c_custkey")} AS act, {_ACT_SQL.format("(c_custkey + 1)")} AS other, '/akn/au/act/' || (1950 + c_custkey % 50) || '/' || c_custkey || '/eng@2020-02-03' AS uri,
+ c_mktsegment AS seg, CAST(c_nationkey AS VARCHAR) AS nation, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE '/akn/au/act/' || (1950 + c_custkey % 50) || '/' || c_custkey END AS listed FROM customer)"""
+
+
+def _act_name(key: Column) -> Column:
+    letters = F.translate(key.cast("string"), "0123456789", "abcdefghij")
+    return F.concat(F.upper(F.substring(letters, 1, 1)), F.substring(letters, 2, 100), F.lit(" Trade Act "), (1950 + key % 50).cast("string"))
 
 
-@query("""SELECT * FROM (VALUES ('section', 'sec-1', '1', 'Short title', '1 Short title This Act may be cited as the Sample Act 2001, see section 2.', '#sec-2|unresolved:Sample Act 2001'),
- ('section', 'sec-2', '2', NULL, '2 A person must keep the records that Part 3 names. Too short.', '#part-3'),
- ('subsection', 'sec-2__subsec-1', '2(1', NULL, 'A person must keep the records that Part 3 names.', '#part-3'),
- ('schedule_clause', 'schedule-1__clause-1', '1', 'Rates', '1 Rates Fee | 10 20', '')) AS t(provision_type, eid, provision_num, heading, text, refs)""")
+def _act_files(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents of record made of customers, each citing the next one's, and the index by which three in four of them are resolved."""
+    c = _t(spark, d, "customer")
+    key = F.col("c_custkey")
+    short = F.concat(F.lit("/akn/au/act/"), (1950 + key % 50).cast("string"), F.lit("/"), key.cast("string"))
+    xml = F.format_string(_CORPUS, _act_name(key), _act_name(key + 1), F.concat(short, F.lit("/eng@2020-02-03")), F.col("c_mktsegment"), _str("c_nationkey"))
+    files = c.select(key.cast("int").alias("act_ord"), _act_name(key).alias("act_name"), F.encode(xml, "UTF-8").alias("content"))
+    return files, c.where(key % 4 != 3).select(_act_name(key).alias("name"), short.alias("uri"))
+
+
+@query(f"""WITH {_ACTS_SQL}, r AS (SELECT a.*, coalesce(b.listed, 'unresolved:' || a.other) AS other_ref, coalesce(a.listed, 'unresolved:' || a.act) AS own_ref FROM a LEFT JOIN a b ON a.other = b.act)
+SELECT act AS act_name, uri AS frbr_uri, 'section' AS provision_type, 'sec-1' AS eid, '1' AS provision_num, 'Short title' AS heading, '1 Short title This is the ' || act || ' , see section 2.' AS text, '#sec-2|' || own_ref AS refs FROM r
+UNION ALL SELECT act, uri, 'section', 'sec-2', '2', NULL, '2 Read this with the ' || other || ' and Part 3. Too short.', '#part-3|' || other_ref FROM r
+UNION ALL SELECT act, uri, 'subsection', 'sec-2__subsec-1', '2(1', NULL, 'Read this with the ' || other || ' and Part 3.', '#part-3|' || other_ref FROM r
+UNION ALL SELECT act, uri, 'schedule_clause', 'schedule-1__clause-1', '1', 'Rates', '1 Rates ' || seg || ' | ' || nation || ' 20', '' FROM r""")
 def akn_provisions(spark, d):
-    files = spark.createDataFrame([(0, "Sample Act 2001", bytearray(SAMPLE.encode()))], "act_ord int, act_name string, content binary")
-    none = spark.createDataFrame([], "name string, uri string")
-    rows = R.with_refs(markup.parse(files), none, ["act_ord", "kind_ord", "prov_ord"])
-    return rows.select("provision_type", "eid", "provision_num", "heading", "text", F.array_join("refs", "|").alias("refs"))
+    """Documents with tables, schedules, URIs and citations of one another."""
+    files, index_of = _act_files(spark, d)
+    rows = R.with_refs(markup.parse(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "act_ord")), index_of, ["act_ord", "kind_ord", "prov_ord"])
+    return rows.select("act_name", "frbr_uri", "provision_type", "eid", "provision_num", "heading", "text", F.array_join("refs", "|").alias("refs"))
+
+
+@query(f"""WITH {_ACTS_SQL} SELECT act AS act_name, uri AS frbr_uri, 'schedule-1__clause-1' AS eid, '1 Rates ' || seg || ' | ' || nation || ' 20' AS text FROM a""")
+def akn_lateral(spark, d):
+    """The parser as a table function in SQL."""
+    files, _ = _act_files(spark, d)
+    markup.register(spark)
+    sql = "SELECT f.act_name, p.frbr_uri, p.eid, p.text FROM {files} f, LATERAL akn_provisions(f.content) p WHERE p.provision_type = 'schedule_clause'"
+    return spark.sql(sql, files=files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "act_ord"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'b', 'B Act 1999', 'x/b.xml', NULL), (1, 'a', 'A Act 2000', 'x/a.xml', '/akn/a')) AS t(act_ord, slug, name, xml_path, frbr_expression_uri)""")
+@query(f"""WITH {_ACTS_SQL} SELECT act AS act_name, CAST(1950 + k % 50 AS INT) AS year, '2020-02-03' AS as_at_date, CAST(2 AS BIGINT) AS section_count, CAST(1 AS BIGINT) AS schedule_clause_count FROM a""")
+def akn_roll_up(spark, d):
+    files, _ = _act_files(spark, d)
+    rows = markup.parse(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "act_ord"))
+    return corpus.roll_up(rows).select("act_name", "year", "as_at_date", "section_count", "schedule_clause_count")
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT CAST(i - 1 AS INT) AS act_ord, 'k' || s_suppkey AS slug, s_name AS name, 'x/' || s_suppkey || '.xml' AS xml_path, CASE WHEN s_suppkey % 2 = 0 THEN '/akn/' || s_suppkey END AS frbr_expression_uri FROM s""")
 def corpus_index(spark, d):
     """File order is kept, and an entry without a name is passed over."""
-    raw = '{"acts": {"b": {"name": "B Act 1999", "xml_path": "x/b.xml"}, "n": {"xml_path": "x/n.xml"}, "a": {"name": "A Act 2000", "xml_path": "x/a.xml", "frbr_expression_uri": "/akn/a"}}}'
-    return corpus.index_rows(spark.createDataFrame([(raw,)], "value string")).select("act_ord", "slug", "name", "xml_path", "frbr_expression_uri")
+    key = _str("s_suppkey")
+    entry = F.map_filter(
+        F.create_map(F.lit("name"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")), F.lit("xml_path"), F.concat(F.lit("x/"), key, F.lit(".xml")), F.lit("frbr_expression_uri"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("/akn/"), key))),
+        lambda k, v: v.isNotNull(),
+    )
+    # an index is one file, of as many entries as there are documents of record
+    part = F.struct("s_suppkey", F.concat(F.lit('"k'), key, F.lit('": '), F.to_json(entry)).alias("json"))
+    file = _t(spark, d, "supplier").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["json"]), ", ").alias("body"))
+    raw = file.select(F.concat(F.lit('{"acts": {'), "body", F.lit("}}")).alias("value"))
+    return corpus.index_rows(raw).select("act_ord", "slug", "name", "xml_path", "frbr_expression_uri")
 
 
 @query(f"{_KEY} SELECT doc_id, {_KEY_TEXT} AS key, 64 AS dim FROM k")
@@ -512,26 +562,150 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
-def _store(spark, d) -> index.Collection:
-    """Documents as provisions: put in two overlapping shards into one store, which is merged with a third."""
-    docs = _t(spark, d, "documents").select(
-        F.col("source").alias("act_name"), F.lit("").alias("frbr_uri"), F.lit("section").alias("provision_type"), F.concat(F.lit("sec-"), _str("doc_id")).alias("eid"),
+def _provisions(spark, d) -> DataFrame:
+    """Documents as provisions, with the language as their kind."""
+    return _t(spark, d, "documents").select(
+        F.coalesce("source", F.lit("")).alias("act_name"), F.lit("").alias("frbr_uri"), F.coalesce("lang", F.lit("")).alias("provision_type"), F.concat(F.lit("sec-"), _str("doc_id")).alias("eid"),
         F.lit(0).alias("act_ord"), F.lit(0).alias("kind_ord"), F.col("doc_id").alias("prov_ord"), "text", F.array().cast("array<string>").alias("terms"), "doc_id", "lang",
     )
-    at, embedder = _scratch(spark), embedding.HashingEmbedder()
+
+
+class VowelEmbedder:
+    """How often each of five letters is in a text, and once more: an embedder that SQL can express."""
+
+    name, dim = "vowels", 5
+
+    def embed(self, texts: list[str], kind: str) -> list[list[float]]:
+        return [[1.0 + t.count(v) for v in "aeiou"] for t in texts]
+
+
+def _store(spark, d) -> index.Collection:
+    """Documents as provisions: put in two overlapping shards into one store, which is merged with a third."""
+    docs, at, embedder = _provisions(spark, d), _scratch(spark), VowelEmbedder()
     for name, keep in (("a", F.col("doc_id") % 3 == 0), ("a", (F.col("doc_id") % 3 == 1) | (F.col("doc_id") % 2 == 0)), ("b", (F.col("doc_id") % 3 == 2) | (F.col("doc_id") % 5 == 0))):
-        index.upsert(index.provision_documents(docs.where(keep)), f"{at}/{name}", embedder)
-    index.merge(spark, [f"{at}/a", f"{at}/b"], f"{at}/all")
+        index.upsert(index.provision_documents(docs.where(keep)), f"{at}/{name}", embedder, tie="doc_id")
+    index.merge(spark, [f"{at}/a", f"{at}/b"], f"{at}/all", tie="doc_id")
     return index.read(spark, f"{at}/all")
 
 
+def _changed(spark, d) -> index.Collection:
+    """Documents in two segments, of which the second takes the place of a third of the first with longer texts."""
+    docs, at = _provisions(spark, d), _scratch(spark)
+    index.upsert(index.provision_documents(docs), at, VowelEmbedder(), tie="doc_id")
+    newer = docs.where("doc_id % 3 = 1").withColumn("text", F.concat("text", F.lit(" and the end of it")))
+    index.upsert(index.provision_documents(newer), at, VowelEmbedder(), tie="doc_id")
+    return index.read(spark, at)
+
+
+_CHANGED = "documents AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 1 THEN text || ' and the end of it' ELSE text END AS text FROM main.documents)"
+
+
+@query(f"WITH {_CHANGED} SELECT doc_id, md5(text) AS text_md5, md5(text) AS document_md5 FROM documents")
+def store_versions(spark, d):
+    """Rows that count after a change: segments less their tombstones."""
+    rows = _changed(spark, d).payload
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.md5(F.col("document").cast("binary")).alias("document_md5"))
+
+
+@query(f"WITH {_CHANGED}, {_BM25} SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10")
+def store_changed_search(spark, d):
+    """BM25 after a change: counts and lengths are those of rows that count, by blocks that may matter."""
+    return _named(_changed(spark, d).search_words(list(TERMS), LIMIT))
+
+
+@query(f"WITH {_CHANGED}, t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(*) AS df FROM t GROUP BY term")
+def store_term_stats(spark, d):
+    return _changed(spark, d).term_stats()
+
+
+def _named(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("tie").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_BM25} SELECT doc_id, score FROM sc WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 10")
 def store_search(spark, d):
     """BM25 with a filter over a store that was filled by upserts and a merge: as over all documents at once."""
-    store = _store(spark, d)
-    found = lexical.search_index(store.lexical, list(TERMS), among=store.payload.where("lang = 'en'"))
-    named = found.join(store.payload.select("id", "doc_id"), "id").select(F.col("doc_id").alias("id"), "score")
-    return lexical.top(named, LIMIT).withColumnRenamed("id", "doc_id")
+    return _named(_store(spark, d).search_words(list(TERMS), LIMIT, {"provision_type": "en"}))
+
+
+_VOWELS = "[1.0 + length(text) - length(replace(text, 'a', ''))" + "".join(f", 1.0 + length(text) - length(replace(text, '{v}', ''))" for v in "eiou") + "]"
+
+
+@query(
+    f"""WITH {_BM25}, o AS (SELECT source AS act FROM documents WHERE lang = 'en' AND source IS NOT NULL ORDER BY doc_id LIMIT 1), qv AS (SELECT {_VOWELS} AS q FROM (SELECT 'thing of and' AS text)),
+dn AS (SELECT doc_id, round(list_cosine_similarity(CAST({_VOWELS} AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS score FROM documents, qv, o WHERE lang = 'en' AND source = act),
+a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM sc WHERE doc_id IN (SELECT doc_id FROM dn) ORDER BY score DESC, doc_id LIMIT 10),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM dn ORDER BY score DESC, doc_id LIMIT 10),
+f AS (SELECT doc_id, sum(1.0 / (60.0 + r)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id),
+k AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f ORDER BY score DESC, doc_id LIMIT 5)
+SELECT CAST(rank AS INT) AS rank, '[' || act || '  s  (sec-' || doc_id || ') score=' || printf('%.2f', score) || ']' || chr(10) || text AS block FROM k JOIN documents USING (doc_id), o"""
+)
+def engine_hybrid(spark, d):
+    """Ingest in two parts, hybrid search with two filters, and rendering with the scores that it gives."""
+    at = _scratch(spark)
+    act = _t(spark, d, "documents").where("lang = 'en' AND source IS NOT NULL").orderBy("doc_id").select("source").first()["source"]
+    docs = _provisions(spark, d).withColumn("provision_num", F.lit("")).withColumn("heading", F.lit(None).cast("string")).withColumn("refs", F.array().cast("array<string>"))
+    engine = Engine(spark, at, VowelEmbedder())
+    for keep in ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id % 10 = 0"):
+        index.upsert(index.provision_documents(docs.where(keep)), f"{at}/{index.PROVISIONS}", engine.embedder, tie="doc_id")
+    return render.blocks(engine.search_provisions("thing of and", 5, act, "en"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_blocks_topk(spark, d):
+    """Over postings in blocks: ranges whose bound is below the tenth best score are passed over."""
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("tie"), "text")
+    at = _scratch(spark)
+    postings.write(postings.build(rows), at)
+    blocks = spark.read.parquet(at)
+    whole = rows.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.coalesce("text", F.lit(""))))).alias("avgdl")).first()
+    df = blocks.where(F.col("term").isin(list(TERMS))).groupBy("term").agg(F.sum("n").alias("df")).collect()
+    stats = postings.Stats(whole["n"], whole["avgdl"], {r["term"]: r["df"] for r in df})
+    return _named(postings.search(blocks, stats, LIMIT, first=4))
+
+
+_MANY = rf"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS}) AS term FROM benchmark), t AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t), p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT qid, doc_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY qid, doc_id)
+SELECT qid, CAST(r AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 5"""
+
+
+@query(_MANY)
+def bm25_many(spark, d):
+    """Every text of the benchmark as a query over all documents, in one job."""
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("tie"), "text")
+    at = _scratch(spark)
+    postings.write(postings.build(rows), at)
+    blocks = spark.read.parquet(at)
+    whole = rows.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.coalesce("text", F.lit(""))))).alias("avgdl")).first()
+    queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    found = postings.search_many(blocks, queries, postings.Stats(whole["n"], whole["avgdl"]), df, 5)
+    return found.select("qid", "rank", F.col("tie").alias("doc_id"), "score")
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT label AS qid, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY label, i) GROUP BY label),
+s AS (SELECT qid, vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q)
+SELECT qid, CAST(r AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""")
+def dense_many(spark, d):
+    """The mean vector of each label as a query over all vectors, in one job."""
+    v = _vectors(spark, d)
+    means = v.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = means.groupBy(F.col("label").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
+    return dense.search_many(v, means, 5).select("qid", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_COS} SELECT vec_id, score FROM dn ORDER BY score DESC, vec_id LIMIT 10")
+def dense_index_topk(spark, d):
+    """Over vectors in lists: the nearest list first, then those that may hold a better one."""
+    v, at = _vectors(spark, d), _scratch(spark)
+    centroids = ivf.train(v, 16, rounds=5)
+    ivf.filed(v, centroids).write.partitionBy("list").parquet(at)
+    filed = spark.read.parquet(at)
+    found = ivf.search(filed, centroids, ivf.list_stats(filed), _query_vector(v), LIMIT, 1, exact=True)
+    return lexical.top(found, LIMIT).withColumnRenamed("id", "vec_id")
 
 
 @query("SELECT count(*) AS rows, count(*) AS vectors, CAST(count(DISTINCT source) AS BIGINT) AS acts FROM documents")

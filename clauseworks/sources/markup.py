@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 from clauseworks.schemas import PARSED
 
@@ -109,6 +110,25 @@ def provisions(content: bytes) -> list[tuple[str | None, int, int, str, str, str
     return out
 
 
+class Provisions:
+    """The parser as a table function: ``register(spark)``, then ``SELECT … FROM files, LATERAL akn_provisions(content)``.
+
+    A content that is null gives no row.
+    """
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        if content is not None:
+            yield from provisions(bytes(content))
+
+
+#: What the table function returns, for each provision of a document.
+FUNCTION = "frbr_uri string, kind_ord int, prov_ord int, eid string, provision_num string, provision_type string, heading string, text string"
+
+
+def register(spark: SparkSession, name: str = "akn_provisions") -> None:
+    spark.udtf.register(name, udtf(Provisions, returnType=FUNCTION))
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Provision rows of ``files`` (act_ord, act_name, content). Filter files before, not after."""
 

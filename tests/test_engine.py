@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import os
 import threading
 from urllib.request import urlopen
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseworks.operators import dense, embedding, fusion, lexical
-from clauseworks.plans import cli, index, render, service
+from clauseworks.plans import cli, index, render, service, shards
 from clauseworks.plans.engine import Engine, NotFound
 from clauseworks.sources import corpus, markup
 from clauseworks.streaming.ingest import embed_stream
@@ -187,10 +188,17 @@ def test_passages_and_queries_are_embedded_as_such(spark, monkeypatch):
     stored = embedding.embed_texts(spark.createDataFrame([("i", "abc")], "id string, text string"), Kinds())
     assert stored.first()["vector"] == [4.0, 1.0, 0.0]
     asked = []
-    monkeypatch.setattr(dense, "cosine_scores", lambda vectors, q: asked.append(q) or vectors.selectExpr("id", "1d as score"))
+
+    class One:
+        def search_vector(self, query, k, keep=None, probes=None):
+            asked.append(query)
+            return spark.createDataFrame([("s", 1, 1, 0.5)], "segment string, doc long, tie long, score double")
+
+        def fetch(self, hits):
+            return hits
+
     monkeypatch.setattr(lexical, "query_terms", lambda spark, q: [])
-    payload = spark.createDataFrame([("i", "a")], "id string, act_name string")
-    monkeypatch.setattr(index, "read", lambda spark, folder: index.Collection(payload, stored, None))
+    monkeypatch.setattr(index, "read", lambda spark, folder: One())
     assert Engine(spark, "none", Kinds())._hybrid("x", "abc", 1).count() == 1
     assert asked == [[1.0, 0.0, 1.0]]
 
@@ -211,25 +219,45 @@ def test_shards_into_one_store_make_the_whole(spark, engine, corpus_dir, tmp_pat
         out = {}
         for name in (index.PROVISIONS, index.ACTS):
             c = index.read(spark, f"{e.storage}/{name}")
-            parts = {"payload": c.payload.select("id", "document"), "vectors": c.vectors.select("id", "vector"), "postings": c.lexical.postings, "df": c.lexical.term_stats, "n": c.lexical.coll_stats}
+            parts = {"payload": c.payload.select("id", "document"), "vectors": c.vectors.select("id", "vector"), "df": c.term_stats(), "n": spark.createDataFrame([(c.n, c.manifest["length"])], "n long, length long")}
             out[name] = {k: sorted(map(repr, (tuple(sorted(r.asDict().items())) for r in df.collect()))) for k, df in parts.items()}
         return out
 
     assert tables(one) == tables(engine)
-    # readers of a version that failed half-way see the one before
-    with pytest.raises(Exception, match="vectors"):
-        index._write(spark.range(1).selectExpr("'x' as act_name", "'i' as id", "'d' as document"), None, f"{one.storage}/{index.ACTS}", lambda stored: stored.selectExpr("assert_true(false, 'no vectors')"))
+    # a change that fails half-way changes nothing
+    with pytest.raises(Exception, match="no vectors"):
+        broken = spark.range(1).selectExpr("'x' as act_name", "'i' as id", "'d' as document")
+        index._segment(broken, f"{one.storage}/{index.ACTS}", lambda stored: stored.selectExpr("id", "assert_true(false, 'no vectors') as vector"), False, None, None)
     assert tables(one) == tables(engine)
 
 
-def test_a_merged_store_is_ranged_as_one_that_was_built(spark, tmp_path):
-    rows = spark.createDataFrame([(f"i{i}", f"Act {i % 7}", f"word{i} common", i, 0, 0) for i in range(300)], "id string, act_name string, document string, act_ord int, kind_ord int, prov_ord int")
-    index.upsert(rows, str(tmp_path / "a"), embedding.HashingEmbedder())
-    index.merge(spark, [str(tmp_path / "a")], str(tmp_path / "b"))
-    for folder in ("a", "b"):
-        c = index.read(spark, str(tmp_path / folder))
-        ranges = [(r["lo"], r["hi"]) for r in c.lexical.postings.groupBy(F.input_file_name().alias("f")).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).orderBy("lo").collect()]
-        assert all(x[1] <= y[0] for x, y in zip(ranges, ranges[1:]))
+def test_a_shard_that_fails_stops_no_other(spark, engine, corpus_dir, tmp_path):
+    folder = tmp_path / "corpus"
+    folder.mkdir()
+    for f in os.listdir(corpus_dir):
+        (folder / f).write_bytes(open(os.path.join(corpus_dir, f), "rb").read())
+    good = (folder / "spam.xml").read_bytes()
+    (folder / "spam.xml").write_text("<broken")
+    e = Engine(spark, str(tmp_path / "s"))
+    report = shards.ingest(e, str(folder), 1)
+    assert (report["shards"], report["done"]) == (3, 2) and list(report["failed"]) == [1] and report["provisions"] == 6
+    assert e.act_provisions("Spam Act 2003").count() == 0 and e.act_provisions("Bare Act 2000").count() == 2
+    (folder / "spam.xml").write_bytes(good)
+    done = []
+    whole = e.ingest
+    e.ingest = lambda corpus_dir, cache, shard: done.append(shard) or whole(corpus_dir, cache, shard)
+    report = shards.ingest(e, str(folder), 1)
+    assert done == [(1, 1)] and report["failed"] == {} and report["provisions"] == 7
+    assert shards.ingest(e, str(folder), 1)["done"] == 3 and len(done) == 1
+    ids = lambda x: {r["id"] for r in index.read(spark, f"{x.storage}/{index.PROVISIONS}").payload.select("id").collect()}
+    assert ids(e) == ids(engine)
+
+
+def test_the_parser_in_sql(spark):
+    markup.register(spark)
+    spark.createDataFrame([(1, bytearray(PRIVACY.encode())), (2, None)], "k int, content binary").createOrReplaceTempView("akn_files")
+    rows = spark.sql("SELECT k, eid, text FROM akn_files, LATERAL akn_provisions(content) ORDER BY kind_ord, prov_ord").collect()
+    assert [(r["k"], r["eid"]) for r in rows] == [(1, e) for e in ("sec-10", "sec-6", "sec-6__subsec-1", "schedule-1__clause-1")]
 
 
 def test_shards_merge_to_the_whole(spark, engine, corpus_dir, tmp_path):
