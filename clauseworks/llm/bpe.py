@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseworks.llm.chunks import Pieces, small_batches
+from clauseworks.llm.chunks import Pieces, held, small_batches
 
 # The pattern that splits a text into words, with white space spelt out.
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -162,14 +161,21 @@ class Bpe:
         return self._bytes[np.repeat(self._at[ids] - first, sizes) + np.arange(total)].tobytes().decode("utf-8", "replace")
 
 
-@cache
+def _kept(path: str) -> tuple[Bpe, Pieces]:
+    def make() -> tuple[Bpe, Pieces]:
+        bpe = Bpe(path)
+        return bpe, Pieces(bpe.encode_strings)
+
+    return held(("bpe", path), make)
+
+
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    return _kept(path)[0]
 
 
-@cache
 def coder(path: str) -> Pieces:
-    return Pieces(load(path).encode_strings)
+    """The pieces that were encoded, kept with the vocabulary's merges from task to task in a Python worker."""
+    return _kept(path)[1]
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -183,7 +189,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     out = out.add("n_tokens", T.LongType()).add("ids", T.BinaryType()).add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pieces = load(path), coder(path)
+        bpe, pieces = _kept(path)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             ids = pieces.encode_all([t or "" for t in texts])

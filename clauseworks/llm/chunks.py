@@ -20,6 +20,19 @@ _MARKS = ".,;:!?"
 
 Encode = Callable[[list[str]], list[bytes]]
 
+_held: list[tuple[object, object]] = []
+
+
+def held(key: object, make: Callable[[], object]):
+    """What ``make`` gives for ``key``, kept for the next tasks of a Python worker, which keeps one such thing at a time.
+
+    Workers serve one stage after another: what an earlier one was built for would stay beside what the next one needs.
+    """
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, make()))
+    return _held[0][1]
+
 
 def small_batches(spark, rows: int = ROWS) -> None:
     """Lowers the rows of an Arrow batch, as these may hold long texts."""

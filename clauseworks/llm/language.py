@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseworks.llm.chunks import small_batches
+from clauseworks.llm.chunks import held, small_batches
 from clauseworks.llm.common import column, drop_written, numbered, written
 
 #: Characters learned from for each language, and for all together; texts that a language's may come from, and
@@ -177,16 +177,9 @@ class Parser:
         return langs, scores, bits
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser(samples: dict[str, str]) -> Parser:
     """The parser of these samples, built once in a Python worker."""
-    key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    return held(hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest(), lambda: Parser(samples))
 
 
 def held_out(doc_id: Column) -> Column:
