@@ -5,7 +5,9 @@ binary search over the sorted pair keys, each word's lowest-ranked pair is merge
 and words without a pair that merges leave the array. Ids equal those of the tokenizers library for the same file.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; the string of a special token in a
-text becomes that token; repeated rows are encoded each; columns besides the text pass through.
+text becomes that token; repeated rows are encoded each; columns besides the text pass through;
+an empty table gives no rows; texts of any length are encoded whole, in slices of about ``SLICE`` characters, but one word
+of hundreds of thousands of letters takes more than linear time (8 seconds for 400,000).
 """
 
 from __future__ import annotations

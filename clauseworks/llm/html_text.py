@@ -17,7 +17,8 @@ comments section that is closed later on is none of the page's.
 Time is linear in the page's length, whatever its markup.
 
 Defined cases: null, empty or textless html gives an empty text; markup cut off or badly nested is read as far as
-it goes; html without tags is one line; repeated rows are read each.
+it goes; html without tags is one line; repeated rows are read each; an empty table gives no rows;
+pages of any length are read whole.
 """
 
 from __future__ import annotations

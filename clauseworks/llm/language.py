@@ -10,7 +10,7 @@ Letters are folded to lower case; a run of other characters counts as one space.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; equal entropies go to the language
 that comes first; no labelled row at all makes every text ``und``; a null id is never held out and never learned
-from; repeated rows are judged each.
+from; repeated rows are judged each; an empty table gives no rows; texts of any length are parsed whole.
 """
 
 from __future__ import annotations

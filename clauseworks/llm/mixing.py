@@ -7,7 +7,8 @@ that at the cut each source has been served in proportion to its target, within
 Defined cases: a null or empty text has size 0 and is never repeated beyond its one zero-word row; a null source
 is a source of its own, last in order; repeated rows are rows of their own; a table without words gets targets 0
 and takes nothing; rows of one id are told apart by their text and then by their source, and what is still equal is
-interchangeable, so that reruns agree in whatever order and files the rows come.
+interchangeable, so that reruns agree in whatever order and files the rows come; an empty table gives no rows;
+a very long text is one document, taken whole or not at all.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ bits: a node's id has 64 of them, and where the others differ (some three times
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; repeated rows are
 documents of one node; documents of one id are told apart by their text; a null id counts as greater than any other
-and stands alone as null; an empty table gives an empty result.
+and stands alone as null; an empty table gives an empty result; a text of any length has its
+whole set.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ of failure is shrunk towards the mean of all by a beta prior fitted to the hosts
 above ``MAX_RATE`` takes its other documents with it. In ``documents`` the host is ``source``.
 
 Defined cases: a null or empty text has no words, and so fails; a null host is a host of its own; repeated rows
-count each; with no host, or hosts that differ no more than chance, the prior holds ``MAX_PRIOR`` documents.
+count each; with no host, or hosts that differ no more than chance, the prior holds ``MAX_PRIOR`` documents; an empty
+table gives no rows; a text of any length is measured whole, in memory that grows with it.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ so that a file is written as a stream, any id is found by its block's place, and
 operations.
 
 Defined cases: a null or empty text gives the end id alone; a null doc_id comes first and stays null; repeated
-rows stand side by side; an empty table gives no file and no row.
+rows stand side by side; an empty table gives no file and no row; texts of any length are encoded whole and may
+span many blocks of a file.
 """
 
 from __future__ import annotations

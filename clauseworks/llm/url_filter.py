@@ -7,7 +7,7 @@ before one that blocks, and a URL that no pattern fits is allowed.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed; repeated
 rows are judged each; an empty table gives an empty result; a rule without a whole literal token is tried on
-every URL.
+every URL; of rules of equal length that fit, the greater by code point counts; a URL of any length is read whole.
 """
 
 from __future__ import annotations
