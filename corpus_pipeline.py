@@ -2,6 +2,11 @@
 
 Each stage's result is written as Parquet to the shared folder and read again, so that a lost executor never costs
 more than a stage; then what the stage itself wrote, and the result before, are deleted. All stages but the last return the columns of ``documents``.
+
+Defined cases, beside those of the operators' modules: a null or empty text fails the quality rules and goes; repeated rows
+are near duplicates, of which one stays; rows of one id stay apart by their texts; a null source is a source of its own; a
+table without labels keeps all texts with letters; texts of any length go through whole; columns of any name pass through;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
