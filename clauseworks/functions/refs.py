@@ -51,16 +51,28 @@ def cited_instruments(text: Column) -> Column:
     return F.transform(_all(text, OTHER_INSTRUMENT, 1), lambda n: F.concat(F.lit(UNRESOLVED), n))
 
 
+#: Documents of record of an index that goes along with every row as one map; a larger index is joined.
+MAX_MAP = 5_000
+
+
 def with_refs(rows: DataFrame, index: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``rows`` and ``refs``. ``index`` has (name, uri), one row a name; ``key`` tells rows apart.
 
-    Only rows that cite an Act by name take part in the join; a URI that is empty counts as resolved.
+    Names are looked up in a map of the whole index, which is one broadcast row, so that no text is shuffled and ``rows``
+    are worked out once. With more than ``MAX_MAP`` names, rows that cite an Act are joined to the index instead. A URI
+    that is empty counts as resolved.
     """
     t = F.col(text)
+    none = F.array().cast("array<string>")
+    index = index.where(F.col("name").isNotNull())
+    if index.limit(MAX_MAP + 1).count() <= MAX_MAP:
+        book = index.agg(F.map_from_entries(F.collect_list(F.struct("name", "uri"))).alias("_book"))
+        acts = F.transform(cited_acts(t), lambda n: F.coalesce(F.try_element_at(F.col("_book"), n), F.concat(F.lit(UNRESOLVED), n)))
+        refs = F.array_distinct(F.concat(internal_refs(t), acts, cited_instruments(t)))
+        return rows.crossJoin(F.broadcast(book)).withColumn("refs", F.coalesce(refs, none)).drop("_book")  # one row
     named = rows.select(*key, F.posexplode(cited_acts(t)).alias("_pos", "_name"))
     found = named.join(index.select(F.col("name").alias("_name"), F.col("uri").alias("_uri")), "_name", "left")
     found = found.withColumn("_ref", F.coalesce("_uri", F.concat(F.lit(UNRESOLVED), "_name")))
     acts = found.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_ref"))), lambda s: s["_ref"]).alias("_acts"))
-    none = F.array().cast("array<string>")
     refs = F.array_distinct(F.concat(internal_refs(t), F.coalesce("_acts", none), cited_instruments(t)))
     return rows.join(acts, key, "left").withColumn("refs", F.coalesce(refs, none)).drop("_acts")

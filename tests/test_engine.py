@@ -5,6 +5,7 @@ import json
 import math
 import os
 import threading
+from datetime import datetime
 from urllib.request import urlopen
 
 import pytest
@@ -14,7 +15,7 @@ from clauseworks.operators import dense, embedding, fusion, lexical
 from clauseworks.plans import cli, index, render, service, shards
 from clauseworks.plans.engine import Engine, NotFound
 from clauseworks.sources import corpus, markup
-from clauseworks.streaming.ingest import embed_stream
+from clauseworks.streaming.ingest import embed_stream, late_rows, upsert_stream
 
 NS = 'xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"'
 
@@ -369,3 +370,22 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("vector").isNotNull()).count() == 3
     assert embedding.EmbedCache(spark, str(tmp_path / "cache")).read().count() == 2
+
+
+def test_versions_arrive_late_twice_and_in_any_order(spark, tmp_path):
+    schema = "id string, version long, ts timestamp, act_name string, document string"
+    at = lambda day: datetime(2024, 1, day)
+    batches = [
+        [("a", 1, at(1), "X", "a one"), ("b", 3, at(2), "X", "b three"), ("a", 1, at(1), "X", "a one")],
+        [("b", 2, at(1), "X", "b two"), ("a", 2, at(3), "X", "a two"), ("c", 1, at(3), "Y", "c one")],
+        [("a", 1, at(1), "X", "a one"), ("c", 2, at(4), "Y", "c two"), (None, 1, at(4), "Y", "none")],
+        [("a", 9, datetime(2023, 1, 1), "X", "too late")],
+    ]
+    folder, dropped = str(tmp_path / "store"), 0
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"in/{i}"))
+        q = upsert_stream(spark, str(tmp_path / "in/*"), schema, folder, str(tmp_path / "cp"), embedding.HashingEmbedder(), "30 days")
+        assert q.awaitTermination(180)
+        dropped += late_rows(q)
+    kept = {r["id"]: (r["version"], r["document"]) for r in index.read(spark, folder).payload.collect()}
+    assert kept == {"a": (2, "a two"), "b": (3, "b three"), "c": (2, "c two")} and dropped == 1
