@@ -7,13 +7,18 @@ are kept, up to a set number of them, from batch to batch in a Python worker.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from itertools import islice
 
-#: Pieces kept in a worker, characters cut into pieces at a time, and rows in an Arrow batch: bounds of memory.
+import pyarrow as pa
+
+#: Pieces kept in a worker, characters cut into pieces at a time, and rows and bytes in an Arrow batch: bounds of memory.
 MAX_KEPT = 300_000
 SLICE = 1_000_000
 ROWS = 1_000
+BATCH_BYTES = 8_000_000
 
 #: Marks at a piece's end that a byte-level BPE takes apart from the letter or digit before.
 _MARKS = ".,;:!?"
@@ -29,17 +34,29 @@ def held(key: object, make: Callable[[], object]):
     Workers serve one stage after another: what an earlier one was built for would stay beside what the next one needs.
     """
     if not _held or _held[0][0] != key:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held.append((key, make()))
+        _give_back()  # what making it took
     return _held[0][1]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as far as the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small_batches(spark, rows: int = ROWS) -> None:
-    """Lowers the rows of an Arrow batch, as these may hold long texts."""
+    """Lowers the rows and the bytes of an Arrow batch, as these may hold long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slices(text: str, size: int = SLICE) -> Iterator[str]:

@@ -208,7 +208,7 @@ def learn(docs: DataFrame) -> dict[str, str]:
     return {k: v for k, v in samples.items() if v.strip()}
 
 
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
     """``docs`` and lang_pred, score and bits (a character, in that language), which take the place of columns of these names."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = parser(shared.value).judge
         for batch in batches:
-            langs, scores, bits = judge(batch.column("text").to_pylist())
+            langs, scores, bits = judge(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score", "bits"],
@@ -246,8 +246,8 @@ def known_language(docs: DataFrame, wanted: tuple[str, ...] | None = None, most_
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
     # columns of any name pass through
     kept = numbered(docs.columns)
-    held = docs.select("text", *[column(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)])
-    told = identify(held, samples).where((F.col("lang_pred") != UND) & (F.col("bits") <= most_bits))
+    renamed = docs.select(*[column(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)])
+    told = identify(renamed, samples, kept[docs.columns.index("text")]).where((F.col("lang_pred") != UND) & (F.col("bits") <= most_bits))
     if wanted is not None:
         told = told.where(F.col("lang_pred").isin(*wanted))
     return told.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)])
