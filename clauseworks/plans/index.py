@@ -17,10 +17,12 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import tokens
@@ -32,6 +34,8 @@ PROVISIONS, ACTS = "legislation_section", "legislation"
 MANIFESTS = "manifests"
 #: The column by which rows are stored together, and the one that is carried along for filters.
 GROUP, CARRIED = "act_name", "provision_type"
+#: How texts are stored.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 class Conflict(RuntimeError):
@@ -88,9 +92,36 @@ def _commit(spark: SparkSession, folder: str, version: int, manifest: dict) -> N
         raise Conflict(f"version {version} of {folder} is there already")
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a write has shuffled goes when it is written, and not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 # reading
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """A table of a segment; a document that is the row's text is stored as the text alone."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn("document", F.when(F.col("_same"), F.col("text")).otherwise(F.col("document"))).drop("_same") if "_same" in rows.columns else rows
+
+
+def _marked(rows: DataFrame, docs: DataFrame, keep: bool) -> DataFrame:
+    """``rows`` whose ``doc`` is (``keep``) or is not in ``docs``: these are broadcast as a bit a document of the segment,
+    4 KB for 32,768 numbers, so that no text or vector is shuffled."""
+    bits = docs.groupBy(F.bitmap_bucket_number("doc").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc")).alias("_bits"))
+    bit = "getbit(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(doc) div 8 + 1 as int), 1)), 16, 10) as bigint), cast(bitmap_bit_position(doc) % 8 as int))"
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number("doc")).join(F.broadcast(bits), "_bucket", "inner" if keep else "left")
+    return joined.where(F.expr(f"coalesce({bit}, 0) = {int(keep)}")).drop("_bucket", "_bits")
+
+
 @dataclass(frozen=True)
 class Collection:
     """One version, whatever is changed meanwhile."""
@@ -101,7 +132,7 @@ class Collection:
     manifest: dict
 
     def _raw(self, segment: dict, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{segment['name']}/{table}").withColumn("segment", F.lit(segment["name"]))
+        return _stored(self.spark, f"{self.folder}/{segment['name']}/{table}").withColumn("segment", F.lit(segment["name"]))
 
     def _every(self, table: str) -> DataFrame:
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [self._raw(s, table) for s in self.manifest["segments"]])
@@ -112,15 +143,16 @@ class Collection:
         names = self.manifest["dead"]
         return self.spark.read.parquet(*[f"{self.folder}/{n}/rows" for n in names]) if names else None
 
-    def live(self, table: str) -> DataFrame:
-        """Rows that count of payload, vectors or codes; only segments with tombstones are joined to these."""
-        if self.dead is None:
-            return self._every(table)
+    def live(self, table: str, but: DataFrame | None = None) -> DataFrame:
+        """Rows that count of payload, vectors or codes, without those that ``but`` (segment, doc) names; only segments
+        with tombstones are joined to these."""
         hit = set(self.manifest["touched"])
         parts = []
         for s in self.manifest["segments"]:
             rows = self._raw(s, table)
-            parts.append(rows.join(self.dead.where(F.col("segment") == s["name"]).select("doc"), "doc", "left_anti") if s["name"] in hit else rows)
+            for gone in ([self.dead] if s["name"] in hit else []) + ([] if but is None else [but]):
+                rows = _marked(rows, gone.where(F.col("segment") == s["name"]), False)
+            parts.append(rows)
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
     @property
@@ -231,19 +263,27 @@ def _vectors(docs: DataFrame, embedder: embedding.Embedder, cache: embedding.Emb
     return embedding.lookup(texts, cache.read()).select("id", "vector")
 
 
-def _segment(docs: DataFrame, folder: str, vectors_of, quantised: bool, centroids: list | None, tie: str | None) -> dict:
-    """Writes a segment of (id, document, …); the rows are counted as they are written."""
+def _segment(docs: DataFrame, folder: str, vectors_of, quantised: bool, centroids: list | None, tie: str | None, ranged: bool = True) -> dict:
+    """Writes a segment of (id, document, …); the rows are counted as they are written.
+
+    ``ranged``: in order over all files; else each task's rows are in order, and no text is shuffled.
+    """
     spark = docs.sparkSession
     name = f"segment-{uuid.uuid4().hex}"
     at = f"{folder}/{name}"
     order = [c for c in (GROUP, *ORDER) if c in docs.columns]
     rows = docs.withColumn("tie", F.col(tie).cast("long") if tie else F.xxhash64("id"))
-    rows = rows.withColumn("dl", F.size(tokens(F.coalesce("document", F.lit("")))))
-    rows = (rows.repartitionByRange(*order, "id").sortWithinPartitions(*order, "id") if order else rows).withColumn("doc", F.monotonically_increasing_id())
+    if "text" in docs.columns:
+        rows = rows.withColumn("_same", F.col("document").eqNullSafe(F.col("text"))).withColumn("document", F.when(~F.col("_same"), F.col("document")))
+    if order:
+        rows = (rows.repartitionByRange(*order, "id") if ranged else rows).sortWithinPartitions(*order, "id")
+    rows = rows.withColumn("doc", F.monotonically_increasing_id())
+    document = F.when(F.col("_same"), F.col("text")).otherwise(F.col("document")) if "text" in docs.columns else F.col("document")
+    rows = rows.withColumn("dl", F.size(tokens(F.coalesce(document, F.lit("")))))  # after the shuffle: texts are cut once
     seen, kinds = Observation(), KINDS if CARRIED in docs.columns else ()
     counted = [F.count_if(F.col(CARRIED) == kind).alias(kind) for kind in kinds]
-    rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), *counted).write.parquet(f"{at}/payload")
-    stored = spark.read.parquet(f"{at}/payload")
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), *counted).write.options(**PACKED).parquet(f"{at}/payload")
+    stored = _stored(spark, f"{at}/payload")
     named = [c for c in (GROUP, CARRIED) if c in stored.columns]
     vectors = vectors_of(stored).select("id", "vector").join(stored.select("id", "doc", "tie", *named), "id")
     if centroids:
@@ -275,14 +315,16 @@ def _bury(old: Collection, new: DataFrame, folder: str) -> tuple[str | None, dic
     for s in old.manifest["segments"]:
         if r := counts.get(s["name"]):  # one row a segment
             near = old._raw(s, "payload").where(F.col("doc").between(r["a"], r["b"])).select("doc", "document")
-            parts.append(near.join(rows.where(F.col("segment") == s["name"]).select("doc"), "doc", "left_semi"))
+            parts.append(_marked(near, rows.where(F.col("segment") == s["name"]), True))
     texts = reduce(DataFrame.unionByName, parts).select(F.array_distinct(tokens(F.coalesce("document", F.lit("")))).alias("ts"))
     texts.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/{name}/terms")
     return name, counts, sum(r["n"] for r in counts.values()), sum(r["length"] for r in counts.values())
 
 
 def _last(docs: DataFrame) -> DataFrame:
-    """Of rows with one id the last by place."""
+    """Of rows with one id the last by place; texts are shuffled for that only where an id comes twice."""
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        return docs
     place = F.struct(*[c for c in (*ORDER, "document") if c in docs.columns])
     return embedding.last_wins(docs.withColumn("_place", place), "id", "_place").drop("_place")
 
@@ -305,21 +347,25 @@ def upsert(
     def vectors(stored: DataFrame) -> DataFrame:
         return _vectors(stored, embedder, cache)
 
-    if lists and not base["segments"]:
-        centroids = ivf.train(vectors(_last(docs)), lists)
-    segment = _segment(_last(docs), folder, vectors, quantised, centroids, tie)
+    with _shuffles_freed(spark):
+        docs = _last(docs)
+        if lists and not base["segments"]:
+            centroids = ivf.train(vectors(docs), lists)
+        segment = _segment(docs, folder, vectors, quantised, centroids, tie)
     manifest = {**base, "centroids": centroids, "segments": [*base["segments"], segment], "n": base["n"] + segment["rows"], "length": base["length"] + segment["length"]}
     if old:
-        table, touched, n, length = _bury(old, spark.read.parquet(f"{folder}/{segment['name']}/payload"), folder)
+        with _shuffles_freed(spark):
+            table, touched, n, length = _bury(old, spark.read.parquet(f"{folder}/{segment['name']}/payload"), folder)
         manifest |= {"dead": base["dead"] + ([table] if table else []), "touched": sorted({*base["touched"], *touched}), "n": manifest["n"] - n, "length": manifest["length"] - length}
     _commit(spark, folder, (version or 0) + 1, manifest)
     return segment
 
 
-def _whole(spark: SparkSession, folder: str, payload: DataFrame, vectors: DataFrame, quantised: bool, centroids: list | None, tie: str | None) -> None:
+def _whole(spark: SparkSession, folder: str, payload: DataFrame, vectors: DataFrame, quantised: bool, centroids: list | None, tie: str | None, ranged: bool = True) -> None:
     """A version of one segment, of rows whose vectors are there."""
     version = current(spark, folder) or 0
-    segment = _segment(payload, folder, lambda stored: vectors, quantised, centroids, tie)
+    with _shuffles_freed(spark):
+        segment = _segment(payload, folder, lambda stored: vectors, quantised, centroids, tie, ranged)
     _commit(spark, folder, version + 1, {"segments": [segment], "dead": [], "touched": [], "n": segment["rows"], "length": segment["length"], "centroids": centroids})
 
 
@@ -352,11 +398,22 @@ def vacuum(spark: SparkSession, folder: str, keep_hours: float = 24 * 7) -> list
 
 
 def merge(spark: SparkSession, folders: list[str], out: str, quantised: bool = False, tie: str | None = None) -> int:
-    """Merges collections without embedding anything again; of equal ids the last folder's wins. Returns rows read."""
+    """Merges collections without embedding anything again; of equal ids the last folder's wins. Returns rows read.
+
+    Only ids are shuffled: rows of a file stay together, in their order (``compact`` orders all).
+    """
     parts = [read(spark, f) for f in folders]
+    rows = [c.live("payload").select("id", "segment", "doc", F.lit(i).alias("_seq")) for i, c in enumerate(parts)]
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_seq")))
+    at = f"{out}/lost-{uuid.uuid4().hex}"
+    with _shuffles_freed(spark):
+        reduce(DataFrame.unionByName, rows).withColumn("_nth", nth).where("_nth > 1").select("_seq", "segment", "doc").write.parquet(at)
+    lost = spark.read.parquet(at)
     payload, vectors = (
-        reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [t.withColumn("_seq", F.lit(i)) for i, t in enumerate(tables)])
-        for tables in ([c.payload for c in parts], [c.vectors.select("id", "vector") for c in parts])
+        reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [c.live(table, lost.where(F.col("_seq") == i)) for i, c in enumerate(parts)])
+        for table in ("payload", "vectors")
     )
-    _whole(spark, out, embedding.last_wins(payload, "id", "_seq").drop("_seq"), embedding.last_wins(vectors, "id", "_seq").drop("_seq"), quantised, None, tie)
+    _whole(spark, out, payload.drop("segment", "doc", "tie", "dl"), vectors.select("id", "vector"), quantised, None, tie, False)
+    fs, path = _fs(spark, at)
+    fs.delete(path, True)
     return sum(c.n for c in parts)

@@ -654,7 +654,7 @@ def engine_hybrid(spark, d):
 @query(f"WITH {_BM25} SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_blocks_topk(spark, d):
     """Over postings in blocks: ranges whose bound is below the tenth best score are passed over."""
-    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("tie"), "text")
+    rows = _t(spark, d, "documents").select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").alias("tie"), "text")
     at = _scratch(spark)
     postings.write(postings.build(rows), at)
     blocks = spark.read.parquet(at)
@@ -674,7 +674,7 @@ SELECT qid, CAST(r AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() O
 @query(_MANY)
 def bm25_many(spark, d):
     """Every text of the benchmark as a query over all documents, in one job."""
-    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("tie"), "text")
+    rows = _t(spark, d, "documents").select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").alias("tie"), "text")
     at = _scratch(spark)
     postings.write(postings.build(rows), at)
     blocks = spark.read.parquet(at)

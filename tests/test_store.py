@@ -211,3 +211,31 @@ def test_many_vectors_equal_one_by_one(spark, monkeypatch):
     for q in (0, 30, 270):
         one = dense.cosine_scores(v, x[q].tolist()).select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(6)
         assert [(i, pytest.approx(s, abs=2e-9)) for _, i, s in sorted(got[q])] == [(r["id"], r["score"]) for r in one.collect()]
+
+
+def test_postings_are_made_without_a_shuffle(spark, tmp_path):
+    rows = rows_of(spark, range(1500)).select(F.monotonically_increasing_id().alias("doc"), F.substring("id", 2, 9).cast("long").alias("tie"), "text", "act_name")
+    made = postings.build(rows, "act_name")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    postings.write(made, str(tmp_path / "b"), "act_name")
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    got = blocks.select("term", F.explode("posts").alias("p")).select("term", "p.tie", "p.tf", "p.dl").collect()
+    want = [(w, r["tie"], r["text"].split().count(w), len(r["text"].split())) for r in rows.collect() for w in set(r["text"].split())]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tombstones_and_merges_shuffle_no_text(spark, tmp_path):
+    a, b, out = (str(tmp_path / x) for x in "abc")
+    index.upsert(rows_of(spark, range(300)), a, embedding.HashingEmbedder(8))
+    index.upsert(rows_of(spark, range(100, 200), " newer"), a, embedding.HashingEmbedder(8))
+    index.upsert(rows_of(spark, range(150, 350), " last"), b, embedding.HashingEmbedder(8))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = index.read(spark, a).payload.select("id", "document")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "document" in plan
+    assert index.merge(spark, [a, b], out) == 500
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    texts = {f"i{i:05d}": r for i, r in enumerate(x["document"] for x in rows_of(spark, range(350)).collect())}
+    c = index.read(spark, out)
+    assert everything(c) == {i: t + (" last" if int(i[1:]) >= 150 else " newer" if int(i[1:]) >= 100 else "") for i, t in texts.items()}
+    assert c.vectors.count() == 350 == c.vectors.select("id").distinct().count()
