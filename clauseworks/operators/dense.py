@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +78,53 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+#: Bins of a pass over values, and how many values are left when they are sorted.
+BINS = 65_536
+FEW = 10_000
+
+
+def exact_quantile(values: DataFrame, quantile: float) -> float | None:
+    """The least of the values (x: double, null ones aside) that so large a share of them does not exceed; NaN is greatest.
+
+    Each pass counts values by bin between the bounds that are left, and goes on with the bin that holds the rank: a bin
+    is a row, and no more than ``FEW`` values are ever sorted.
+    """
+    values = values.where(F.col("x").isNotNull())
+    whole = values.agg(F.count("*").alias("n"), F.count_if(F.isnan("x")).alias("nan"), F.min("x").alias("lo"), F.max(F.when(~F.isnan("x"), F.col("x"))).alias("hi")).first()
+    n, lo, hi = whole["n"], whole["lo"], whole["hi"]
+    if not n:
+        return None
+    rank = max(1, math.ceil(Fraction(str(quantile)) * n))  # from 1
+    if rank > n - whole["nan"]:
+        return math.nan
+    some = values.where(~F.isnan("x"))
+    left = n - whole["nan"]
+    while lo < hi:
+        inside = some.where(F.col("x").between(lo, hi))
+        if left <= FEW:
+            return inside.orderBy("x").limit(rank).agg(F.max("x").alias("x")).first()["x"]
+        # halves, as the difference of the two may be no double
+        place = F.floor(F.coalesce(F.try_divide(F.col("x") / 2 - lo / 2, F.lit(hi / 2 - lo / 2)), F.lit(0.0)) * BINS)
+        bins = inside.groupBy(F.when(F.col("x") == hi, BINS).otherwise(F.least(place, F.lit(BINS - 1))).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        for row in sorted(bins.collect(), key=lambda r: r["bin"]):  # ``BINS`` rows
+            if rank <= row["n"]:
+                lo, hi, left = row["lo"], row["hi"], row["n"]
+                break
+            rank -= row["n"]
+    return lo
+
+
 def quantise(vectors: DataFrame, vector: str = "vector", quantile: float = 0.99) -> DataFrame:
-    """``vectors`` with ``code`` (array of tinyint): components scaled by the quantile of their size, and clipped."""
-    one = vectors.select(F.explode(vector).alias("x")).agg(F.percentile_approx(F.abs("x"), quantile, 1_000_000).alias("q")).first()
-    scale = 127.0 / (one["q"] or 1.0)
-    code = F.transform(vector, lambda x: F.least(F.greatest(F.round(x * scale), F.lit(-127)), F.lit(127)).cast("tinyint"))
+    """``vectors`` with ``code`` (array of tinyint): components scaled by the quantile of their size, exactly, and clipped."""
+    q = exact_quantile(vectors.select(F.explode(vector).alias("x")).select(F.abs(F.col("x").cast("double")).alias("x")), quantile)
+    scale = 127.0 / (q or 1.0)
+
+    def near(x: Column) -> Column:
+        """Halves go away from zero."""
+        x = x.cast("double")
+        return F.when(x >= 0, F.floor(x * scale + 0.5).cast("double")).otherwise(-F.floor(-x * scale + 0.5).cast("double"))
+
+    code = F.transform(vector, lambda x: F.least(F.greatest(near(x), F.lit(-127.0)), F.lit(127.0)).cast("tinyint"))
     return vectors.withColumn("code", code)
 
 
