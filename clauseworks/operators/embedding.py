@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import content_key
+from clauseworks.operators.batches import small_batches
 from clauseworks.schemas import CACHE
 
 
@@ -51,6 +52,7 @@ def embed_texts(texts: DataFrame, embedder: Embedder, kind: str = "passage") ->
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "vector": embedder.embed(batch["text"].tolist(), kind)})
 
+    small_batches(texts.sparkSession)
     return texts.select("id", "text").mapInPandas(run, CACHE)
 
 
