@@ -5,8 +5,8 @@ grouping column), with their number, the greatest term frequency and the least l
 that the term can give to a document of the range. Ranges are those of all terms alike, so the sum over a query's
 terms bounds every score in a range. A search scores the most promising ranges, takes the k-th best score from them,
 and then only ranges whose bound reaches it. Postings are made and written where their documents are: a file has all terms
-of the documents of one task, in order of terms. So no posting is shuffled, and no term is in one task or file. A
-document's length stands in its postings, so no other table is joined.
+of the documents of one task, in runs that are in order of terms. So no posting is shuffled or sorted by Spark, and no
+term is in one task or file. A document's length stands in its postings, so no other table is joined.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import tokens
@@ -28,9 +28,13 @@ from clauseworks.operators.lexical import Bm25, Tokenizer
 #: Documents of a range, by the power of two; ranges that a search scores first.
 BLOCK_BITS = 9
 FIRST = 64
-#: Bytes of a row group of postings; documents that meet all of many queries in one task.
+#: Bytes of a row group of postings; bytes of words whose postings make a run; blocks of a batch that goes back to Spark.
 ROW_GROUP = 16 << 20
+RUN_BYTES = 32 << 20
+OUT_BLOCKS = 32_768
+#: Documents that meet all of many queries in one task; terms of many queries that are broadcast at most.
 MANY_DOCS = 4096
+MAX_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -42,17 +46,23 @@ class Stats:
     df: dict[str, float] = field(default_factory=dict)
 
 
-def build(rows: DataFrame, by: str | None = None, carry: tuple[str, ...] = (), text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
+def build(
+    rows: DataFrame, by: str | None = None, carry: tuple[str, ...] = (), text: str = "text", tokenizer: Tokenizer = tokens, seen: Observation | None = None
+) -> DataFrame:
     """Blocks of (doc, tie, text): (term, range, n, max_tf, min_dl, posts), and ``by``, of which a block has one value.
 
     ``doc`` numbers the rows, each its own; ``tie`` decides between equal scores; ``carry`` are columns that filters may
-    ask for. Rows stay in their tasks and are shuffled nowhere: a range that is in two tasks, or in two batches of one,
+    ask for. Rows stay in their tasks and are shuffled nowhere: a range that is in two tasks, or in two runs of one,
     has a block of a term in each, which costs bytes and changes no result. So blocks are full where rows of near
-    numbers are near each other, as those of ``monotonically_increasing_id`` are.
+    numbers are near each other, as those of ``monotonically_increasing_id`` are. A run has ``RUN_BYTES`` of words, and
+    its blocks are in order of terms, ``by`` and ranges. ``seen`` gets ``n`` and ``avgdl`` of the rows when the blocks
+    are written, so that texts need not be cut again to count them.
     """
     group = [by] if by else []
     named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in group]  # equal values only join where they are not null
     cut = rows.select("doc", "tie", *named, *carry, tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    if seen is not None:
+        cut = cut.observe(seen, F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     kept = ["tie", *carry]
     kind = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     own = [f"`{c}` {kind[c]}" for c in group]
@@ -60,15 +70,28 @@ def build(rows: DataFrame, by: str | None = None, carry: tuple[str, ...] = (), t
     schema = ", ".join(["term string", *own, "range long", "n long", "max_tf int", "min_dl int", f"posts array<struct<{posts}>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _inverted(pa.Table.from_batches([batch]), by, kept)
+        for some in _runs(batches):
+            yield from _inverted(pa.Table.from_batches(some), by, kept)
 
     small_batches(rows.sparkSession)
     return cut.mapInArrow(run, schema)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of ``RUN_BYTES`` together, or one more batch's."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= RUN_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _inverted(rows: pa.Table, by: str | None, kept: list[str]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a batch's rows, by numpy: terms and rows as numbers, sorted once."""
+    """Blocks of a run's rows, by numpy: terms, in their order, and rows as numbers, sorted once."""
     order = [("doc", "ascending")]
     rows = rows.sort_by([(by, "ascending"), *order] if by else order).combine_chunks()
     ts = rows["ts"].combine_chunks()
@@ -76,6 +99,9 @@ def _inverted(rows: pa.Table, by: str | None, kept: list[str]) -> Iterator[pa.Re
     words = ts.flatten().dictionary_encode()
     if not len(words):
         return
+    by_term = pc.array_sort_indices(words.dictionary)
+    number = np.empty(len(by_term), np.int64)
+    number[by_term.to_numpy()] = np.arange(len(by_term))
     doc = rows["doc"].to_numpy()
     ranges = doc >> BLOCK_BITS
     new = np.r_[False, np.diff(ranges) != 0]
@@ -83,7 +109,7 @@ def _inverted(rows: pa.Table, by: str | None, kept: list[str]) -> Iterator[pa.Re
         new |= np.r_[False, np.diff(rows[by].combine_chunks().dictionary_encode().indices.to_numpy()) != 0]
     group = np.cumsum(new)
     # (term, row) as one number; rows are in order of their groups
-    posts, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    posts, tf = np.unique(number[words.indices.to_numpy()] * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
     term, row = np.divmod(posts, len(dl))
     tf = tf.astype(np.int32)
     starts = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(group[row]) != 0)])
@@ -91,17 +117,18 @@ def _inverted(rows: pa.Table, by: str | None, kept: list[str]) -> Iterator[pa.Re
     at, first = pa.array(row), pa.array(row[starts])
     columns = {c: rows[c].combine_chunks().take(at) for c in kept}
     fields = {"at": pa.array((doc - (ranges << BLOCK_BITS))[row].astype(np.int16)), "tie": columns.pop("tie"), "tf": pa.array(tf), "dl": pa.array(dl[row]), **columns}
-    out = {"term": words.dictionary.take(pa.array(term[starts])), **({by: rows[by].combine_chunks().take(first)} if by else {}), "range": pa.array(ranges[row[starts]])}
+    out = {"term": words.dictionary.take(by_term.take(pa.array(term[starts]))), **({by: rows[by].combine_chunks().take(first)} if by else {}), "range": pa.array(ranges[row[starts]])}
     out |= {"n": pa.array(ends - starts), "max_tf": pa.array(np.maximum.reduceat(tf, starts)), "min_dl": pa.array(np.minimum.reduceat(dl[row], starts))}
     out["posts"] = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(posts)].astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-    yield pa.RecordBatch.from_pydict(out)
+    batch = pa.RecordBatch.from_pydict(out)
+    for i in range(0, batch.num_rows, OUT_BLOCKS):
+        yield batch.slice(i, OUT_BLOCKS)
 
 
 def write(blocks: DataFrame, path: str, by: str | None = None) -> None:
-    """Each task's blocks in order of terms: of a file that has all terms of its documents, a search reads the row
-    groups and pages of its own. A frequent term is in many files, and no posting is shuffled."""
-    order = ["term", *([by] if by else []), "range"]
-    blocks.sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    """Blocks as ``build`` gives them, in runs that are in order of terms (and of ``by``): a run is about a row group, and
+    of each a search reads the pages of its own terms. A frequent term is in many files, and no posting is shuffled."""
+    blocks.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
 
 
 def _of_terms(values: dict[str, float]) -> Column:
@@ -171,12 +198,16 @@ def search_many(blocks: DataFrame, queries: DataFrame, stats: Stats, df: DataFra
 
     Ranges of documents, with their postings of the terms that are asked for, meet the queries in parts of about
     ``MANY_DOCS`` documents, and each part gives the ``k`` best of a query: no pair of a query and a document is shuffled.
+    Up to ``MAX_TERMS`` terms are broadcast, so that other terms' postings, and their counts, are shuffled nowhere; more
+    are joined.
     """
     own = [segment] if segment else []
     idf = model.idf(F.lit(float(stats.n)), F.col("df"))
-    asked = queries.select("qid", "term").distinct().join(df, "term").select("qid", "term", idf.alias("idf"))
+    terms = queries.select("term").distinct()
+    terms = F.broadcast(terms) if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS else terms
+    asked = queries.select("qid", "term").distinct().join(df.join(terms, "term", "left_semi"), "term").select("qid", "term", idf.alias("idf"))
     n = max(1, math.ceil(stats.n / MANY_DOCS))
-    posts = blocks.join(asked.select("term").distinct(), "term", "left_semi")
+    posts = blocks.join(terms, "term", "left_semi")
     left = posts.select(*own, "term", F.transform("posts.at", _doc).alias("doc"), F.col("posts.tie").alias("tie"), F.col("posts.tf").alias("tf"), F.col("posts.dl").alias("dl"), F.pmod(F.xxhash64(*own, "range"), F.lit(n)).alias("part"))
     right = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"))
     kinds = {"qid": asked.schema["qid"].dataType, **{c: left.schema[c].dataType for c in own}, **{c: left.schema[c].dataType.elementType for c in ("doc", "tie")}}

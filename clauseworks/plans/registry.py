@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseworks.functions import refs as R
@@ -655,12 +655,11 @@ def engine_hybrid(spark, d):
 def bm25_blocks_topk(spark, d):
     """Over postings in blocks: ranges whose bound is below the tenth best score are passed over."""
     rows = _t(spark, d, "documents").select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").alias("tie"), "text")
-    at = _scratch(spark)
-    postings.write(postings.build(rows), at)
+    at, seen = _scratch(spark), Observation()
+    postings.write(postings.build(rows, seen=seen), at)
     blocks = spark.read.parquet(at)
-    whole = rows.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.coalesce("text", F.lit(""))))).alias("avgdl")).first()
     df = blocks.where(F.col("term").isin(list(TERMS))).groupBy("term").agg(F.sum("n").alias("df")).collect()
-    stats = postings.Stats(whole["n"], whole["avgdl"], {r["term"]: r["df"] for r in df})
+    stats = postings.Stats(seen.get["n"], seen.get["avgdl"] or 0.0, {r["term"]: r["df"] for r in df})
     return _named(postings.search(blocks, stats, LIMIT, first=4))
 
 
@@ -675,13 +674,12 @@ SELECT qid, CAST(r AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() O
 def bm25_many(spark, d):
     """Every text of the benchmark as a query over all documents, in one job."""
     rows = _t(spark, d, "documents").select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").alias("tie"), "text")
-    at = _scratch(spark)
-    postings.write(postings.build(rows), at)
+    at, seen = _scratch(spark), Observation()
+    postings.write(postings.build(rows, seen=seen), at)
     blocks = spark.read.parquet(at)
-    whole = rows.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.coalesce("text", F.lit(""))))).alias("avgdl")).first()
     queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.tokens(F.coalesce("text", F.lit("")))).alias("term"))
     df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
-    found = postings.search_many(blocks, queries, postings.Stats(whole["n"], whole["avgdl"]), df, 5)
+    found = postings.search_many(blocks, queries, postings.Stats(seen.get["n"], seen.get["avgdl"] or 0.0), df, 5)
     return found.select("qid", "rank", F.col("tie").alias("doc_id"), "score")
 
 

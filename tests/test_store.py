@@ -4,7 +4,9 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from clauseworks.operators import dense, embedding, ivf, lexical, postings
@@ -239,3 +241,38 @@ def test_tombstones_and_merges_shuffle_no_text(spark, tmp_path):
     c = index.read(spark, out)
     assert everything(c) == {i: t + (" last" if int(i[1:]) >= 150 else " newer" if int(i[1:]) >= 100 else "") for i, t in texts.items()}
     assert c.vectors.count() == 350 == c.vectors.select("id").distinct().count()
+
+
+def test_postings_come_in_sorted_runs_and_count_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "RUN_BYTES", 20_000)
+    monkeypatch.setattr(postings, "OUT_BLOCKS", 100)
+    rows = rows_of(spark, range(1500)).select(F.monotonically_increasing_id().alias("doc"), F.substring("id", 2, 9).cast("long").alias("tie"), "text", "act_name").coalesce(1)
+    words = rows.select("doc", "tie", "act_name", F.split("text", " ").alias("ts")).toArrow().combine_chunks()
+    runs = list(postings._runs(iter(words.to_batches(100))))
+    assert sum(b.num_rows for some in runs for b in some) == 1500 and len(runs) > 2
+    for some in runs:
+        made = list(postings._inverted(pa.Table.from_batches(some), "act_name", ["tie"]))
+        places = [(r["term"], r["act_name"], r["range"]) for b in made for r in b.select(["term", "act_name", "range"]).to_pylist()]
+        assert places == sorted(places) and len(made) > 1 and max(b.num_rows for b in made) == 100
+    seen = Observation()
+    postings.write(postings.build(rows, "act_name", seen=seen), str(tmp_path / "b"), "act_name")
+    lengths = [len(r["text"].split()) for r in rows.collect()]
+    assert seen.get == {"n": 1500, "avgdl": pytest.approx(sum(lengths) / 1500)}
+    assert sum(r["n"] for r in spark.read.parquet(str(tmp_path / "b")).select("n").collect()) == sum(len(set(r["text"].split())) for r in rows.collect())
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_many_queries_shuffle_no_posting_by_term(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(postings, "MAX_TERMS", most)
+    rows = rows_of(spark, range(200)).select(F.substring("id", 2, 9).cast("long").alias("doc"), F.substring("id", 2, 9).cast("long").alias("tie"), "text")
+    postings.write(postings.build(rows), str(tmp_path / "b"))
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    asked = spark.createDataFrame([(1, "w1"), (1, "common"), (2, "w2"), (3, "nowhere")], "qid long, term string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = postings.search_many(blocks, asked, postings.Stats(200, 16.0), blocks.groupBy("term").agg(F.sum("n").alias("df")), 3)
+    plan, got = found._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, found.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert len(semi) == 2 and all(("BroadcastHashJoin" in line) == bool(most) for line in semi)
+    assert [r[0] for r in got] == [1, 1, 1, 2, 2, 2]
