@@ -125,6 +125,22 @@ def _inverted(rows: pa.Table, by: str | None, kept: list[str]) -> Iterator[pa.Re
         yield batch.slice(i, OUT_BLOCKS)
 
 
+def term_counts(rows: DataFrame, text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
+    """(term, df): how many rows have a term. Those of a run are counted by numpy, so that Spark meets a term once a run."""
+    cut = rows.select(tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _runs(batches):
+            ts = pa.Table.from_batches(some)["ts"].combine_chunks()
+            dl = np.diff(ts.offsets.to_numpy())
+            words = ts.flatten().dictionary_encode()
+            posts = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl))
+            yield pa.RecordBatch.from_pydict({"term": words.dictionary, "n": pa.array(np.bincount(posts // max(1, len(dl)), minlength=len(words.dictionary)))})
+
+    small_batches(rows.sparkSession)
+    return cut.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
 def write(blocks: DataFrame, path: str, by: str | None = None) -> None:
     """Blocks as ``build`` gives them, in runs that are in order of terms (and of ``by``): a run is about a row group, and
     of each a search reads the pages of its own terms. A frequent term is in many files, and no posting is shuffled."""

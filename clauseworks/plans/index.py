@@ -316,8 +316,7 @@ def _bury(old: Collection, new: DataFrame, folder: str) -> tuple[str | None, dic
         if r := counts.get(s["name"]):  # one row a segment
             near = old._raw(s, "payload").where(F.col("doc").between(r["a"], r["b"])).select("doc", "document")
             parts.append(_marked(near, rows.where(F.col("segment") == s["name"]), True))
-    texts = reduce(DataFrame.unionByName, parts).select(F.array_distinct(tokens(F.coalesce("document", F.lit("")))).alias("ts"))
-    texts.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/{name}/terms")
+    postings.term_counts(reduce(DataFrame.unionByName, parts), "document").write.parquet(f"{folder}/{name}/terms")
     return name, counts, sum(r["n"] for r in counts.values()), sum(r["length"] for r in counts.values())
 
 

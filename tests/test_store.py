@@ -276,3 +276,16 @@ def test_many_queries_shuffle_no_posting_by_term(spark, tmp_path, monkeypatch, m
     semi = [line for line in plan.splitlines() if "LeftSemi" in line]
     assert len(semi) == 2 and all(("BroadcastHashJoin" in line) == bool(most) for line in semi)
     assert [r[0] for r in got] == [1, 1, 1, 2, 2, 2]
+
+
+def test_terms_of_tombstones_are_counted_by_run(spark, monkeypatch):
+    monkeypatch.setattr(postings, "RUN_BYTES", 20_000)
+    rows = rows_of(spark, range(700)).select("text").unionByName(spark.createDataFrame([(None,), ("",), ("Twice twice, once",)], "text string"))
+    made = postings.term_counts(rows)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in rows.collect():
+        for w in set((r["text"] or "").lower().replace(",", "").split()):
+            want[w] = want.get(w, 0) + 1
+    assert {r["term"]: r["df"] for r in made.collect()} == want and want["twice"] == 1
+    assert postings.term_counts(rows.where("text is null")).collect() == [] == postings.term_counts(rows.limit(0)).collect()
