@@ -63,7 +63,7 @@ def visible_refs(refs: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and numbers."""
-    return F.filter(F.split(F.lower(text), TOKEN_GAP), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_GAP), "")
 
 
 def citation(act: Column, uri: Column, kind: Column, eid: Column, number: Column) -> Column:

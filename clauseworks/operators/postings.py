@@ -126,7 +126,8 @@ def _inverted(rows: pa.Table, by: str | None, kept: list[str]) -> Iterator[pa.Re
 
 
 def term_counts(rows: DataFrame, text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
-    """(term, df): how many rows have a term. Those of a run are counted by numpy, so that Spark meets a term once a run."""
+    """(term, df, cf): how many rows have a term, and how often it comes in all. Those of a run are counted by numpy, so
+    that Spark meets a term once a run."""
     cut = rows.select(tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +135,13 @@ def term_counts(rows: DataFrame, text: str = "text", tokenizer: Tokenizer = toke
             ts = pa.Table.from_batches(some)["ts"].combine_chunks()
             dl = np.diff(ts.offsets.to_numpy())
             words = ts.flatten().dictionary_encode()
-            posts = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl))
-            yield pa.RecordBatch.from_pydict({"term": words.dictionary, "n": pa.array(np.bincount(posts // max(1, len(dl)), minlength=len(words.dictionary)))})
+            term, most = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+            posts = np.unique(term * len(dl) + np.repeat(np.arange(len(dl)), dl))
+            n, all_n = (pa.array(np.bincount(x, minlength=most)) for x in (posts // max(1, len(dl)), term))
+            yield pa.RecordBatch.from_pydict({"term": words.dictionary, "n": n, "all_n": all_n})
 
     small_batches(rows.sparkSession)
-    return cut.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return cut.mapInArrow(run, "term string, n long, all_n long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("all_n").alias("cf"))
 
 
 def write(blocks: DataFrame, path: str, by: str | None = None) -> None:

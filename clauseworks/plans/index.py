@@ -25,7 +25,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseworks.functions.text import tokens
 from clauseworks.operators import dense, embedding, ivf, postings
 from clauseworks.schemas import ORDER
 from clauseworks.sources.markup import KINDS
@@ -139,7 +138,7 @@ class Collection:
 
     @property
     def dead(self) -> DataFrame | None:
-        """(segment, id, doc, dl) of rows that do not count any more."""
+        """(segment, id, doc) of rows that do not count any more."""
         names = self.manifest["dead"]
         return self.spark.read.parquet(*[f"{self.folder}/{n}/rows" for n in names]) if names else None
 
@@ -278,11 +277,9 @@ def _segment(docs: DataFrame, folder: str, vectors_of, quantised: bool, centroid
     if order:
         rows = (rows.repartitionByRange(*order, "id") if ranged else rows).sortWithinPartitions(*order, "id")
     rows = rows.withColumn("doc", F.monotonically_increasing_id())
-    document = F.when(F.col("_same"), F.col("text")).otherwise(F.col("document")) if "text" in docs.columns else F.col("document")
-    rows = rows.withColumn("dl", F.size(tokens(F.coalesce(document, F.lit("")))))  # after the shuffle: texts are cut once
-    seen, kinds = Observation(), KINDS if CARRIED in docs.columns else ()
+    seen, cut, kinds = Observation(), Observation(), KINDS if CARRIED in docs.columns else ()
     counted = [F.count_if(F.col(CARRIED) == kind).alias(kind) for kind in kinds]
-    rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), *counted).write.options(**PACKED).parquet(f"{at}/payload")
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counted).write.options(**PACKED).parquet(f"{at}/payload")
     stored = _stored(spark, f"{at}/payload")
     named = [c for c in (GROUP, CARRIED) if c in stored.columns]
     vectors = vectors_of(stored).select("id", "vector").join(stored.select("id", "doc", "tie", *named), "id")
@@ -294,19 +291,21 @@ def _segment(docs: DataFrame, folder: str, vectors_of, quantised: bool, centroid
     if quantised:
         dense.quantise(spark.read.parquet(f"{at}/vectors")).select("id", "doc", "tie", *named, "code").write.parquet(f"{at}/codes")
     by = GROUP if GROUP in stored.columns else None
-    postings.write(postings.build(stored, by, tuple(c for c in named if c != GROUP), "document"), f"{at}/postings", by)
+    # texts are cut into terms here alone, and lengths are counted as they are
+    postings.write(postings.build(stored, by, tuple(c for c in named if c != GROUP), "document", seen=cut), f"{at}/postings", by)
     spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/term_stats")
-    return {"name": name, "rows": seen.get["rows"], "length": seen.get["length"], "kinds": {k: seen.get[k] for k in kinds if seen.get[k]}, "coded": quantised}
+    length = round(cut.get["n"] * (cut.get["avgdl"] or 0.0))  # exact below 2^50 words
+    return {"name": name, "rows": seen.get["rows"], "length": length, "kinds": {k: seen.get[k] for k in kinds if seen.get[k]}, "coded": quantised}
 
 
 def _bury(old: Collection, new: DataFrame, folder: str) -> tuple[str | None, dict, int, int]:
     """Writes tombstones for the rows of ``old`` whose ids ``new`` has: (their table, counts by segment, rows, length)."""
     spark = old.spark
     name = f"dead-{uuid.uuid4().hex}"
-    rows = old.live("payload").select("segment", "id", "doc", "dl").join(new.select("id"), "id", "left_semi")
+    rows = old.live("payload").select("segment", "id", "doc").join(new.select("id"), "id", "left_semi")
     rows.write.parquet(f"{folder}/{name}/rows")
     rows = spark.read.parquet(f"{folder}/{name}/rows")
-    counts = {r["segment"]: r for r in rows.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("length"), F.min("doc").alias("a"), F.max("doc").alias("b")).collect()}
+    counts = {r["segment"]: r for r in rows.groupBy("segment").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).collect()}
     if not counts:
         fs, at = _fs(spark, f"{folder}/{name}")
         fs.delete(at, True)
@@ -317,7 +316,8 @@ def _bury(old: Collection, new: DataFrame, folder: str) -> tuple[str | None, dic
             near = old._raw(s, "payload").where(F.col("doc").between(r["a"], r["b"])).select("doc", "document")
             parts.append(_marked(near, rows.where(F.col("segment") == s["name"]), True))
     postings.term_counts(reduce(DataFrame.unionByName, parts), "document").write.parquet(f"{folder}/{name}/terms")
-    return name, counts, sum(r["n"] for r in counts.values()), sum(r["length"] for r in counts.values())
+    length = spark.read.parquet(f"{folder}/{name}/terms").agg(F.sum("cf")).first()[0] or 0
+    return name, counts, sum(r["n"] for r in counts.values()), length
 
 
 def _last(docs: DataFrame) -> DataFrame:

@@ -289,3 +289,21 @@ def test_terms_of_tombstones_are_counted_by_run(spark, monkeypatch):
             want[w] = want.get(w, 0) + 1
     assert {r["term"]: r["df"] for r in made.collect()} == want and want["twice"] == 1
     assert postings.term_counts(rows.where("text is null")).collect() == [] == postings.term_counts(rows.limit(0)).collect()
+
+
+def test_a_segment_cuts_its_texts_once_and_lengths_stay_exact(spark, tmp_path, monkeypatch):
+    def twice(text):
+        raise AssertionError("texts are cut where postings are made")
+
+    monkeypatch.setattr(index, "tokens", twice, raising=False)
+    at = str(tmp_path / "c")
+    for ids, change in ((range(300), ""), (range(100, 200), " newer and LONGER, longer"), (range(150, 350), " last")):
+        index.upsert(rows_of(spark, ids, change), at, embedding.HashingEmbedder(8))
+    c = index.read(spark, at)
+    words = [r["document"].replace(",", "").split() for r in c.payload.collect()]
+    assert (c.n, c.manifest["length"]) == (350, sum(map(len, words)))
+    assert c.stats(["longer", "common"]).df == {"longer": 50.0, "common": float(sum("common" in w for w in words))}
+    got = {r["term"]: (r["df"], r["cf"]) for r in postings.term_counts(rows_of(spark, range(5), " twice twice")).collect()}
+    assert got["twice"] == (5, 10)
+    index.upsert(rows_of(spark, []), str(tmp_path / "none"), embedding.HashingEmbedder(8))
+    assert index.read(spark, str(tmp_path / "none")).manifest["length"] == 0
